@@ -14,6 +14,8 @@ from .shared import stored
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose starts (24 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def text_bytes(text: Column) -> Column:
@@ -46,7 +48,9 @@ def shard(df: DataFrame, size: Column, shards: int = 16, seed: int = 10, bucket_
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"))
     # one row for each bucket: as many as the input has memories-full
     starts = counts.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("first"), F.sum("n").over(W.partitionBy()).alias("rows"))
-    at = spread.join(starts, "bucket").withColumn("at", F.col("first") + F.col("place"))
+    # broadcast while its size is sure: then no record is shuffled again
+    buckets = counts.count()
+    at = spread.join(F.broadcast(starts) if buckets <= MOST_BROADCAST else starts, "bucket").withColumn("at", F.col("first") + F.col("place"))
     at = at.withColumn("shard", F.expr(f"cast(at * {shards} div rows as int)"))
     return at.select("shard", F.expr(f"at - (shard * rows + {shards - 1}) div {shards}").alias("slot"), "record")
 
