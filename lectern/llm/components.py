@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import stored
@@ -41,3 +42,38 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         was = mark
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+class Forest:
+    """Keeps, of the pairs it is given, those that connect something new: fewer than there are nodes."""
+
+    def __init__(self, nodes: int):
+        self.root = np.arange(nodes)
+        self.edges: list[tuple[int, int]] = []
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Drops all pairs that are together, joins one pair for each of the roots that are left, and
+        so on: few rounds of array work even where almost all pairs are within one group."""
+        root = self.root
+        while len(i):
+            while not np.array_equal(flat := root[root], root):
+                root[:] = flat
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            _, once = np.unique(np.maximum(root[i], root[j]), return_index=True)
+            for x, y in zip(i[once].tolist(), j[once].tolist()):
+                p, q = self._find(x), self._find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    self.edges.append((x, y))
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        found = np.asarray(self.edges, "i8").reshape(-1, 2)
+        return found[:, 0], found[:, 1]

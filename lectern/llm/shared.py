@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +51,13 @@ def one_thread() -> None:
     """Spark deals the tasks; libraries inside them use one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def block_pairs(n: Column, p: Column) -> Column:
+    """For a row in part ``p`` of ``n``: the units (pa, pb, side) in which it meets every part, itself
+    in one with equal ends. Parts of equal size make units of bounded size, whatever the group's."""
+
+    def unit(q):
+        return F.struct(F.least(q, p).alias("pa"), F.greatest(q, p).alias("pb"), F.when(q < p, 1).otherwise(0).alias("side"))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), unit)

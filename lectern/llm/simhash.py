@@ -13,8 +13,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
-from .shared import stored
+from .components import Forest, components
+from .shared import block_pairs, stored
 
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt as block pairs.
 BLOCK = 2048
@@ -58,52 +58,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tasks, "doc_id bigint, fp bigint")
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-    return np.nonzero(hit)
-
-
 def _spanning(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the pairs within ``radius`` connect: fewer than there are members,
     however many pairs there are. ``b``: pairs between two blocks only."""
     nodes = a if b is None else np.concatenate([a, b])
-    root = np.arange(len(nodes))
-    left, right, shift = (a, a, 0) if b is None else (a, b, len(a))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    for lo in range(0, len(left), 256):
-        i, j = _near(left[lo : lo + 256], right, radius)
-        i, j = i + lo, j + shift
-        # first vectorised: drop pairs that are together already, then join the rest one by one
-        for _ in range(64):
-            flat = root[root]
-            while not np.array_equal(flat, root):
-                root[:], flat = flat, flat[flat]
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            if not len(i):
-                break
-            _, once = np.unique(np.maximum(root[i], root[j]), return_index=True)
-            for x, y in zip(i[once].tolist(), j[once].tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((x, y))
-        else:
-            for x, y in zip(i.tolist(), j.tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((x, y))
-    if not edges:
-        return nodes[:0], nodes[:0]
-    x, y = np.asarray(edges).T
+    right, shift = (a, 0) if b is None else (b, len(a))
+    forest = Forest(len(nodes))
+    for lo in range(0, len(a), 256):
+        i, j = np.nonzero(np.bitwise_count(a[lo : lo + 256, None] ^ right[None, :]) <= radius)
+        forest.add(i + lo, j + shift)
+    x, y = forest.ends()
     return nodes[x], nodes[y]
 
 
@@ -159,11 +123,9 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bucket")) for t, m in enumerate(cover_masks(radius))])
     keys = stored(prints.select("fp", F.explode(tables).alias("k")).select("k.t", "k.bucket", "fp"), "tables")
     sizes = keys.groupBy("t", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    # part p meets parts p..n-1 as the first side and 0..p-1 as the second
-    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("pa"), F.greatest(q, F.col("p")).alias("pb"), F.when(q < F.col("p"), 1).otherwise(0).alias("side")))
-    dealt = keys.join(sizes, ["t", "bucket"]).withColumn("n", parts).withColumn("p", mine).select("t", "bucket", "fp", F.explode(cells).alias("c")).select("t", "bucket", "c.pa", "c.pb", "c.side", "fp")
+    n = F.ceil(F.col("size") / block).cast("int")
+    met = keys.join(sizes, ["t", "bucket"]).withColumn("n", n).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    dealt = met.select("t", "bucket", "fp", F.explode(block_pairs(F.col("n"), F.col("p"))).alias("c")).select("t", "bucket", "c.pa", "c.pb", "c.side", "fp")
     units = dealt.repartition("t", "bucket", "pa", "pb").sortWithinPartitions("t", "bucket", "pa", "pb", "side", "fp")
     return units.mapInArrow(_bucket_edges(radius), "a bigint, b bigint").distinct()
 
