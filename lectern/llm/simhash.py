@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import Forest, components
-from .shared import block_pairs, stored
+from .shared import block_pairs, free_name, stored
 
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt as block pairs.
 BLOCK = 2048
@@ -130,6 +130,14 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     return units.mapInArrow(_bucket_edges(radius), "a bigint, b bigint").distinct()
 
 
+def groups(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Rows ``(fp, component)`` for the distinct fingerprints of ``prints``; a component is named by
+    one of its fingerprints."""
+    distinct = prints.select("fp").distinct()
+    joined = components(links(distinct, radius), "a", "b").withColumnRenamed("node", "fp")
+    return distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``.
 
@@ -141,9 +149,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(links(distinct.select("fp"), radius), "a", "b")
-    groups = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = groups.select("fp", "component").join(named, "component").select("fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    members = groups(prints, radius).join(least, "fp")
+    named = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_print = members.join(named, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (null ids
+    last), one of them if it is repeated. ``docs`` must be a table: rows are known by their places."""
+    row = free_name(docs, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    prints = stored(fingerprints(placed, row, text_col, shingle).withColumnRenamed("doc_id", row).join(placed.select(row, F.col(f"`{id_col}`").alias("id")), row), "prints")
+    best = prints.join(groups(prints, radius), "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best"))
+    return placed.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_semi").drop(row)
