@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import job_queries, text_queries
+from . import job_queries, stream_queries, text_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "job_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "job_queries", "stream_queries", "text_queries"]
