@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ LARGE = 1 / 3
 #: Column generation ends after so many columns at the latest; what it has then is a valid packing.
 COLUMNS = 3000
 CACHE_ENTRIES = 600_000
+SIGNS = ",.;:!?"
 
 
 # ---- tokens -----------------------------------------------------------------------------------
@@ -43,24 +45,40 @@ class _Counter:
         self.tokenizer.encode_special_tokens = True
         self.entries = entries
         self.plain: dict[str, bytes] = {}
-        newline = self._encode(["\n", "\na", "a", " b", "a b"])
-        self.cut = len(newline[0]) == 4 and newline[1] == newline[0] + newline[2] and newline[4] == newline[2] + newline[3]
+        # bytes of text that each id stands for: a character of its name is a byte
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), "i8")
+        for name, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(name)
+        probe = self._encode(["\n", "\na", "a", " b", "a b", ","])
+        self.cut = len(probe[0]) == 4 and probe[1] == probe[0] + probe[2] and probe[4] == probe[2] + probe[3]
+        self.sign = dict(zip(SIGNS, self._encode(list(SIGNS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, new: list[str]) -> None:
+        """New pieces are encoded end to end, which cuts them where the text would, and their ids told
+        apart by the bytes they stand for."""
+        for lo in range(0, len(new), 2000):
+            part = [spelled(p) for p in new[lo : lo + 2000]]
+            raw = self._encode(["".join(part)])[0]
+            ends = np.cumsum(np.fromiter((len(s.encode("utf-8", "surrogatepass")) for s in part), "i8", len(part)))
+            at = np.searchsorted(np.cumsum(self.bytes[np.frombuffer(raw, "<u4")]), ends, side="right")
+            bounds = [0, *(4 * at).tolist()]
+            self.plain.update((p, raw[a:b]) for p, a, b in zip(new[lo : lo + 2000], bounds, bounds[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) if self.cut else None for t in texts]
-        here: set[str] = set()
-        for ps in cut:
-            here.update(ps or ())
-        if len(self.plain) > self.entries:
-            self.plain = {p: self.plain[p] for p in here if p in self.plain}
-        new = list(here.difference(self.plain))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.plain.update(zip(part, self._encode([spelled(p) for p in part])))
         plain = self.plain
+        if len(plain) > self.entries:
+            plain = self.plain = {p: plain[p] for ps in cut for p in ps or () if p in plain}
+        fresh: set[str] = set()
+        for ps in cut:
+            fresh.update(filterfalse(plain.__contains__, ps or ()))
+        # letters and one sign are two matches of the pattern: the letters are looked up alone
+        signed = [p for p in fresh if p[-1] in self.sign and p[:-1].isalpha()]
+        self._learn(list({p[:-1] for p in signed if p[:-1] not in plain}.union(fresh.difference(signed))))
+        plain.update((p, plain[p[:-1]] + self.sign[p[-1]]) for p in signed)
         rest = iter(self._encode([t for t, ps in zip(texts, cut) if ps is None]))
         return [next(rest) if ps is None else b"".join([plain[p] for p in ps])[4:] for ps in cut]
 
