@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import joins
+from ..sources import files as S
 from ..sources.scratch import scratch_folder
 from ..streaming import live
 from .registry import query, table
@@ -59,3 +60,28 @@ def join_pair_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").withColumn("stem", F.floor(F.col("doc_id") / 40)).withColumnRenamed("source", "dir")
     met = joins.pair_samples(docs.select("dir", "stem", "doc_id"), docs.select("dir", "stem", "text"))
     return met.select("dir", F.floor(F.col("doc_id") / 2).alias("stem"), "doc_id", "text")
+
+
+@query("""SELECT job_id, max(event_id) AS ord, avg(value) FILTER (n <= 3) * max(500 - place) AS eta_s FROM (SELECT user_id AS job_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n,
+  event_id % 400 AS place FROM events WHERE value IS NOT NULL) WHERE n <= 3 GROUP BY job_id HAVING true""".replace("max(500 - place)", "max(500 - place) FILTER (n = 1)"))
+def stm_live_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps the last three step times of each job in state; the query needs the RocksDB store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, live.ROCKSDB)
+    try:
+        steps = _stream(spark, sf_dir, "events").filter("value is not null").selectExpr("user_id AS job_id", "event_id AS ord", "value AS seconds", "500 - event_id % 400 AS remaining")
+        return _drained(live.live_eta(steps), "update")
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("SELECT user_id AS job_id, count(*) AS checkpoints, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id")
+def src_progress_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as a progress file for each job, then read back as logs."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "struct(CAST(ts AS STRING) AS timestamp, event_type AS type, CAST(user_id AS STRING) AS message) AS c")
+    logs = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("checkpoints"))
+    folder = scratch_folder(spark, "progress")
+    logs.select(F.col("user_id").cast("string").alias("project"), "checkpoints").write.option("maxRecordsPerFile", 1).json(folder)
+    read = S.read_progress_logs(spark, folder)
+    return read.groupBy(F.col("message").cast("bigint").alias("job_id")).agg(F.count("*").alias("checkpoints"), F.count_if(F.col("type") == "error").alias("failed"))
