@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import free_name
+from .shared import free_name, stored
 
 #: Words and beginnings of the chain's vocabulary, documents that one must occur in, and folds.
 VOCABULARY, LEAST_DOCUMENTS, FOLDS = 128, 3, 5
 #: Lengths of beginnings.
 BEGINNINGS = (4, 5, 6, 7)
-#: Labelled documents used for fitting: those of the smallest hashes, so many at most.
+#: Labelled documents used for fitting: those whose ids have the smallest hashes, so many at most.
 TRAINING_ROWS = 10_000
 THRESHOLD = 0.5
 # English terms by which labelled toxic documents are told apart as categories.
@@ -140,8 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label says so; null labels and null texts do not count. The driver gets the vocabulary and, for
     at most ``rows`` documents, the counts of its words."""
     told = labels.filter(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).alias("toxic"))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(told, "id")
-    known = known.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(rows).cache()
+    # so many ids at most, so the documents are not shuffled to find theirs
+    chosen_ids = F.broadcast(told.orderBy(F.xxhash64("id"), "id").limit(rows))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(chosen_ids, "id")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stored(known.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled").repartition(width, "id")
     word = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     forms = F.flatten(F.array(word, *[_beginnings(word, n) for n in BEGINNINGS]))
     words = known.select("toxic", F.explode(F.array_distinct(forms)).alias("word")).filter("word <> ''")
@@ -162,7 +165,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*c.keys()] for c, _ in counted], pa.list_(pa.int32())), pa.array([[*c.values()] for c, _ in counted], pa.list_(pa.int32())), pa.array([m for _, m in counted], pa.int64()), pa.array(has)], names=["toxic", "at", "times", "words", "has"])
 
     seen = known.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(count, "toxic int, at array<int>, times array<int>, words bigint, has array<boolean>").toArrow().to_pylist()
-    known.unpersist()
     if not seen:
         chain.weights = [np.append(np.zeros(len(chain.vocabulary) + 2 + k), -30.0) for k in range(len(chain.categories))]
         return chain
