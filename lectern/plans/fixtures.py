@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 #: Texts with references, notes, dashes and abbreviations put in, chosen by document.
 NOISY = """
 SELECT doc_id, lang, source, CASE CAST(doc_id % 9 AS INT)
@@ -67,8 +71,8 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above, over the tables of ``sf_dir``."""
     tables = [t for t in ("documents", "events", "orders", "customer", "part", "lineitem", "embeddings", "conversations", "pages", "labels", "supplier", "nation", "benchmark") if f" {t}" in sql]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
-    import re
-
+    if sql in (NOISY, PARAGRAPHS):
+        frames["documents"] = spread(frames["documents"])
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)

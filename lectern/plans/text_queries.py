@@ -172,7 +172,7 @@ def flt_supported_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT source, count(*) AS docs, sum({_WORDS.format('text')})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum({_WORDS.format('text')}) / 150.0::DOUBLE AS est_minutes, avg({_WORDS.format('text')}) AS avg_words FROM documents GROUP BY source")
 def agg_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.text_stats(table(spark, sf_dir, "documents"), "source")
+    return jobs.text_stats(S.spread(table(spark, sf_dir, "documents")), "source")
 
 
 def _hits_sql() -> str:
@@ -228,7 +228,7 @@ _SENTENCE_UNITS = rf"""SELECT doc_id, i, 1 AS j, trim(s) AS s, ' ' AS g, {_WORDS
       (SELECT doc_id, target, ws, unnest(range(0, ceil(len(ws) / target)::INT)) AS k FROM (SELECT doc_id, target, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents JOIN t USING (doc_id) WHERE t.have < t.want AND {_WORDS.format('text')} / 150.0 > 1.0))"""
 )
 def chk_split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return C.split_sections(docs, target_minutes=1)
 
 
@@ -239,7 +239,7 @@ _Q = rf"q AS (SELECT doc_id, unnest({_SENTENCES.format('text')}) AS s, generate_
 
 @query(_walk(_NUMBERED.format(_CHAR_UNITS), "length(w.now) + 1 + u.n <= 150", fresh="u.fresh").replace("WITH RECURSIVE u AS", f"WITH RECURSIVE {_Q}, u AS").replace("NUMBER", "chunk_no"))
 def chk_chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return C.chunk_sentences(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
 
 
 def _paragraph_units(limit: int, source: str = "{PARAGRAPHS}") -> str:
@@ -273,7 +273,7 @@ def chk_chunk_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chk_chunk_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies by row; each of them has a query with SQL above."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(F.array(*map(F.lit, C.available())), (F.col("doc_id") % 4 + 1).cast("int")).alias("strategy"))
+    docs = S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.element_at(F.array(*map(F.lit, C.available())), (F.col("doc_id") % 4 + 1).cast("int")).alias("strategy"))
     return C.chunk_with(docs, "strategy", max_chars=200)
 
 
@@ -295,7 +295,7 @@ def scr_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     parts = C._stripped(T.split_sentences(F.col("text")))
-    s = C.exploded(table(spark, sf_dir, "documents").select("doc_id", "text"), parts, "sentence_no")
+    s = C.exploded(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), parts, "sentence_no")
     p = s.withColumn("b", F.lead("text").over(W.partitionBy("doc_id").orderBy("sentence_no"))).filter("b is not null")
     a, b = F.col("text"), F.col("b")
     return p.select("doc_id", "sentence_no", B.split_score(a, b).alias("score"), B.is_safe_merge(a, b).alias("merge_ok"), B.gap_after(a, b).alias("gap_s"))
@@ -307,7 +307,7 @@ def scr_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     dialogue chunker, which the tests compare."""
     from pyspark.sql import Window as W
 
-    s = C.exploded(table(spark, sf_dir, "documents").select("doc_id", "text"), C._stripped(T.split_dialogue_sentences(F.col("text"))), "sentence_no")
+    s = C.exploded(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), C._stripped(T.split_dialogue_sentences(F.col("text"))), "sentence_no")
     p = s.withColumn("b", F.lead("text").over(W.partitionBy("doc_id").orderBy("sentence_no"))).filter("b is not null")
     return p.select("doc_id", "sentence_no", B.is_safe_break(F.col("text"), F.col("b")).alias("break_ok"), B.best_split(F.col("text"), F.col("b"), 60).alias("best_words"))
 
@@ -323,7 +323,7 @@ def agg_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned, sectioned and chunked; chunks, characters, minutes and cost by language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", T.universal_clean(F.col("text")).alias("text"))
+    docs = S.spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", T.universal_clean(F.col("text")).alias("text"))
     chunks = C.chunk_sentences(C.split_sections(docs, target_minutes=1))
     priced = joins.price_join(chunks.withColumnRenamed("source", "model"), derived(spark, sf_dir, _PRICES).filter("usd_per_million is not null"))
     return priced.groupBy("lang").agg(

@@ -18,6 +18,13 @@ PROGRESS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals an input of fewer partitions than cores over all of them: work on texts is heavy by the row,
+    while a reader gives a small table to one task. Larger inputs stay where they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
