@@ -21,10 +21,10 @@ from .shared import stored
 #: Rows that codebooks and the visited part are fitted on, the queries among them that fit the part,
 #: and the share of their neighbours that it must reach.
 SAMPLE, TRIALS, WANTED = 8192, 256, 0.97
-#: Entries of a cell on average, and the most centroids of a half.
-CELL, MOST_CENTROIDS = 100, 256
 #: Entries and queries of a cell that are compared in one task.
 BLOCK = 4096
+#: The fewest and the most centroids of a half; between them as many as give cells of a block.
+FEWEST_CENTROIDS, MOST_CENTROIDS = 16, 256
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -84,7 +84,7 @@ class MultiIndex:
 def fit(sample: np.ndarray, rows: int, k: int = 10, wanted: float = WANTED, seed: int = 5) -> MultiIndex:
     """Codebooks from ``sample``; the visited part is what reaches the ``k`` nearest of trial queries
     within the sample (where neighbours are farther off than among all rows, so it errs on more)."""
-    centroids = int(np.clip(round((rows / CELL) ** 0.5), 1, min(MOST_CENTROIDS, len(sample))))
+    centroids = min(max(FEWEST_CENTROIDS, round((rows / BLOCK) ** 0.5)), MOST_CENTROIDS, len(sample))
     h = (sample.shape[1] + 1) // 2
     index = MultiIndex(_kmeans(sample[:, :h], centroids, seed), _kmeans(sample[:, h:], centroids, seed + 1))
     trials = sample[np.random.default_rng(seed).choice(len(sample), min(TRIALS, len(sample)), replace=False)]
