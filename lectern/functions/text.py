@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: What a Unicode-aware splitter takes for white space, as a Java character class.
 WS = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space that is not one plain space: what has to change for texts to have single spaces.
+UNEVEN = f"(?:{WS.replace(' ', '', 1)}{WS}*| {WS}+)"
 WORDS_PER_MINUTE = 150
 
 # Abbreviations and their readings.
@@ -52,10 +54,16 @@ def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = Tr
     """Replaces each word in turn, whole and without regard to case; later pairs see what earlier
     ones wrote. ``strict`` asks for a word boundary after the word even where the word ends in a
     period; otherwise only that no word goes on there."""
-    for word, reading in pairs:
-        end = r"\b" if strict else r"(?!\w)"
-        text = F.regexp_replace(text, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
-    return text
+    end = r"\b" if strict else r"(?!\w)"
+
+    def replaced(t: Column) -> Column:
+        for word, reading in pairs:
+            t = F.regexp_replace(t, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
+        return t
+
+    # one look for any of the words spares most texts a pass for each; no replacement makes a first one
+    any_word = "(?iu)" + "|".join(quoted(word) for word, _ in pairs)
+    return let(text, lambda t: F.when(t.rlike(any_word), replaced(t)).otherwise(t))
 
 
 # ---- cleaning -----------------------------------------------------------------------------------
@@ -84,7 +92,7 @@ def strip_note_lines(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def tighten_punct(text: Column) -> Column:
@@ -114,7 +122,7 @@ def universal_clean(text: Column, strict: bool = True) -> Column:
 
 
 def collapse_runs(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS}+", " ")
+    return F.regexp_replace(text, UNEVEN, " ")
 
 
 def apply_dictionary(text: Column, pairs: Sequence[tuple[str, str]] = PRONUNCIATION) -> Column:
