@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import joins
+from ..operators import chunkers as C, joins
 from ..sources import files as S
 from ..sources.scratch import scratch_folder
 from ..streaming import live
@@ -85,3 +85,24 @@ def src_progress_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.select(F.col("user_id").cast("string").alias("project"), "checkpoints").write.option("maxRecordsPerFile", 1).json(folder)
     read = S.read_progress_logs(spark, folder)
     return read.groupBy(F.col("message").cast("bigint").alias("job_id")).agg(F.count("*").alias("checkpoints"), F.count_if(F.col("type") == "error").alias("failed"))
+
+
+@query(r"""SELECT lang, doc_id, k::INT + 1 AS section_no, printf('section_%03d.txt', k + 1) AS file_name, array_to_string(ws[k * 100 + 1 : k * 100 + 100], ' ') AS text FROM
+  (SELECT lang, doc_id, ws, unnest(range(0, ceil(len(ws) / 100.0)::INT)) AS k FROM (SELECT lang, doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))""")
+def snk_write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a hundred words, written in folders by language under their names and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    folder = scratch_folder(spark, "sections")
+    S.write_sections(C.exploded(docs, C.sections_by_words(F.col("text"), F.lit(100)), "section_no"), folder, "lang")
+    return spark.read.schema("doc_id bigint, section_no int, text string, file_name string, lang string").parquet(folder)
+
+
+@query("SELECT user_id AS job_id, count(*) AS logged, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def snk_append_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints appended to a log in two goes, and the log read back."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id AS ord", "CAST(ts AS STRING) AS timestamp", "event_type AS type", "event_type AS message")
+    folder = scratch_folder(spark, "log")
+    for part in ("ord % 2 = 0", "ord % 2 = 1"):
+        S.append_checkpoints(events.filter(part), folder)
+    log = spark.read.schema("job_id bigint, ord bigint, timestamp string, type string, message string").json(folder)
+    return log.groupBy("job_id").agg(F.count("*").alias("logged"), F.countDistinct("type").alias("kinds"))
