@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -61,9 +63,13 @@ def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = Tr
             t = F.regexp_replace(t, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
         return t
 
-    # one look for any of the words spares most texts a pass for each; no replacement makes a first one
-    any_word = "(?iu)" + "|".join(quoted(word) for word, _ in pairs)
-    return let(text, lambda t: F.when(t.rlike(any_word), replaced(t)).otherwise(t))
+    # a plain search for any of the words spares most texts a pass for each; without one nothing
+    # changes. By way of upper case, letters that only fold together there are found as well
+    def searched(t: Column) -> Column:
+        found = let(F.lower(F.upper(t)), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
+        return F.when(found, replaced(t)).otherwise(t)
+
+    return let(text, searched)
 
 
 # ---- cleaning -----------------------------------------------------------------------------------
