@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 from struct import pack
 
 import numpy as np
@@ -167,18 +168,18 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) if self.cut else None for t in texts]
-        here: set[str] = set()
-        for ps in cut:
-            here.update(ps or ())
-        if len(self.plain) > self.entries:
-            self.plain = {p: self.plain[p] for p in here if p in self.plain}
+        plain = self.plain
+        if len(plain) > self.entries:
+            plain = self.plain = {p: plain[p] for ps in cut for p in ps or () if p in plain}
         if len(self.match) > self.entries // 2:
             self.match = {}
-        new = here.difference(self.plain)
+        new: set[str] = set()
+        for ps in cut:
+            new.update(filterfalse(plain.__contains__, ps or ()))
         split = {p: self.pattern.findall(spelled(p)) for p in new}
         whole = [None if ps is not None else self.pattern.findall(t) for t, ps in zip(texts, cut)]
         self._learn({m for ms in split.values() for m in ms} | {m for ms in whole if ms for m in ms})
-        match, plain = self.match, self.plain
+        match = self.match
         for p, ms in split.items():
             plain[p] = b"".join([match[m] for m in ms])
         return [b"".join([plain[p] for p in ps])[4:] if ps is not None else b"".join([match[m] for m in ms or ()]) for ps, ms in zip(cut, whole)]
