@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .shared import stored
+
 #: Markers around a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Speakers that take no seat; their turns are instructions in every perspective.
@@ -25,8 +27,10 @@ def _running(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _running_long(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The same in stretches: rows are range-partitioned in dialogue order (a serial number splits
-    even equal rows), numbered within each stretch, then moved by what the stretches before hold."""
+    even equal rows), numbered within each stretch, then moved by what the stretches before hold.
+    They are written with their stretch once: a second range exchange would draw other bounds."""
     ranged = rows.withColumn("serial", F.monotonically_increasing_id()).repartitionByRange(*keys, *order, "serial").withColumn("stretch", F.spark_partition_id())
+    ranged = stored(ranged, "stretches")
     sums = ranged.groupBy(*keys, "stretch").agg(F.count("*").alias("n"), F.sum(F.length("rendered")).alias("chars"))
     w = W.partitionBy(*keys).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "stretch", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"), F.coalesce(F.sum("chars").over(w), F.lit(0)).alias("chars"))

@@ -56,6 +56,23 @@ def test_perspectives_long_dialogue(spark):
     assert rows_of(short) == rows_of(long)
 
 
+def test_perspectives_in_stretches_of_sampled_bounds(spark):
+    """More rows than range bounds are drawn from, and no partitions laid together."""
+    spoken = ["ann", "bob", "cy d", "system"]
+    made = spark.range(0, 40_000, 1, 4).select(F.lit(7).cast("bigint").alias("conv_id"), F.floor(F.col("id") / 2).alias("turn"), F.element_at(F.array(*map(F.lit, spoken)), (1 + F.xxhash64("id") % 2 + F.col("id") % 2 + 1).cast("int")).alias("role"), F.repeat(F.lit("a"), (F.col("id") % 11).cast("int")).alias("text"))
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in keys}
+    want = {tuple(r) for r in chat.perspectives(made, long=1_000_000).collect()}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = [tuple(r) for r in chat.perspectives(made).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (len(got), len(set(got) - want), len(want - set(got))) == (len(want), 0, 0)
+
+
 def test_perspectives_empty(spark):
     assert chat.perspectives(turns(spark).limit(0)).collect() == []
 
