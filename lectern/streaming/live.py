@@ -66,9 +66,27 @@ def live_eta(steps: DataFrame) -> DataFrame:
 
 
 def dedup_checkpoints(events: DataFrame, delay: str = "10 seconds", start: str = "PIPELINE_START") -> DataFrame:
-    """Without the repeated start events of a job that come within ``delay``; others pass."""
-    marked = events.withColumn("_once", F.when(F.col("type") == start, F.lit("start")).otherwise(F.concat_ws(":", F.col("ord").cast("string"), F.col("message"))))
-    return marked.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id", "type", "_once"]).drop("_once")
+    """Without the start events of a job whose start before, dropped or not, is at most ``delay`` older;
+    all others pass. The last start time of each job is kept in state, so the result is the same for
+    any number of batches in time order. A start that comes after a later one, or without a time, passes.
+    The starts of a job in one batch are sorted in memory."""
+    within = int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1))
+    begins = F.coalesce((F.col("type") == start) & F.col("ts").isNotNull(), F.lit(False))
+    columns = events.columns
+
+    def first_of_each(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["_at", "ord"], kind="stable")
+        last = state.get[0] if state.exists else None
+        gap = rows["_at"].diff()
+        if last is not None:
+            gap.iloc[0] = rows["_at"].iloc[0] - last
+            gap = gap.where(rows["_at"].shift() >= last, rows["_at"] - last)
+        state.update((max(int(rows["_at"].iloc[-1]), last if last is not None else -(2**63)),))
+        yield rows.loc[~gap.between(0, within).to_numpy(), columns]
+
+    starts = events.filter(begins).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    kept = starts.groupBy("job_id").applyInPandasWithState(first_of_each, events.schema, "last bigint", "append", "NoTimeout")
+    return events.filter(~begins).unionByName(kept)
 
 
 def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -115,6 +115,18 @@ def test_repeated_starts_are_dropped(spark, events):
     assert kept.filter("type = 'PIPELINE_START'").count() == 3 and kept.count() == 18
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_later_starts_are_kept(spark, tmp_path, files):
+    seconds = [0, 4, 10, 21, 31, 42, 42]
+    rows = [(j, i, 1_700_000_000 + s, "PIPELINE_START", "m") for j in (1, 2) for i, s in enumerate(seconds)] + [(1, 9, 1_700_000_001, "SECTION_1_START", "m")] * 2
+    made = spark.createDataFrame(rows, "job_id bigint, ord bigint, at bigint, type string, message string").selectExpr("job_id", "ord", "timestamp_seconds(at) AS ts", "type", "message")
+    for i in range(files):
+        made.filter(f"ord * {files} div 10 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    kept = drain(live.dedup_checkpoints(stream), f"later_starts_{files}", "append")
+    assert sorted((r.job_id, r.ord) for r in kept.collect()) == [(1, 0), (1, 3), (1, 5), (1, 9), (1, 9), (2, 0), (2, 3), (2, 5)]
+
+
 def test_live_eta_equals_batch(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     steps = spark.range(20).select((F.col("id") % 2).alias("job_id"), F.floor(F.col("id") / 2).alias("ord"), (F.col("id") * 1.5).alias("seconds"), (20 - F.floor(F.col("id") / 2)).alias("remaining"))
