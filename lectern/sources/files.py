@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -47,18 +48,47 @@ def read_text_corpus(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", decode_text(F.col("content")).alias("text"))
 
 
-# Character references that texts of pages use; all numeric ones are decoded as well.
+# The character references that the SQL of src_html_to_text knows.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"), ("&eacute;", "é"), ("&amp;", "&"))
 
+# All names of HTML5, with their signs and the sign & before them; the old names that
+# need no semicolon, longest first; code points that do not stand for themselves.
+NAMES = {f"&{name}": sign for name, sign in html.entities.html5.items()}
+OLD_NAMES = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)
+ODD_CODES = {n: sign for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | q for p in range(17) for q in (0xFFFE, 0xFFFF))) if (sign := html.unescape(f"&#{n};")) != chr(n)}
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _mapped(known: dict) -> Column:
+    """A constant map."""
+    return F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+
+
+def _sign_of(reference: Column) -> Column:
+    """What one character reference stands for; what is none stays."""
+    digits = F.regexp_extract(reference, r"^&#[xX]?0*([0-9a-fA-F]*?);?$", 1)
+    base = lambda n: F.conv(F.concat(F.lit("0"), digits), n, 10).cast("int")
+    code = F.when(F.length(digits) > 7, 0x110000).when(reference.rlike("^&#[xX]"), base(16)).otherwise(base(10))
+    no_sign = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    number = F.when(no_sign, "\ufffd").otherwise(F.coalesce(F.try_element_at(_mapped(ODD_CODES), code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    old = F.regexp_extract(reference, f"^&(?:{'|'.join(OLD_NAMES)})", 0)
+    name = F.coalesce(F.try_element_at(_mapped(NAMES), reference), F.when(old != "", F.concat(F.try_element_at(_mapped(NAMES), old), F.substr(reference, F.length(old) + 1))), reference)
+    return F.when(reference.startswith("&#"), number).otherwise(name)
+
+
+def decode_references(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references as their signs, as ``html.unescape`` has
+    them, in one pass from left to right: what a reference gives is not read again."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{REFERENCE}$"), _sign_of(p)).otherwise(p)), "")
+
 
 def html_to_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags go, the title stays; tags part no words.
     Lines and double spaces become single spaces."""
     for pattern in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?i)<!doctype[^>]*>", r"(?s)</?[A-Za-z][^>]*>"):
         html = F.regexp_replace(html, pattern, "")
-    for name, sign in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(sign))
-    parts = F.flatten(F.transform(F.split(html, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda line: F.split(T.strip_edges(line), "  ")))
+    parts = F.flatten(F.transform(F.split(decode_references(html), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda line: F.split(T.strip_edges(line), "  ")))
     return F.array_join(F.filter(F.transform(parts, T.strip_edges), lambda p: p != ""), " ")
 
 

@@ -1,5 +1,7 @@
 """Point tests of the functions, computed by hand from their rules."""
 
+import html
+import html.entities
 import random
 
 import numpy as np
@@ -11,6 +13,15 @@ from lectern.operators import chunkers as C, dialogue
 from lectern.sources import files as S
 
 
+def test_references_are_those_of_html(spark):
+    codes = (0, 9, 13, 38, 65, 0x80, 0x81, 0x92, 0x9F, 0xA0, 233, 0xB, 0xD800, 0xFDD0, 0xFFFF, 0x1F44D, 0x10FFFF, 0x110000, 10**7, 10**20)
+    texts = ["a &middot; b&#233;&#xE9;&#X2019;&uuml;&rsquo;", "&amp;lt; &amp;#38; &amp;amp;", "&copy2 &notit; &notin; &ampx &AMP &unknown; & &; &# &#; &#x; &#xg", "&NotEqualTilde;&fjlig;", "&&lt;&#0000000000065;&#00;", "", "$1 \\ &dollar;1&bsol;"]
+    texts += [f"x&#{c};y&#x{c:x};z&#{c}" for c in codes] + ["".join(f"&{n}" for n in html.entities.html5)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.decode_references(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == {t: html.unescape(t) for t in texts}
+    assert value(spark, "<p>5 &middot; 6 &amp;lt; &#x2019;</p>", S.html_to_text) == "5 · 6 &lt; ’"
+
+
 def value(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("v")).first()["v"]
 
