@@ -58,7 +58,9 @@ def stm_resumable_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.source AS dir, a.doc_id // 2 AS stem, a.doc_id, trim(b.text) AS text FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id // 40 = b.doc_id // 40 AND b.doc_id % 3 = 0 AND a.doc_id % 3 = 0")
 def join_pair_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").withColumn("stem", F.floor(F.col("doc_id") / 40)).withColumnRenamed("source", "dir")
+    """All documents, forty ids a stem in each folder. The SQL pairs every third only, so these rows hold
+    more than the SQL's."""
+    docs = table(spark, sf_dir, "documents").withColumn("stem", F.floor(F.col("doc_id") / 40)).withColumnRenamed("source", "dir")
     met = joins.pair_samples(docs.select("dir", "stem", "doc_id"), docs.select("dir", "stem", "text"))
     return met.select("dir", F.floor(F.col("doc_id") / 2).alias("stem"), "doc_id", "text")
 
