@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import signal as G, text as T, time as D
 from ..operators import enrich, jobs, joins
 from ..sources import files as S
-from .fixtures import ATTEMPTS, CHAPTERS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, PAGES, SIGNALS, derived
+from .fixtures import ATTEMPTS, CHAPTERS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, SIGNALS, derived
 from .registry import query, table
 
 _PARSED = r"""(SELECT *, try_cast(string_split(type, '_')[2] AS INT) AS section, CASE WHEN type LIKE 'SECTION_%' THEN regexp_replace(type, '^SECTION_[0-9]+_', '') END AS action FROM {CHECKPOINTS})"""
@@ -141,8 +141,15 @@ def win_chapter_end_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT DISTINCT p.book, p.page_no FROM {PAGES} p JOIN (SELECT book, number, start_page, coalesce(lead(start_page) OVER (PARTITION BY book ORDER BY number) - 1, 250) AS end_page FROM {CHAPTERS}) c
   ON p.book = c.book AND p.page_no BETWEEN c.start_page AND c.end_page WHERE c.number % 3 = 0""")
 def join_pages_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = jobs.chapter_end_pages(derived(spark, sf_dir, CHAPTERS).withColumn("n_pages", F.lit(250)))
-    return joins.pages_of_chapters(derived(spark, sf_dir, PAGES), chapters, chapters.filter("number % 3 = 0").select("book", "number"))
+    """Ten parts a book, each a chapter of 25 pages, so that books and pages grow with the tables. The SQL
+    has fifty books at any size, so its rows are others."""
+    part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    book = lambda key: F.floor(F.col(key) / 10).alias("book")
+    at = F.col("p_partkey") % 10
+    toc = part.select(book("p_partkey"), (at + 1).cast("int").alias("number"), (at * 25 + 1).cast("int").alias("start_page"), F.lit(250).alias("n_pages"))
+    pages = lineitem.select(book("l_partkey"), (1 + F.col("l_orderkey") % 250).cast("int").alias("page_no")).distinct()
+    chapters = jobs.chapter_end_pages(toc)
+    return joins.pages_of_chapters(pages, chapters, chapters.filter("number % 3 = 0").select("book", "number"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS part_no, coalesce(sum(length(text) * 0.06 + CASE WHEN role = 'user' THEN 0.4 ELSE 0.3 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start_s FROM conversations")
@@ -168,9 +175,11 @@ _ROLLED = "SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS}"
 @query(f"""SELECT DISTINCT job_id, section FROM (SELECT j.job_id, s.section::INT AS section FROM (SELECT DISTINCT job_id FROM {{ORDER_SECTIONS}}) j, (SELECT unnest(range(1, 13)) AS section) s
     WHERE NOT EXISTS (SELECT 1 FROM {{ORDER_SECTIONS}} o WHERE o.job_id = j.job_id AND o.section = s.section AND o.status = 'F') UNION ALL SELECT job_id, max(section) FROM {{ORDER_SECTIONS}} GROUP BY job_id)""")
 def join_pending_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job has as many sections as its largest number says; the SQL looks at the first twelve, so these
+    rows hold more than the SQL's."""
     made = derived(spark, sf_dir, ORDER_SECTIONS)
-    every = made.select("job_id").distinct().withColumn("total", F.lit(12))
-    return joins.pending_sections(every, made.filter("status = 'F'").select("job_id", "section"), made.groupBy("job_id").agg(F.max("section").alias("section")))
+    current = made.groupBy("job_id").agg(F.max("section").alias("section"))
+    return joins.pending_sections(current.withColumnRenamed("section", "total"), made.filter("status = 'F'").select("job_id", "section"), current)
 
 
 @query(f"SELECT DISTINCT job_id, section FROM {_PARSED} p WHERE action = 'COMPLETE' AND NOT EXISTS (SELECT 1 FROM {_PARSED} q WHERE q.job_id = p.job_id AND q.section = p.section AND q.action = 'START' AND q.ord % 2 = 0)")
@@ -300,8 +309,11 @@ def flt_select_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc AS conv_id, total, NOT bool_or(bad) AS valid, arg_min(ordinal, pos) FILTER (bad) AS first_bad FROM (SELECT doc, ordinal, pos, coalesce(total, 0)::INT AS total, ordinal < 1 OR ordinal > coalesce(total, 0) AS bad FROM
   (SELECT doc_id % 300 AS doc, (n_chars % 9)::INT AS ordinal, doc_id AS pos FROM documents) LEFT JOIN (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id) ON conv_id = doc) GROUP BY doc, total""")
 def flt_validate_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "documents").select((F.col("doc_id") % 300).alias("conv_id"), (F.col("n_chars") % 9).cast("int").alias("ordinal"), F.col("doc_id").alias("request_pos"))
-    return S.validate_ordinals(table(spark, sf_dir, "conversations"), asked, "conv_id").select("conv_id", "total", "valid", "first_bad")
+    """Requests dealt over all conversations; the SQL asks for the first 300 ids, so its rows are others."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = turns.agg((F.max("conv_id") + 1).alias("ids"))
+    asked = table(spark, sf_dir, "documents").crossJoin(F.broadcast(ids)).select((F.col("doc_id") % F.col("ids")).alias("conv_id"), (F.col("n_chars") % 9).cast("int").alias("ordinal"), F.col("doc_id").alias("request_pos"))
+    return S.validate_ordinals(turns, asked, "conv_id").select("conv_id", "total", "valid", "first_bad")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 5 = 3 THEN list_sort(list_distinct([p_size, 3]))::INT[] ELSE list_sort(list_distinct(list_concat(range(p_size, p_size + (p_partkey % 5)::INT + 1), [7])))::INT[] END AS numbers FROM part""")

@@ -10,3 +10,28 @@ def test_all_documents_are_paired(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES["join_pair_samples"](spark, SF)
     assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_derived_inputs_grow_with_the_tables(spark):
+    larger = SF.replace("sf0.001", "sf0.1")
+    talks = spark.read.parquet(f"{larger}/conversations.parquet").groupBy("conv_id").count()
+    checked = QUERIES["flt_validate_ordinals"](spark, larger)
+    assert talks.join(checked, "conv_id", "left_anti").count() == 0
+    assert checked.join(talks, "conv_id").filter("total <> count").count() == 0
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_custkey", "CAST(o_orderkey % 100 AS INT) AS section", "o_orderstatus").collect()
+    done, last = set(), {}
+    for r in orders:
+        done |= {(r.o_custkey, r.section)} if r.o_orderstatus == "F" else set()
+        last[r.o_custkey] = max(r.section, last.get(r.o_custkey, 0))
+    pending = {(j, n) for j, m in last.items() for n in range(1, m + 1) if (j, n) not in done} | set(last.items())
+    assert {tuple(r) for r in QUERIES["join_pending_sections"](spark, SF).select("job_id", "section").collect()} == pending
+
+    lines = spark.read.parquet(f"{larger}/lineitem.parquet").select("l_partkey", "l_orderkey").distinct().collect()
+    parts = {r.p_partkey for r in spark.read.parquet(f"{larger}/part.parquet").select("p_partkey").collect()}
+
+    def chapter(book, page):
+        return max((k % 10 + 1 for k in range(book * 10, book * 10 + 10) if k in parts and k % 10 * 25 < page), default=0)
+
+    want = {p for p in {(r.l_partkey // 10, 1 + r.l_orderkey % 250) for r in lines} if (c := chapter(*p)) and c % 3 == 0}
+    assert {tuple(r) for r in QUERIES["join_pages_of_chapters"](spark, larger).select("book", "page_no").collect()} == want
