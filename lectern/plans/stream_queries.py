@@ -79,13 +79,19 @@ def stm_live_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def _write_progress(events: DataFrame, folder: str, ids: int = 100_000) -> None:
+    """A job's log in files of its own, one for each range of ``ids`` event numbers, so that no row or
+    file holds more checkpoints than that."""
+    logs = events.groupBy("user_id", F.floor(F.col("event_id") / ids).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("checkpoints"))
+    logs.select(F.col("user_id").cast("string").alias("project"), "checkpoints").write.option("maxRecordsPerFile", 1).json(folder)
+
+
 @query("SELECT user_id AS job_id, count(*) AS checkpoints, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id")
 def src_progress_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as a progress file for each job, then read back as logs."""
+    """Events written as progress files of each job, then read back as logs."""
     events = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "struct(CAST(ts AS STRING) AS timestamp, event_type AS type, CAST(user_id AS STRING) AS message) AS c")
-    logs = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("checkpoints"))
     folder = scratch_folder(spark, "progress")
-    logs.select(F.col("user_id").cast("string").alias("project"), "checkpoints").write.option("maxRecordsPerFile", 1).json(folder)
+    _write_progress(events, folder)
     read = S.read_progress_logs(spark, folder)
     return read.groupBy(F.col("message").cast("bigint").alias("job_id")).agg(F.count("*").alias("checkpoints"), F.count_if(F.col("type") == "error").alias("failed"))
 

@@ -1,8 +1,14 @@
-"""Queries that must read all of their tables."""
+"""Queries that must read all of their tables, and hold no group of them whole."""
 
-from pyspark.sql import functions as F
+import tracemalloc
+from types import SimpleNamespace
 
-from lectern.plans import QUERIES
+import numpy as np
+import pandas as pd
+
+from lectern.plans import QUERIES, stream_queries
+from lectern.sources import files as S
+from lectern.streaming import live
 from tests.conftest import SF
 
 
@@ -35,3 +41,21 @@ def test_derived_inputs_grow_with_the_tables(spark):
 
     want = {p for p in {(r.l_partkey // 10, 1 + r.l_orderkey % 250) for r in lines} if (c := chapter(*p)) and c % 3 == 0}
     assert {tuple(r) for r in QUERIES["join_pages_of_chapters"](spark, larger).select("book", "page_no").collect()} == want
+
+
+def test_last_steps_are_trimmed_at_each_batch():
+    made = live._LastSteps()
+    made.steps = SimpleNamespace(exists=lambda: False, get=list, put=lambda steps: None)
+    batches = (pd.DataFrame({"ord": np.arange(i * 5000, i * 5000 + 5000), "seconds": 2.0, "remaining": 4}) for i in range(40))
+    tracemalloc.start()
+    out = next(made.handleInputRows((1,), batches, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.values.tolist() == [[1, 199_999, 8]] and peak < 6_000_000
+
+
+def test_a_long_log_is_written_in_parts(spark, tmp_path):
+    events = spark.range(50).selectExpr("id % 2 AS user_id", "id AS event_id", "struct('t' AS timestamp, 'error' AS type, CAST(id % 2 AS STRING) AS message) AS c")
+    stream_queries._write_progress(events, str(tmp_path / "log"), ids=10)
+    read = S.read_progress_logs(spark, str(tmp_path / "log"))
+    assert read.count() == 50 and sorted(r["count"] for r in read.groupBy("path").count().collect()) == [5] * 10
