@@ -3,16 +3,18 @@
 Tokens are counted where the texts are; only a histogram of piece lengths (at most as many rows as a
 sequence has tokens) reaches the driver, and only a plan of as bounded a size goes back. The plan
 rounds large lengths up to the largest of their group, groups having equal numbers of pieces, solves
-the few-size packing by column generation and puts actual lengths where rounded ones stood, all but
-the smallest of each configuration; those and the small pieces go where they fit best, which wins
-back the room that rounding lost. It speaks of runs of pieces of equal length, so its size does not depend
-on how many there are.
+the few-size packing by column generation and puts actual lengths in all places of a configuration:
+each place takes the largest piece left that its size, and what the places before it lost by
+rounding, admit. The small pieces, and large ones that are alone in their configuration, go where
+they fit best. The plan speaks of runs of pieces of equal length, so its size does not depend on how
+many there are.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -20,17 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from .pieces import pieces, spelled
-from .shared import one_thread, stored
+from .pieces import blank, pieces, spelled
+from .shared import one_thread, slices, stored
 
-#: Groups of large lengths.
-GROUPS = 128
-#: Lengths of more than this part of a sequence are large.
-LARGE = 1 / 3
-#: Column generation ends after so many columns at the latest; what it has then is a valid packing.
-COLUMNS = 3000
+#: Parts of a sequence above which a length is large, each with its number of groups, in the order in
+#: which they are tried.
+THRESHOLDS = ((1 / 3, 96), (1 / 6, 64), (1 / 10, 48))
+#: Parts of a solution that are carried out where small pieces are enough for the room beside it.
+PARTS = (1 / 2, 1 / 4, 1 / 8, 1 / 16)
+#: Room, as a part of a sequence, that small pieces can be counted on to fill.
+USABLE = 5 / 32
 CACHE_ENTRIES = 600_000
 SIGNS = ",.;:!?"
+#: Bytes of text that are held as Python strings at a time.
+SLICE_BYTES = 4 << 20
 
 
 # ---- tokens -----------------------------------------------------------------------------------
@@ -42,7 +47,8 @@ class _Counter:
     def __init__(self, path: str, entries: int):
         one_thread()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Spellings that the library takes for ids of their own: texts with one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
         self.plain: dict[str, bytes] = {}
         # bytes of text that each id stands for: a character of its name is a byte
@@ -68,13 +74,17 @@ class _Counter:
             self.plain.update((p, raw[a:b]) for p, a, b in zip(new[lo : lo + 2000], bounds, bounds[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) if self.cut else None for t in texts]
+        cut = [pieces(t) if self.cut and not any(a in t for a in self.added) else None for t in texts]
         plain = self.plain
         if len(plain) > self.entries:
             plain = self.plain = {p: plain[p] for ps in cut for p in ps or () if p in plain}
         fresh: set[str] = set()
         for ps in cut:
             fresh.update(filterfalse(plain.__contains__, ps or ()))
+        # white space would join with what stands beside it
+        alone = list(filter(blank, fresh))
+        plain.update(zip(alone, self._encode(list(map(spelled, alone)))))
+        fresh.difference_update(alone)
         # letters and one sign are two matches of the pattern: the letters are looked up alone
         signed = [p for p in fresh if p[-1] in self.sign and p[:-1].isalpha()]
         self._learn(list({p[:-1] for p in signed if p[:-1] not in plain}.union(fresh.difference(signed))))
@@ -97,10 +107,9 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
         encode, end = _counters[key].encode, np.asarray([end_id], "<u4").tobytes()
         names = ("doc_id", "piece", "start", "length", "ids_crc32")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                keys = batch.column(0).slice(lo, 1000).to_pylist()
+            for part in slices(batch, 1, SLICE_BYTES):
                 rows: list[tuple] = []
-                for key, raw in zip(keys, encode([t or "" for t in batch.column(1).slice(lo, 1000).to_pylist()])):
+                for key, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     raw += end
                     n = len(raw) // 4
                     first = (n - 1) % capacity + 1
@@ -139,57 +148,6 @@ def _groups(lengths: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]
     return merged
 
 
-def _price(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of most worth: an unbounded knapsack by dynamic programming."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = np.flatnonzero(sizes <= room)
-        if len(fits):
-            value = best[room - sizes[fits]] + worth[fits]
-            i = int(value.argmax())
-            if value[i] > best[room] + 1e-12:
-                best[room], took[room] = value[i], fits[i]
-    column, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            column[took[room]] += 1
-            room -= sizes[took[room]]
-    return column
-
-
-def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Configurations of the rounded sizes with whole numbers of sequences: the linear relaxation,
-    by column generation, rounded down. No configuration uses a size more often than it is there."""
-    s, d = np.asarray(sizes), np.asarray(demand, float)
-    basis = np.diag((capacity // s).astype(float))
-    x = d / np.diag(basis)
-    for _ in range(COLUMNS):
-        worth = np.linalg.solve(basis.T, np.ones(len(s)))
-        column = _price(s, worth, capacity)
-        if worth @ column <= 1 + 1e-7:
-            break
-        step = np.linalg.solve(basis, column)
-        up = step > 1e-9
-        ratio = np.where(up, x / np.where(up, step, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
-        x = np.maximum(x - ratio[out] * step, 0)
-        x[out], basis[:, out] = ratio[out], column
-    left = d.astype("i8").copy()
-    found = []
-    for j in np.argsort(-x, kind="stable").tolist():
-        use = basis[:, j].astype("i8")
-        n = min([int(x[j] + 1e-6), *(left[use > 0] // use[use > 0]).tolist()])
-        if n > 0:
-            left -= n * use
-            found.append((use.tolist(), n))
-    return found
-
-
 class _Bins:
     """Sequences by what they hold: classes (count, lengths), found by the room left."""
 
@@ -206,6 +164,9 @@ class _Bins:
                 insort(self.rooms, room)
             self.by_room[room].append((count, held))
 
+    def count(self) -> int:
+        return sum(n for classes in self.by_room.values() for n, _ in classes)
+
     def best_fit(self, length: int, n: int) -> None:
         """``n`` pieces of one length, each where it leaves the least room; new sequences if none
         has room. Best fit goes on with the sequence it has just used, so each is filled at once."""
@@ -232,43 +193,152 @@ class _Bins:
             self.add(count, held)
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> dict[str, np.ndarray]:
-    """Runs: pieces of ``length`` with ranks ``rank``..``rank+count-1`` go to sequences
-    ``sequence``..``sequence+count-1``, at ``offset`` in each."""
-    bins = _Bins(capacity)
-    lengths = sorted(((a, n) for a, n in histogram.items() if n), reverse=True)
-    if lengths and (lengths[0][0] > capacity or lengths[-1][0] < 1):
-        raise ValueError("a piece is longer than a sequence, or empty")
-    big = [x for x in lengths if x[0] > large * capacity]
-    rest = {a: n for a, n in lengths if a <= large * capacity}
-    if big:
+def _best_columns(worth: np.ndarray, below: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... places: the most that sizes of a sum of exactly f can be worth, for every f, and
+    the size put last. ``below[i, f]`` is f less size i, or the cell behind the last where that is
+    negative."""
+    most = np.full(below.shape[1] + 1, -np.inf)
+    most[0] = 0
+    for _ in range(places):
+        value = most[below] + worth[:, None]
+        last = value.argmax(0)
+        most = np.append(value[last, np.arange(below.shape[1])], -np.inf)
+        yield most[:-1], last
+
+
+def _configurations(sizes: list[int], demand: list[int], sequences: int, capacity: int, usable: int) -> tuple[list[tuple[np.ndarray, float]], bool]:
+    """Configurations of the rounded sizes with (fractional) numbers of sequences, and whether more than
+    ``sequences`` are needed: the linear relaxation by column generation.
+
+    ``sequences`` is what all tokens would fill. More of them are used only where they must; within
+    them, room is lost where a configuration leaves less than small pieces can be counted on to fill."""
+    s, m = np.asarray(sizes), len(sizes)
+    room = np.arange(capacity + 1)
+    lost = np.where(room < usable, room / max(usable, 1), 0.0)[::-1]  # by the sum of sizes
+    # a little uneven, so that no step leaves all as it was
+    d = np.asarray(demand, float) * (1 + 1e-7 * np.random.default_rng(0).random(m))
+    beyond = 10.0  # what a sequence beyond ``sequences`` costs
+    basis = np.eye(m + 1)
+    basis[m, :m] = 1
+    over = d.sum() > sequences
+    basis[m, m] = -1 if over else 1
+    cost = np.append(lost[s], beyond if over else 0.0)
+    x = np.append(d, abs(d.sum() - sequences))
+    slack = np.append(np.zeros(m), 1.0)
+    below = room[None, :] - s[:, None]
+    below = np.where(below < 0, capacity + 1, below)
+    inverse, rounds, best, since = np.linalg.inv(basis), 0, np.inf, 0
+    while since < 200:
+        worth = cost @ inverse
+        gain, column, price = worth[m], slack, 0.0
+        lasts = []
+        for n, (value, last) in enumerate(_best_columns(worth[:m], below, capacity // int(s.min())), 1):
+            lasts.append(last)
+            f = int((value - lost).argmax())
+            if value[f] - lost[f] + worth[m] > gain:
+                gain, price, column = value[f] - lost[f] + worth[m], lost[f], slack.copy()
+                for last in reversed(lasts):
+                    column[last[f]] += 1
+                    f -= s[last[f]]
+        if gain < 1e-6:
+            break
+        step = inverse @ column
+        up = step > 1e-9
+        ratio = np.where(up, x / np.where(up, step, 1), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out], basis[:, out], cost[out] = ratio[out], column, price
+        row = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, row)
+        inverse[out] = row
+        rounds += 1
+        if rounds % 64 == 0:
+            inverse = np.linalg.inv(basis)
+        now = float(cost @ x)
+        best, since = (now, 0) if now < best - 1e-9 else (best, since + 1)
+    used = [(basis[:m, j].astype("i8"), float(x[j])) for j in np.argsort(-x, kind="stable") if basis[:m, j].any()]
+    return used, bool(((cost >= beyond) & (x > 0.5)).any())
+
+
+def _carry_out(bins: _Bins, rest: dict[int, int], used: list[tuple[list[int], int]], capacity: int, usable: int) -> None:
+    """Fills configurations (sizes in falling order, number of sequences) with actual lengths from
+    ``rest``. Every place is filled: the pieces left always hold one that fits it, as sizes were
+    rounded up. The last place may also use room that nothing else can."""
+    lengths = sorted(rest)
+
+    def take(limit: int, n: int) -> Iterator[tuple[int, int]]:
+        while n:
+            length = lengths[bisect_right(lengths, limit) - 1]
+            got = min(n, rest[length])
+            n, rest[length] = n - got, rest[length] - got
+            if not rest[length]:
+                del rest[length], lengths[bisect_left(lengths, length)]
+            yield length, got
+
+    for sizes, n in sorted(used, reverse=True):
+        held: list[tuple[tuple[int, ...], int]] = [((), n)]
+        for k in range(1, len(sizes) + 1):
+            end = sum(sizes[:k]) if k < len(sizes) or capacity - sum(sizes) >= usable else capacity
+            held = [(have + (length,), got) for have, count in held for length, got in take(end - sum(have), count)]
+        for have, count in held:
+            bins.add(count, have)
+
+
+def _scheme(histogram: dict[int, int], capacity: int, large: float, groups: int, part: float) -> tuple[_Bins, bool]:
+    """The sequences of one threshold, and whether ``part`` had a say in them. Where configurations need more sequences than the tokens fill,
+    half of a solution is carried out, what is left is grouped anew, with finer groups as it is less,
+    and so on. Elsewhere ``part`` of one solution is carried out, which leaves best fit its choice."""
+    bins, rest = _Bins(capacity), dict(histogram)
+    sequences = -(-sum(a * n for a, n in histogram.items() if a < capacity) // capacity)
+    usable, short, last = int(USABLE * capacity), False, False
+    while not last:
+        big = sorted(((a, n) for a, n in rest.items() if large * capacity < a < capacity), reverse=True)
+        if not big or capacity // big[-1][0] < 2:
+            break
         grouped = _groups(big, groups)
-        use = _configurations([g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped], capacity)
-        stock = [list(reversed(g)) for g in grouped]  # the largest is taken first
-        for times, n in use:
-            slots = [g for g, t in enumerate(times) for _ in range(t)]
-            slots = slots[:-1] if len(slots) > 1 else slots  # groups stand in falling order of size
-            taken: list[list[tuple[int, int]]] = []
-            for g in slots:
-                need, got = n, []
-                while need:
-                    length, there = stock[g].pop()
-                    take = min(need, there)
-                    got.append((length, take))
-                    need -= take
-                    if there > take:
-                        stock[g].append((length, there - take))
-                taken.append(got)
-            while n:  # the longest stretch over which no slot changes its length
-                step = min(got[0][1] for got in taken)
-                bins.add(step, tuple(got[0][0] for got in taken))
-                n -= step
-                taken = [([(got[0][0], got[0][1] - step)] if got[0][1] > step else []) + got[1:] for got in taken]
-        for g in stock:
-            for length, n in g:
-                rest[length] = rest.get(length, 0) + n
+        sizes, left = [g[0][0] for g in grouped], np.asarray([sum(n for _, n in g) for g in grouped])
+        found, short = _configurations(sizes, left.tolist(), max(sequences - bins.count(), 0), capacity, usable)
+        used = []
+        for use, x in found:
+            n = min(int(x * (0.5 if short else part) + 1e-6), *(left[use > 0] // use[use > 0]).tolist()) if use.sum() > 1 else 0
+            if n:
+                left = left - n * use
+                used.append(([size for size, k in zip(sizes, use.tolist()) for _ in range(k)], n))
+        stock = {a: rest.pop(a) for a, _ in big}
+        _carry_out(bins, stock, used, capacity, capacity + 1 if short else usable)
+        rest |= stock
+        last = not short or not used
     for length in sorted(rest, reverse=True):
         bins.best_fit(length, rest[length])
+    return bins, not short
+
+
+def plan(histogram: dict[int, int], capacity: int, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> dict[str, np.ndarray]:
+    """Runs: pieces of ``length`` with ranks ``rank``..``rank+count-1`` go to sequences
+    ``sequence``..``sequence+count-1``, at ``offset`` in each.
+
+    What is large is settled by trial: the thresholds in turn, until a plan needs no more sequences
+    than best fit would and at most a thousandth more than the tokens fill; else the plan of the fewest
+    sequences. The last threshold is one half, above which no configuration has two places, so a plan
+    never has more sequences than best fit.
+    """
+    histogram = {a: n for a, n in histogram.items() if n}
+    if histogram and (max(histogram) > capacity or min(histogram) < 1):
+        raise ValueError("a piece is longer than a sequence, or empty")
+    plain, _ = _scheme(histogram, capacity, 1 / 2, 1, 1)
+    fills = -(-sum(a * n for a, n in histogram.items()) // capacity)
+    bins, fewest = plain, plain.count() + 1
+    for large, groups in thresholds:
+        for part in PARTS:
+            made, more = _scheme(histogram, capacity, large, groups, part)
+            if made.count() < fewest:
+                bins, fewest = made, made.count()
+            if not more or fewest <= min(plain.count(), fills + fills // 1000):
+                break
+        if fewest <= min(plain.count(), fills + fills // 1000):
+            break
+    if fewest > plain.count():
+        bins = plain
     runs, ranks, sequence = [], dict.fromkeys(histogram, 0), 0
     for room in bins.rooms:
         for count, held in bins.by_room[room]:
@@ -285,11 +355,12 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
 # ---- the packing -------------------------------------------------------------------------------
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one for each piece.
 
     Every row of ``docs`` gives at least one piece: a null or empty text has the end id alone. A text
-    of up to ``capacity`` ids is one piece; a longer one is cut, nothing is dropped. Repeated rows and
+    of up to ``capacity`` ids is one piece; a longer one, however long, is cut, nothing is dropped. The
+    spelling of an added token is that token, as the library has it by default. Repeated rows and
     repeated or null doc_ids are packed as often as they stand there; an empty table gives no rows;
     other columns are not read. Pieces of one length are numbered through without gathering them: by
     the part they were made in, then within it.
@@ -297,7 +368,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capac
     made = stored(token_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id), "pieces")
     counts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = plan(histogram, capacity, groups, large)
+    runs = plan(histogram, capacity, thresholds)
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = made.withColumn("rank", F.row_number().over(W.partitionBy("part", "length").orderBy("doc_id", "piece", "start")) - 1)
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))

@@ -3,24 +3,60 @@
 from __future__ import annotations
 
 import re
+from itertools import product
 
-#: Any white space but space and newline.
-_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: White space but space and newline; the separators 1C to 1F, which not every engine takes for any.
+_OTHER = r"\t\r\x0b\x0c\x85\xa0  -     　"
+_UNSURE = re.compile(r"[\x1c-\x1f]")
+_ANY_OTHER = re.compile(f"[{_OTHER}]")
+#: Stretches of white space that are not cut before each character: those with other white space, of
+#: three characters or more, or of two at the end.
+_LONG = re.compile(rf"[ \n]*[{_OTHER}][ \n{_OTHER}]*|[ \n]{{3,}}|[ \n]{{2}}\Z")
+_THREES = tuple(map("".join, product(" \n", repeat=3)))
 
 
 def pieces(text: str) -> list[str] | None:
-    """White-space delimited pieces of a plain text, or None if the text is not plain.
+    """Pieces of a text that the pattern matches by themselves, or None for a text that is left whole.
 
-    Where single spaces and single newlines are the only white space, no match of the pattern
-    crosses the place before one: a space starts the match that follows, a newline is a match of
-    its own. A piece that starts with a newline stands for itself, any other for a space and
-    itself; the first piece gets a newline that is not in the text, whose id the caller drops.
+    No match of the pattern crosses the place before the last white space of a stretch: what stands
+    before it is one match, it begins the next match if it is a space and is a match of its own if
+    not. So a stretch of one or two is cut before each character. A piece that starts with white space
+    stands for itself, any other for a space and itself; the first piece gets a newline that is not in
+    the text, whose id the caller drops.
     """
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or _ODD.search(text):
+    if not text or _UNSURE.search(text):
         return None
-    return f"\n{text}".replace("\n", " \n").split(" ")[1:]
+    if not any(t in text for t in _THREES) and not _ANY_OTHER.search(text) and (text[-1] not in " \n" or text[-2:-1] not in (" ", "\n")):
+        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
+    out: list[str] = []
+    lead, at = "\n", 0
+    for m in _LONG.finditer(text):
+        if m.end() == len(text):
+            break
+        if m.start() > at or not out:
+            out += _plain(lead, text[at : m.start()])
+        if m.end() - m.start() > 1:
+            out.append(text[m.start() : m.end() - 1])
+        lead, at = text[m.end() - 1], m.end()
+    else:
+        return out + _plain(lead, text[at:])
+    out += _plain(lead, text[at : m.start()])
+    out.append(m.group())
+    return out
+
+
+def _plain(lead: str, part: str) -> list[str]:
+    """Pieces of a part without long stretches, after one character of white space."""
+    if lead == " ":
+        return part.replace("\n", " \n").split(" ")
+    cut = (lead + part).replace("\n", " \n").split(" ")
+    return cut[1:] if lead == "\n" else cut
 
 
 def spelled(piece: str) -> str:
-    return piece if piece.startswith("\n") else f" {piece}"
+    return piece if piece[:1].isspace() else f" {piece}"
+
+
+def blank(piece: str) -> bool:
+    """Pieces of white space alone, which must not stand beside others where they are encoded."""
+    return not piece or piece.isspace()

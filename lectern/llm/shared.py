@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -47,6 +50,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of up to ``most`` bytes of a text column, and one row beyond: what
+    is made of them as Python objects stays bounded, but for a single long text."""
+    sizes = batch.column(column).nbytes if batch.num_rows else 0
+    if sizes <= most:
+        if batch.num_rows:
+            yield batch
+        return
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)) + 1
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def one_thread() -> None:
     """Spark deals the tasks; libraries inside them use one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import byte_bpe, packing, pii, simhash, toxicity
 from lectern.llm.packing import _Bins, plan
+from lectern.llm.pieces import pieces, spelled
 from tests.conftest import SF
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +64,7 @@ def test_bpe_random_texts():
     rng = random.Random(4)
     parts = ["a", "'s", " ", "\n", "  ", "\t", "é", "1", "½", "中", "aaaa", "\x1c", "\xa0", "👍", "'ll", "!", "the", "\r\n", "_"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)]
+    texts += ["a \n\n b\n\n\n c", "\n\n", "   a", "a\t\tb  ", " \n \n"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
@@ -81,7 +83,6 @@ def test_bpe_empty(spark, odd):
 
 def check_packing(docs, got, capacity=1024):
     tokenizer = Tokenizer.from_file(HF)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t, *_ in docs:
         ids = np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -116,23 +117,73 @@ def test_packing_is_near_the_bound(spark):
     assert sequences <= 1.05 * tokens / 1024 + 2
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_against_plain_best_fit(seed):
-    rng = np.random.default_rng(seed)
-    histogram = {int(a): int(rng.integers(1, 60)) for a in rng.integers(1, 1025, 300)}
+def test_added_tokens_are_those_of_the_library(spark):
+    docs = [(1, "a <|endoftext|> b", "a"), (2, "<|endoftext|>", "a"), (3, "plain <|endof text|>", "a")]
+    got = packing.pack(frame(spark, docs), "doc_id", "text", HF).collect()
+    check_packing(docs, got)
+    assert {r.doc_id: r.length for r in got}[1] == 5
+
+
+def test_cut_pieces_give_the_ids_of_the_text():
+    tokenizer = Tokenizer.from_file(HF)
+    counter = packing._Counter(HF, 1000)
+    rng = random.Random(8)
+    parts = ["a", "Word", " ", "\n", "\n\n", "\t", "é", "1", "'s", "!", "\xa0", "\u3000", "\x85", "\r\n", "\x1c", "<|endoftext|>", ",", "  "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)]
+    ids = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert counter.encode(texts) == [ids(t) for t in texts]
+    cut = [(t, p) for t in texts if "<" not in t and (p := pieces(t)) is not None]
+    assert len(cut) > 1000 and all(b"".join(ids(spelled(x)) for x in p)[4:] == ids(t) for t, p in cut)
+
+
+LENGTHS = {
+    "uniform": lambda rng: rng.integers(1, 1025, 4000),
+    "thirds": lambda rng: rng.integers(150, 520, 4000),
+    "halves": lambda rng: rng.integers(300, 1025, 4000),
+    "normal": lambda rng: np.clip(rng.normal(400, 150, 4000), 1, 1024).astype(int),
+    "many small": lambda rng: np.clip(rng.lognormal(5, 1, 4000), 1, 1024).astype(int),
+    "two lengths": lambda rng: rng.choice([600, 424], 4000),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_plan_is_never_worse_than_best_fit(kind):
+    values, counts = np.unique(LENGTHS[kind](np.random.default_rng(3)), return_counts=True)
+    histogram = dict(zip(values.tolist(), counts.tolist()))
     runs = plan(histogram, 1024)
     plain = _Bins(1024)
     for a in sorted(histogram, reverse=True):
         plain.best_fit(a, histogram[a])
-    filled = defaultdict(int)
+    ends = defaultdict(list)
     ranks = defaultdict(list)
-    for length, rank, count, sequence, _ in zip(*runs.values()):
-        ranks[length].append((rank, count))
+    for length, rank, count, sequence, offset in zip(*(x.tolist() for x in runs.values())):
+        ranks[length] += range(rank, rank + count)
         for k in range(count):
-            filled[sequence + k] += length
-    assert max(filled.values()) <= 1024
-    assert {a: sum(c for _, c in x) for a, x in ranks.items()} == histogram
-    assert len(filled) <= 1.02 * sum(c for x in plain.by_room.values() for c, _ in x) + 2
+            ends[sequence + k].append((offset, length))
+    assert {a: sorted(x) for a, x in ranks.items()} == {a: list(range(n)) for a, n in histogram.items()}
+    for places in ends.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    best = plain.count()
+    assert len(ends) < best if kind == "thirds" else len(ends) <= best
+
+
+def test_configurations_keep_all_their_places():
+    histogram = {600: 40, 590: 40, 424: 40, 430: 20, 300: 50, 1000: 5}
+    bins, rest = _Bins(1024), dict(histogram)
+    packing._carry_out(bins, rest, [([600, 424], 50), ([430, 300], 20), ([300, 300, 300], 3)], 1024, 100)
+    placed = [held for classes in bins.by_room.values() for n, held in classes for _ in range(n)]
+    assert sorted(map(len, placed)) == [2] * 70 + [3] * 3 and max(map(sum, placed)) <= 1024
+    assert {a: sum(h.count(a) for h in placed) + rest.get(a, 0) for a in histogram} == histogram
+
+
+def test_rounded_sizes_are_configured_optimally():
+    found, short = packing._configurations([600, 424, 300], [10, 10, 30], 0, 1024, 0)
+    whole = {tuple(use.tolist()): x for use, x in found if x > 1e-3}
+    assert short and sum(whole.values()) == pytest.approx(20, abs=1e-3)
 
 
 # ---- SimHash -------------------------------------------------------------------------------------
