@@ -16,7 +16,7 @@ import base64
 import hashlib
 import heapq
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import filterfalse
 from struct import pack
 
@@ -26,11 +26,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .pieces import pieces, spelled
+from .shared import slices
 
 #: Pieces kept by a Python worker; beyond it only those of the last run stay.
 CACHE_ENTRIES = 600_000
-#: Characters of text that are replayed together.
-RUN_CHARS = 16_000_000
+#: Bytes of text that are replayed together, and so held as Python strings at a time.
+RUN_BYTES = 8 << 20
 _SHIFT = 20
 
 
@@ -197,24 +198,13 @@ def _encoder(*key) -> _Encoder:
     return _encoders[key]
 
 
-def _runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, with_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Rows ``(doc_id, ids array<int>, n_tokens, ids_sha256, decoded_sha256)``, one for each row of ``docs``.
 
     Every match of ``pattern`` in the whole text is encoded by itself, by the ranks in
     ``ranks_path``; no special tokens exist, so their spellings are ordinary text. The ids are then
-    decoded and both sides hashed. Null and empty texts have no ids; repeated rows and repeated or
-    null doc_ids give a row each; an empty table gives an empty one; other columns are not read, so
+    decoded and both sides hashed. Null and empty texts have no ids; very long texts are encoded
+    whole and held one at a time; repeated rows and repeated or null doc_ids give a row each; an empty table gives an empty one; other columns are not read, so
     their names cannot clash. ``with_ids=False`` leaves the ids out. No shuffle.
     """
     fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -227,17 +217,16 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, ranks_path: st
         encoder = _encoder(ranks_path, pattern, cache_entries)
         decode = encoder.replay.decode
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _runs(texts, RUN_CHARS):
+            for part in slices(batch, 1, RUN_BYTES):
                 rows = {n: [] for n, _ in fields if n != "doc_id"}
-                for raw in encoder.encode(texts[lo:hi]):
+                for raw in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
                     ids = np.frombuffer(raw, "<u4")
                     rows["n_tokens"].append(len(ids))
                     rows["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(decode(ids.tolist())).hexdigest())
                     if with_ids:
                         rows["ids"].append(ids.astype("i4"))
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).cast(pa.int64()) if n == "doc_id" else pa.array(rows[n], t) for n, t in fields], names=[n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()) if n == "doc_id" else pa.array(rows[n], t) for n, t in fields], names=[n for n, _ in fields])
 
     schema = "doc_id bigint, " + ("ids array<int>, " if with_ids else "") + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tasks, schema)
