@@ -309,12 +309,44 @@ def model():
 
 
 def test_field_learns_its_table_and_held_out_lines(model):
-    table = pii.labelled_table()
-    found = pii.field_spans([t for t, _ in table], model)
-    assert sum(f == s for f, (_, s) in zip(found, table)) >= 0.95 * len(table)
-    held_out = [("please mail karl.h (at) example.com now", ["karl.h (at) example.com"]), ("fax (333) 555-1234 then", ["(333) 555-1234"]), ("on 2024-05-06 at 10:30 we had 12 of 45 and 1.2.3", [])]
-    for text, spans in held_out:
-        assert [text[a:b] for _, a, b in pii.field_spans([text], model)[0]] == spans
+    precision, recall = pii.scores(model, pii.labelled_table())
+    assert precision >= 0.97 and recall >= 0.95
+    precision, recall = pii.scores(model, pii.labelled_table("held_out"))
+    assert precision >= 0.95 and recall >= 0.7
+
+
+def test_field_adds_spans_that_the_patterns_miss(spark, model):
+    lines = pii.labelled_table("held_out")
+    rows = [(i, f"The report of day {i} was read.\n{t}\nThen all {i} of them left.", "a") for i, (t, _) in enumerate(lines)]
+    got = {r.doc_id: r for r in pii.detect(frame(spark, rows), model=model).collect()}
+    added = wrong = 0
+    for (i, text, _), (line, spans) in zip(rows, lines):
+        at = text.index(line)
+        want = {f"{k}:{a + at}:{b + at}" for k, a, b in spans}
+        more = set(got[i].spans.split(",")) - {""} - set(pii.joined(slow_spans(text)).split(","))
+        added += len(more & want)
+        wrong += len(more - want)
+    assert added >= 12 and wrong <= 1
+
+
+def test_clean_documents_are_left_alone(spark, model):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    more = [set(every) - set(base) for base, every in pii.find_spans(docs, model)]
+    assert sum(map(bool, more)) <= 0.01 * len(docs)
+
+
+def test_chances_equal_those_of_all_paths(model):
+    import itertools
+
+    feats, _ = pii.line_features("(555) 0")
+    e, n = model.scores([feats])
+    odds = {}
+    for path in itertools.product(range(len(pii.TAGS)), repeat=int(n[0])):
+        odds[path] = np.exp(model.start[path[0]] + e[0, 0, path[0]] + sum(model.step[a, b] + e[0, t + 1, b] for t, (a, b) in enumerate(zip(path, path[1:]))))
+    tags = model.viterbi([feats])[0]
+    total = sum(odds.values())
+    for t, chance in enumerate(model.chances([feats], [tags])[0]):
+        assert chance == pytest.approx(sum(o for p, o in odds.items() if p[t] == tags[t]) / total)
 
 
 def test_viterbi_equals_all_paths(model):
