@@ -251,6 +251,49 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), F.lit(1)).collect() == []
 
 
+def test_sharding_depends_on_seed_and_rows_alone(spark):
+    same = [(7, "copy", "x", 1)] * 40
+    rows = [(i, f"text {i}" * (i % 9), "x", 1) for i in range(400)] + same
+    made = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, width, few in ((1, 4, 1_000_000), (7, 8, 1_000_000), (40, 211, 0)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(width))
+            df = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id bigint, text string, bucket string, shard int").repartition(parts)
+            got = sharding.shard(df, sharding.text_bytes(F.col("text")) + 1, bucket_bytes=1500, most_broadcast=few, stretch=3)
+            made.append({(r.shard, r.slot): tuple(r.record) for r in got.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1] == made[2] and sorted(map(repr, made[0].values())) == sorted(map(repr, rows))
+    other = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, bucket string, shard int"), F.lit(10), seed=11).collect()
+    assert {(r.shard, r.slot): tuple(r.record) for r in other} != made[0]
+
+
+def test_buckets_are_drawn_and_permuted(spark):
+    """Each bucket holds the records whose hash says so, one bucket to a task, in the order of a
+    Fisher-Yates shuffle of their drawn order."""
+    df = spark.createDataFrame([(i, "t" * (i % 50)) for i in range(600)], "doc_id bigint, text string")
+    total = sum(i % 50 + 1 for i in range(600))
+    buckets = -(-total // 2000)
+    hashed = df.select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    drawn = lambda salt: F.xxhash64(F.lit(10), F.lit(salt), "h", F.lit(0).cast("bigint"))
+    told = hashed.select("doc_id", drawn("order").alias("at"), F.pmod(drawn("bucket"), F.lit(buckets)).alias("bucket")).collect()
+    spread = sharding.two_pass_shuffle(df, sharding.text_bytes(F.col("text")) + 1, bucket_bytes=2000)
+    got = {}
+    for r in spread.orderBy("bucket", "place").collect():
+        got.setdefault(r.bucket, []).append(r.record.doc_id)
+    assert set(got) <= set(range(buckets)) and len(got) > 3
+    moved = 0
+    for b, ids in got.items():
+        order = [r.doc_id for r in sorted(told, key=lambda r: r["at"]) if r.bucket == b]
+        assert sorted(order) == sorted(ids)
+        # the same array through Spark's shuffle, in a task of the same number
+        one = spark.range(0, buckets, 1, buckets).select(F.when(F.col("id") == b, F.array(*map(F.lit, order))).alias("x")).select(F.shuffle("x", 10).alias("y")).filter("y is not null")
+        assert one.first()["y"] == ids
+        moved += sum(x != y for x, y in zip(order, ids))
+    assert moved > 400
+
+
 def test_sharded_files_hold_every_record(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     path = new_folder(spark, "shards")
