@@ -3,12 +3,14 @@
 The two halves of a vector are quantised by codebooks of their own; a pair of centroids is a cell.
 A query visits cells by the sum of its distances to their two centroids, from a heap, until the
 cells visited hold the wanted part of the entries, and reranks those by their distance in double
-precision.
+precision. The cells it visits are those up to one summed distance, so that distance is all that is
+sent with a query to the blocks of entries.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,12 @@ from .shared import stored
 
 #: Rows that codebooks and the visited part are fitted on, the queries among them that fit the part,
 #: and the share of their neighbours that it must reach.
-SAMPLE, TRIALS, WANTED = 8192, 256, 0.97
-#: Entries and queries of a cell that are compared in one task.
-BLOCK = 4096
-#: The fewest and the most centroids of a half; between them as many as give cells of a block.
-FEWEST_CENTROIDS, MOST_CENTROIDS = 16, 256
+SAMPLE, TRIALS, WANTED = 8192, 512, 0.93
+#: Entries, and queries, that meet in one task.
+BLOCK = 8192
+#: The fewest and the most centroids of a half; between them as many as give cells of so many entries,
+#: and never more than so many rows of the sample can place.
+FEWEST_CENTROIDS, MOST_CENTROIDS, CELL = 128, 256, 8
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -62,29 +65,36 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(1) * len(self.right) + b.argmin(1)
 
-    def visit(self, a: np.ndarray, b: np.ndarray, entries: np.ndarray, wanted: float) -> list[int]:
-        """Cells in the order of summed distance, until they hold ``wanted`` entries: a heap over the
-        two sorted lists, where a pair follows once both pairs before it have been taken."""
+    def visit(self, a: np.ndarray, b: np.ndarray, entries: np.ndarray, wanted: float) -> Iterator[tuple[int, float]]:
+        """Cells with entries, and their summed distance, in the order of it, until they hold ``wanted``
+        entries: a heap over the two sorted lists, where a pair follows once both pairs before it have
+        been taken."""
         p, q = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
-        heap, reached, out, held = [(a[p[0]] + b[q[0]], 0, 0)], [0] * len(p), [], 0
+        heap, reached, held = [(a[p[0]] + b[q[0]], 0, 0)], [0] * len(p), 0
         while heap and held < wanted:
-            _, i, j = heapq.heappop(heap)
+            far, i, j = heapq.heappop(heap)
             reached[i] = j + 1
             cell = p[i] * len(q) + q[j]
             if entries[cell]:
-                out.append(cell)
+                yield cell, far
                 held += entries[cell]
             if i + 1 < len(p) and reached[i + 1] >= j:
                 heapq.heappush(heap, (a[p[i + 1]] + b[q[j]], i + 1, j))
             if j + 1 < len(q) and (i == 0 or reached[i - 1] > j + 1):
                 heapq.heappush(heap, (a[p[i]] + b[q[j + 1]], i, j + 1))
-        return out
+
+    def reach(self, a: np.ndarray, b: np.ndarray, entries: np.ndarray, wanted: float) -> float:
+        """The summed distance of the last cell that a query visits."""
+        far = 0.0
+        for _, far in self.visit(a, b, entries, wanted):
+            pass
+        return far
 
 
 def fit(sample: np.ndarray, rows: int, k: int = 10, wanted: float = WANTED, seed: int = 5) -> MultiIndex:
     """Codebooks from ``sample``; the visited part is what reaches the ``k`` nearest of trial queries
     within the sample (where neighbours are farther off than among all rows, so it errs on more)."""
-    centroids = min(max(FEWEST_CENTROIDS, round((rows / BLOCK) ** 0.5)), MOST_CENTROIDS, len(sample))
+    centroids = min(max(FEWEST_CENTROIDS, round((rows / CELL) ** 0.5)), MOST_CENTROIDS, max(len(sample) // CELL, 1))
     h = (sample.shape[1] + 1) // 2
     index = MultiIndex(_kmeans(sample[:, :h], centroids, seed), _kmeans(sample[:, h:], centroids, seed + 1))
     trials = sample[np.random.default_rng(seed).choice(len(sample), min(TRIALS, len(sample)), replace=False)]
@@ -103,25 +113,37 @@ def fit(sample: np.ndarray, rows: int, k: int = 10, wanted: float = WANTED, seed
     return index
 
 
-def _nearest(k: int, dim: int):
-    """The ``k`` nearest entries of a unit for each of its queries."""
+def _nearest(k: int, index: MultiIndex):
+    """The ``k`` nearest entries of a unit for each of its queries, among the cells that it visits."""
+    kinds = {"q": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
 
     def of(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        kinds = {"q": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not len(queries) or not len(entries):
             return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-        q, e = matrix(queries.column("embedding"), dim), matrix(entries.column("embedding"), dim)
-        row = queries.column("q").to_numpy()
-        qid, eid = queries.column("query_id").to_numpy(), entries.column("vec_id").to_numpy()
+        cell = entries.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        q, e = matrix(queries.column("embedding"), index.dim), matrix(entries.column("embedding"), index.dim)[order]
+        row, reach = queries.column("q").to_numpy(), queries.column("reach").to_numpy()
+        qid, eid = queries.column("query_id").to_numpy(), entries.column("vec_id").to_numpy()[order]
+        cells, starts = np.unique(cell[order], return_index=True)
+        ends = np.append(starts[1:], len(e))
+        left, right = cells // len(index.right), cells % len(index.right)
         out = []
         for lo in range(0, len(q), 256):
-            rough = _squares(q[lo : lo + 256], e)
+            part = q[lo : lo + 256]
+            a, b = index.distances(part)
+            visits = (a[:, left] + b[:, right] <= reach[lo : lo + 256, None]).T
+            rough = np.full((len(part), len(e)), np.inf)
+            for of_cell, start, end in zip(visits, starts.tolist(), ends.tolist()):
+                who = np.flatnonzero(of_cell)
+                if len(who):
+                    rough[who, start:end] = _squares(part[who], e[start:end])
             rough[qid[lo : lo + 256, None] == eid[None, :]] = np.inf
             last = np.partition(rough, min(k, len(e)) - 1, axis=1)[:, min(k, len(e)) - 1]
-            slack = 1e-9 * (1 + (q[lo : lo + 256] ** 2).sum(1) + (e**2).sum(1).max())
+            slack = 1e-9 * (1 + (part**2).sum(1) + (e**2).sum(1).max())
             for i in range(len(rough)):
                 near = np.flatnonzero((rough[i] <= last[i] + slack[i]) & np.isfinite(rough[i]))
-                score = np.sqrt(((q[lo + i] - e[near]) ** 2).sum(1))
+                score = np.sqrt(((part[i] - e[near]) ** 2).sum(1))
                 best = np.lexsort((eid[near], score))[:k]
                 out.append((np.full(len(best), row[lo + i]), np.full(len(best), qid[lo + i]), eid[near][best], score[best]))
         return pa.table({n: pa.array(np.concatenate(c), t) for (n, t), c in zip(kinds.items(), zip(*out))})
@@ -140,8 +162,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     each. No rows give no rows; other columns are not read.
 
     Codebooks are fitted on ``SAMPLE`` rows (those of the smallest hashes); tables of one row for
-    each cell, at most ``MOST_CENTROIDS`` squared, are all else that the driver sees. The entries and
-    the queries of a cell are dealt in blocks, so a hot cell is spread over tasks.
+    each cell, at most ``MOST_CENTROIDS`` squared, are all else that the driver sees. Neighbouring cells
+    make blocks of entries, and a cell larger than a block is dealt over several, so no cell is
+    gathered; a query is sent to the blocks with a cell that it visits.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -165,22 +188,37 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     for r in entries.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
     wanted = min(total, max(index.part * total, 20 * k))
+    # cells in order, laid end to end in blocks
+    ends = np.cumsum(held)
+    first = (ends - held) // block
+    blocks = np.maximum((ends - 1) // block - first, 0) + 1
+    occupied = np.flatnonzero(held)
+    by_cell = spark.createDataFrame(pa.table({"cell": pa.array(occupied.astype("i4")), "first": pa.array(first[occupied]), "blocks": pa.array(blocks[occupied])}))
+    left_of, right_of, last_of = occupied // len(index.right), occupied % len(index.right), (first + blocks - 1)[occupied]
 
     def probe(batches):
         for b in batches:
-            near = index.distances(matrix(b.column(2), dim))
-            visits = [index.visit(x, y, held, wanted) for x, y in zip(*near)]
-            of = np.repeat(np.arange(b.num_rows), [len(v) for v in visits])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in b.columns), pa.array(np.asarray([c for v in visits for c in v], "i4"))], names=["q", "query_id", "embedding", "cell"])
+            if not b.num_rows:
+                continue
+            vectors = matrix(b.column(2), index.dim)
+            x, y = index.distances(vectors)
+            # and what another order of sums may add
+            reach = np.asarray([index.reach(a, c, held, wanted) for a, c in zip(x, y)]) + 1e-9 * (1 + (vectors**2).sum(1))
+            met = []
+            for a, c, r in zip(x, y, reach):
+                near = a[left_of] + c[right_of] <= r
+                met.append(np.unique(np.concatenate([np.arange(f, t + 1) for f, t in zip(first[occupied][near], last_of[near])] if block < held.max() else [first[occupied][near], last_of[near]])))
+            of = np.repeat(np.arange(b.num_rows), [len(v) for v in met])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in b.columns), pa.array(reach[of]), pa.array(np.concatenate(met).astype("i8"))], names=["q", "query_id", "embedding", "reach", "block"])
 
     queries = entries.filter(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probes = stored(queries.mapInArrow(probe, "q bigint, query_id bigint, embedding array<double>, cell int"), "probes")
-    sizes = entries.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("ne")).join(probes.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nq")), "cell")
-    sizes = F.broadcast(sizes)  # a row for each cell at most
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["cell", "eb", "qb"]
-    left = probes.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int")).withColumn("eb", spread("ne")).select(*key, "q", "query_id", "embedding")
-    right = entries.join(sizes, "cell").withColumn("eb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("ne")).cast("int")).withColumn("qb", spread("nq")).select(*key, "vec_id", "embedding")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(k, dim), "q bigint, query_id bigint, vec_id bigint, score double")
+    probes = queries.mapInArrow(probe, "q bigint, query_id bigint, embedding array<double>, reach double, block bigint")
+    # queries of a block in parts of a block's size: as many parts for every block, so that both sides know
+    parts = max(-(-(total // every) // block), 1)
+    key = ["block", "part"]
+    left = probes.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)))
+    at = F.col("first") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks"))
+    right = entries.join(F.broadcast(by_cell), "cell").select(at.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), "vec_id", "embedding", "cell")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(k, index), "q bigint, query_id bigint, vec_id bigint, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -216,13 +216,40 @@ def test_multi_index_recall_and_scores(spark):
         assert [(s, i) for _, _, i, s in ranked] == sorted((s, i) for _, _, i, s in ranked)
 
 
+def test_recall_with_part_of_the_entries_visited(spark):
+    """On the largest table at hand, against brute force; entries visited are counted as well."""
+    df = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows = [tuple(r) for r in df.collect()]
+    ids = np.asarray([r[0] for r in rows])
+    x = np.asarray([r[1] for r in rows], "f8")
+    index = multi_index.fit(x, len(x))
+    got = {(r.query_id, r.vec_id) for r in multi_index.search(df, index=index).collect()}
+    want = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        near = np.lexsort((ids, far))[:10]
+        want += sum((int(ids[q]), int(ids[n])) in got for n in near)
+    assert want >= 0.9 * 10 * (ids % 100 == 0).sum()
+    assert index.part < 0.45
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_blocks_do_not_change_what_is_found(spark, block):
+    rows = [(i, [float(i % 3), 1.0, float(i % 5), 2.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    index = multi_index.MultiIndex(np.asarray([[0.0, 1.0], [1.0, 1.0], [2.0, 1.0]]), np.asarray([[0.0, 2.0], [4.0, 2.0]]), 0.3)
+    assert rows_of(multi_index.search(df, every=50, index=index, block=block)) == rows_of(multi_index.search(df, every=50, index=index, block=10_000))
+
+
 def test_all_cells_are_visited_in_order():
     rng = np.random.default_rng(4)
     index = multi_index.MultiIndex(rng.normal(size=(5, 2)), rng.normal(size=(6, 2)))
     a, b = index.distances(rng.normal(size=(1, 4)))
-    cells = index.visit(a[0], b[0], np.ones(30, int), 30)
-    sums = [a[0][c // 6] + b[0][c % 6] for c in cells]
-    assert sorted(cells) == list(range(30)) and sums == sorted(sums)
+    visited = list(index.visit(a[0], b[0], np.ones(30, int), 30))
+    assert [s for _, s in visited] == sorted(a[0][c // 6] + b[0][c % 6] for c in range(30))
+    assert sorted(c for c, _ in visited) == list(range(30)) and all(s == a[0][c // 6] + b[0][c % 6] for c, s in visited)
+    assert index.reach(a[0], b[0], np.ones(30, int), 7) == visited[6][1]
 
 
 def test_few_vectors_get_all_candidates(spark):
