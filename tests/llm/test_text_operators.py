@@ -411,7 +411,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_without_labels_or_documents(spark, odd):
-    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
     assert not any(r.toxic for r in toxicity.classify(odd, none).collect())
     assert toxicity.classify(odd.limit(0), none).collect() == []
 
@@ -423,3 +423,34 @@ def test_chain_feeds_earlier_probabilities():
     chain = toxicity.Chain([], ("a", "b")).fit(x, np.column_stack([first, first]))
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][3] > 0
     assert ((chain.predict(x)[:, 1] > 0.5) == first).mean() > 0.97
+
+
+def test_out_of_fold_features_equal_models_fitted_one_by_one():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    labels = np.column_stack([x[:, 0] + 0.5 * rng.normal(size=60) > 0, x[:, 1] > 0]).astype(float)
+    labels[::7, 0] = np.nan
+    chain = toxicity.Chain([], ("a", "b")).fit(x, labels, folds=4, seed=3)
+    fold = np.random.default_rng(3).integers(0, 4, 60)
+
+    def chance(w, row):
+        return 1 / (1 + np.exp(-(row @ w[:-1] + w[-1])))
+
+    told = ~np.isnan(labels[:, 0])
+    first = []
+    for i in range(60):
+        others = [j for j in range(60) if fold[j] != fold[i] and told[j]]
+        first.append(chance(toxicity.logistic(x[others], labels[others, 0]), x[i]))
+    assert np.allclose(chain.weights[0], toxicity.logistic(x[told], labels[told, 0]))
+    assert np.allclose(chain.weights[1], toxicity.logistic(np.column_stack([x, first]), labels[:, 1]))
+    p = [chance(chain.weights[0], r) for r in x]
+    assert np.allclose(chain.predict(x)[:, 1], [chance(chain.weights[1], np.append(r, q)) for r, q in zip(x, p)])
+
+
+def test_both_labels_are_learned(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    told = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    held_out = {i for i in told if i % 4 == 0}
+    got = toxicity.classify(docs, labels.filter("doc_id % 4 <> 0")).filter(F.col("doc_id").isin(*held_out)).collect()
+    assert sum((r.p_quality > 0.5) == (told[r.doc_id][0] == 1) for r in got) >= 0.95 * len(got)
+    assert sum(r.toxic == (told[r.doc_id][1] == 1) for r in got) >= 0.95 * len(got)
