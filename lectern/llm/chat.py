@@ -60,21 +60,25 @@ def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
     Order is by turn, then role, then text; null turns come first, repeated rows are turns of
     their own. Null texts are empty; a null or empty role is the speaker ``unknown``; null conv_ids
-    are one conversation. System roles take no seat; a conversation of system turns alone has no
+    are one conversation. Dialogues of any number of turns are numbered alike, long ones in stretches
+    that many tasks share, and very long texts are kept whole. System roles take no seat; a conversation of system turns alone has no
     participant and gives no rows. An empty table gives no rows; other columns are not read.
     """
     said = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), speaker_name(F.col(role)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("said"))
-    counts = said.groupBy("conv_id", "speaker").agg(F.count("*").alias("n"))
+    counts = stored(said.groupBy("conv_id", "speaker").agg(F.count("*").alias("n")), "seats")
     seats = counts.withColumn("turns", F.sum("n").over(W.partitionBy("conv_id"))).filter(~F.col("speaker").isin(*system_roles))
     seats = seats.select(F.col("conv_id").alias("seat_conv"), F.col("speaker").alias("perspective"), "turns")
+    any_long = not seats.filter(F.col("turns") > long).isEmpty()
     dealt = said.join(seats, F.col("conv_id").eqNullSafe(F.col("seat_conv"))).drop("seat_conv")
     own = F.col("speaker") == F.col("perspective")
     chat_role = F.when(F.col("speaker").isin(*system_roles), "system").when(own, "assistant").otherwise("user")
     header = F.concat(F.lit(START), F.col("chat_role"), F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
     rows = dealt.withColumn("chat_role", chat_role).withColumn("head", F.length(header)).withColumn("rendered", F.concat(header, F.col("said"), F.lit(f"{END}\n")))
     keys, order = ["conv_id", "perspective"], ["turn", "speaker", "said"]
-    short, lengthy = rows.filter(F.col("turns") <= long), rows.filter(F.col("turns") > long)
-    numbered = _running(short, keys, order).unionByName(_running_long(lengthy, keys, order))
+    # turns are read for long dialogues once more only where there are any
+    numbered = _running(rows.filter(F.col("turns") <= long), keys, order)
+    if any_long:
+        numbered = numbered.unionByName(_running_long(rows.filter(F.col("turns") > long), keys, order))
     learned = F.col("chat_role") == "assistant"
     return numbered.select(
         "conv_id", "perspective", "position", "turn", "speaker", "chat_role", "rendered", "char_start",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import chat, components, multi_index, near_vectors, queries, sharding, warc
-from lectern.llm.shared import new_folder
+from lectern.llm.shared import join_told, new_folder
 from tests.conftest import SF
 
 
@@ -73,6 +73,21 @@ def test_perspectives_in_stretches_of_sampled_bounds(spark):
     assert (len(got), len(set(got) - want), len(want - set(got))) == (len(want), 0, 0)
 
 
+@pytest.mark.parametrize("turns_made", [20_000, 100_000])
+def test_long_dialogues_equal_sql(spark, turns_made):
+    made = spark.range(0, turns_made, 1, 8).select(F.lit(3).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.lit("").alias("role"), F.repeat(F.lit("w"), (F.col("id") % 7).cast("int")).alias("text"))
+    made = made.withColumn("role", F.when(F.col("turn") % 3 == 0, "bob").otherwise("ann"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = chat.perspectives(made)
+        want = by_duckdb(queries.OP1_SQL, conversations=made).to_arrow_table().select(got.columns)
+        key = [("perspective", "ascending"), ("position", "ascending")]
+        assert got.toArrow().sort_by(key).to_pylist() == want.sort_by(key).to_pylist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_perspectives_empty(spark):
     assert chat.perspectives(turns(spark).limit(0)).collect() == []
 
@@ -93,19 +108,21 @@ def test_archives_equal_sql(spark):
 
 
 def test_archives_start_with_a_dictionary_and_hold_a_frame_a_record(spark):
-    manifest = warc.write_archives(spark.read.parquet(f"{SF}/pages.parquet"), new_folder(spark, "warc"), archive_bytes=50_000)
-    rows = manifest.collect()
-    assert sum(r.records for r in rows) == 50 and len(rows) > 1
+    folder = new_folder(spark, "warc")
+    rows = warc.write_archives(spark.read.parquet(f"{SF}/pages.parquet"), folder, archive_bytes=50_000).collect()
+    assert warc.read_archives(warc.archives_in(spark, folder)).count() == 50 and len(rows) > 1
     trained = 0
     for r in rows:
-        raw = open(r.path.removeprefix("file://"), "rb").read()
+        raw = open(r.path.removeprefix("file:"), "rb").read()
         magic, size = np.frombuffer(raw[:8], "<u4").tolist()
-        assert magic == 0x184D2A5D and len(raw) == r.bytes
+        assert magic == 0x184D2A5D and len(raw) == r.length
         trained += size > 0
         dictionary = zstandard.ZstdCompressionDict(raw[8 : 8 + size]) if size else None
         frame = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
         headers, block = warc.parse_record(frame.decompress(raw[8 + size :]))
         assert headers["WARC-Type"] in ("response", "revisit") and frame.eof
+        magic, size = np.frombuffer(raw[-8:], "<u4").tolist()
+        assert magic == 0x184D2A50 and size == 0
     assert trained
 
 
@@ -114,6 +131,7 @@ def test_a_cut_archive_is_an_error():
 
     raw = b"".join(warc.archive([b"WARC/1.1\r\nA: b\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"] * 3))
     assert len(list(warc.read_archive(io.BytesIO(raw), 7))) == 3
+    assert len(list(warc.read_archive(io.BytesIO(raw + warc.END.encode()), 11))) == 3
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(raw[:-3])))
 
@@ -160,10 +178,22 @@ def slow_links(rows, threshold=0.93):
     return sorted(((r[0], k, least[c], r[0] is not None and r[0] == least[c]) for r, k, c in zip(rows, links, label)), key=repr)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_vectors_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(1024, 100_000), (16, 0)])
+def test_near_vectors_equal_brute_force(spark, block, few):
     rows, df = vectors(spark)
-    assert rows_of(near_vectors.near_vectors(df, block=block)) == slow_links(rows)
+    assert rows_of(near_vectors.near_vectors(df, block=block, most_broadcast=few)) == slow_links(rows)
+
+
+def test_hot_keys_and_others_are_told_once(spark):
+    rows = spark.createDataFrame([(i, i % 40 if i > 300 else 7) for i in range(600)], "id bigint, k bigint")
+    told = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    got = join_told(rows, told, ["k"], "n", share=10)
+    assert rows_of(got.select("id", "k", "most")) == rows_of(rows.join(told, "k").select("id", "k", "most"))
+
+
+def test_zeros_of_both_signs_are_equal(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0], 1), (2, [-0.0, 1.0], 1), (3, [1.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int")
+    assert rows_of(near_vectors.near_vectors(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
 def test_collision_count_is_calibrated():
