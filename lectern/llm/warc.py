@@ -1,32 +1,40 @@
 """WARC archives whose records are Zstandard frames that share one embedded dictionary.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary; each frame
-after it is one record. The dictionary is trained from records of the archive itself, so an archive
-can be read alone, and any record by decompressing its own frame.
+after it is one record; an empty skippable frame ends it. The dictionary is trained from records of the
+archive itself, so an archive can be read alone, and any record by decompressing its own frame.
+
+Spark writes and reads the files, so they may lie wherever Spark's own files may, and its commit
+protocol keeps those of a task that was run twice from being doubled.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import new_folder
+from .shared import new_folder, slices
 
 MAGIC = 0x184D2A5D
+#: An empty skippable frame: all of its bytes are ASCII, so Spark's text writer can put it after an
+#: archive as what it calls a line separator.
+END = "P*M\x18\0\0\0\0"
 #: Bytes of payload in an archive: what a task holds at a time.
 ARCHIVE_BYTES = 32 << 20
 #: The dictionary, and the records it is trained from: every k-th of the archive, up to so many bytes.
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
 LEVEL = 6
+#: Bytes of html that are held as Python strings at a time, beside the archive.
+SLICE_BYTES = 4 << 20
 #: Payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -91,8 +99,8 @@ def read_archive(stream, chunk: int = 64 << 10) -> Iterator[bytes]:
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
     rest = b""
     while True:
-        rest = rest or stream.read(chunk)
-        if not rest:
+        rest = rest if len(rest) >= 8 else rest + stream.read(chunk)
+        if not rest or rest == END.encode():
             return
         frame, out = decompressor.decompressobj(), []
         while True:
@@ -130,11 +138,10 @@ def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_f
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, date: datetime | None = None) -> DataFrame:
-    """Writes a record for every row of ``pages`` and returns the manifest ``(path, records, bytes)``.
+    """Writes a record for every row of ``pages`` and returns the archives' ``(path, length)``.
 
     Every archive holds up to ``archive_bytes`` of payload and one page beyond, whatever the page's
-    size. A task writes under a name of its own and then renames; only files in the manifest, which is
-    stored before it is read, belong to the result, so a task that ran twice leaves none doubled.
+    size, and is a file of its own in ``folder``, any that Spark can write to.
 
     Null html is an empty payload; a null url has no target header; null page_ids are records
     without that header. Rows that repeat the response's page_id and payload are responses as well.
@@ -143,42 +150,40 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     stamp = (date or datetime(2024, 1, 1, tzinfo=timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def tasks(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         held: list[bytes] = []
         size = 0
 
-        def flush():
-            name = f"{base}/{uuid.uuid4().hex}"
-            fs.create_dir(base, recursive=True)
-            total = 0
-            with fs.open_output_stream(f"{name}.part", compression=None) as out:
-                for frame in archive(held):
-                    out.write(frame)
-                    total += len(frame)
-            fs.move(f"{name}.part", f"{name}.warc.zst")
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}.warc.zst"], "records": [len(held)], "bytes": [total]})
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(archive(held))], pa.binary())], names=["content"])
 
         for batch in batches:
-            for page_id, url, html, digest, first_id, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                payload = html.encode("utf-8", "surrogatepass")
-                held.append(page_record(page_id, url, payload, bytes.fromhex(digest), first_id, revisit, stamp))
-                size += len(payload) + 512
-                if size >= archive_bytes:
-                    yield flush()
-                    held, size = [], 0
+            for part in slices(batch, 2, SLICE_BYTES):
+                for page_id, url, html, digest, first_id, revisit in zip(*(c.to_pylist() for c in part.columns)):
+                    payload = html.encode("utf-8", "surrogatepass")
+                    held.append(page_record(page_id, url, payload, bytes.fromhex(digest), first_id, revisit, stamp))
+                    size += len(payload) + 512
+                    if size >= archive_bytes:
+                        yield made()
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield made()
+
+    archives = decide(pages, id_col, url_col, html_col).sortWithinPartitions("page_id").mapInArrow(tasks, "content binary")
+    # bytes pass through the text writer as they are
+    archives.select(F.col("content").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(folder)
+    return archives_in(pages.sparkSession, folder).select("path", "length")
 
-    manifest = decide(pages, id_col, url_col, html_col).sortWithinPartitions("page_id").mapInArrow(tasks, "path string, records bigint, bytes bigint")
-    where = f"{folder}/manifest.parquet"
-    manifest.write.parquet(where)
-    return pages.sparkSession.read.schema("path string, records bigint, bytes bigint").parquet(where)
 
+def archives_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows ``(path, modificationTime, length, content)``, one for each archive."""
+    return spark.read.format("binaryFile").load(folder).filter("length > 0")
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+
+def read_archives(archives: DataFrame) -> DataFrame:
     """Rows ``(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri)`` of every
-    record of the archives in ``manifest``. Archives are dealt over tasks; a response's length and
-    digest are those of the payload read, and it is an error if its headers say otherwise."""
+    record of the archives (column ``content``). Archives are dealt over tasks as Spark deals files; a
+    response's length and digest are those of the payload read, and it is an error if its headers say
+    otherwise."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())]
 
     def one(record: bytes) -> tuple:
@@ -192,24 +197,26 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         number = lambda name: int(headers[name]) if name in headers else None
         return number("X-Page-Id"), length, told, kind, number("X-Refers-To-Page-Id"), headers.get("WARC-Target-URI")
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
     def tasks(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, name = pyarrow.fs.FileSystem.from_uri(path)
+            for content in batch.column(0):
                 rows: list[tuple] = []
-                with fs.open_input_stream(name, compression=None) as stream:
-                    for record in read_archive(stream):
-                        rows.append(one(record))
-                        if len(rows) == 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
-                            rows = []
+                for record in read_archive(io.BytesIO(content.as_buffer())):
+                    rows.append(one(record))
+                    if len(rows) == 5000:
+                        yield batch_of(rows)
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+                    yield batch_of(rows)
 
-    width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(width).mapInArrow(tasks, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
+    return archives.select("content").mapInArrow(tasks, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes the archives to a new shared folder and reads them back."""
-    return read_archives(write_archives(pages, new_folder(spark, "warc")))
+    folder = new_folder(spark, "warc")
+    write_archives(pages, folder)
+    return read_archives(archives_in(spark, folder))
