@@ -26,8 +26,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """Rows ``(node, component)`` for every node of ``edges``, component the least node reachable.
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows ``(node, component)`` for every node of ``edges``, component the least node reachable. Nodes
+    are of any kind that has an order, such as a struct that begins with what a component is named by.
 
     Edges with a null end and self-loops link nothing; repeated edges count once. Each round is
     written to the shared folder, so its plan does not grow; rounds grow with the logarithm of the
@@ -35,13 +36,12 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     now, was = stored(pairs, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         now = stored(_stars(_stars(now, True), False), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         was = mark
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 class Forest:

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import Forest, components
-from .shared import block_pairs, stored
+from .shared import block_pairs, join_told, stored
 
 #: Lines, half-width of a window in standard deviations of a pair at the threshold, and the chance
 #: to miss such a pair.
 LINES, HALF_WIDTH, MISS = 64, 1.0, 1e-7
 #: Vectors of a block; larger labels are dealt as pairs of blocks.
 BLOCK = 1024
+#: Labels whose sizes are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def needed_count(lines: int = LINES, half_width: float = HALF_WIDTH, miss: float = MISS) -> int:
@@ -131,7 +133,7 @@ def _unit_links(threshold: float):
     return of
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = BLOCK, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Rows ``(vec_id, n_links, component_id, kept)``, one for each row of ``vectors``.
 
     Vectors link when their labels and lengths are equal, the labels not null, and their cosine in
@@ -147,18 +149,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     its distinct vectors, at a few machine words for 64 of them.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    # 128 bits stand for a label and vector where rows meet their node again, so that no vector is sent
+    rows = rows.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(3), "embedding", "label"))
     rows = rows.withColumn("usable", usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    nodes = rows.filter("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = rows.filter("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("k1").alias("k1"), F.any_value("k2").alias("k2"))
     nodes = stored(nodes.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = nodes.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "dim"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    placed = nodes.join(F.broadcast(sizes) if sizes.count() <= most_broadcast else sizes, ["label", "dim"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     units = placed.select("label", "dim", "node", "copies", "embedding", F.explode(block_pairs(F.col("n"), F.col("p"))).alias("c")).select("label", "dim", "c.pa", "c.pb", "c.side", "node", "copies", "embedding")
     found = stored(units.groupBy("label", "dim", "pa", "pb").applyInArrow(_unit_links(threshold), "a bigint, b bigint, links bigint"), "links")
     counts = found.filter("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    groups = components(found.filter("links = 0"), "a", "b")
-    at = nodes.select("node", "label", "embedding", "least", "copies").join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = at.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = at.join(named, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = rows.filter("usable").join(told, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    # nodes by their least id, so that a component is named without being gathered
+    end = lambda e: nodes.select(F.col("node").alias(e), F.struct("least", "node").alias(f"mark_{e}"))
+    groups = components(found.filter("links = 0").select("a", "b").join(end("a"), "a").join(end("b"), "b"), "mark_a", "mark_b")
+    groups = groups.select(F.col("node.node").alias("node"), F.col("component.least").alias("component_id"))
+    told = nodes.select("node", "k1", "k2", "least", "copies").join(counts, "node", "left").join(groups, "node", "left")
+    told = stored(told.select("k1", "k2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "told")
+    linked = join_told(rows.filter("usable").select("vec_id", "k1", "k2"), told, ["k1", "k2"], "copies").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
