@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import Forest, components
-from .shared import block_pairs, free_name, stored
+from .shared import block_pairs, free_name, join_told, stored
 
 #: Fingerprints of a bucket that are compared in one task; larger buckets are dealt as block pairs.
 BLOCK = 2048
@@ -131,11 +131,15 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
 
 
 def groups(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Rows ``(fp, component)`` for the distinct fingerprints of ``prints``; a component is named by
-    one of its fingerprints."""
-    distinct = prints.select("fp").distinct()
-    joined = components(links(distinct, radius), "a", "b").withColumnRenamed("node", "fp")
-    return distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    """Rows ``(fp, copies, mark, component)`` for the distinct fingerprints of ``prints``, whose column
+    ``mark`` (a struct that has an order and differs between fingerprints) stands for a row: the least
+    mark of a fingerprint, and the least reachable. As marks are the nodes, no component is gathered
+    to be named."""
+    nodes = stored(prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min("mark").alias("mark")), "nodes")
+    end = lambda e: nodes.select(F.col("fp").alias(e), F.col("mark").alias(f"mark_{e}"))
+    edges = links(nodes.select("fp"), radius).join(end("a"), "a").join(end("b"), "b")
+    found = components(edges, "mark_a", "mark_b").withColumnRenamed("node", "mark")
+    return nodes.join(found, "mark", "left").withColumn("component", F.coalesce("component", "mark"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -144,23 +148,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose fingerprints differ in at most ``radius`` bits are linked; component_id is the
     smallest doc_id reachable by links, itself included. Equal fingerprints stand for one node, so
     copies cost a row each and no pairs. Null, empty and blank texts have fingerprint zero and link
-    like any other. Rows with a repeated doc_id are separate nodes with that id; a null doc_id is
-    compared but never names a component (a component of null ids only has null). An empty table
-    gives no rows; other columns are not read.
+    like any other; very long texts are read whole, one at a time. Rows with a repeated doc_id are
+    separate nodes with that id; a null doc_id is compared but never names a component (a component of
+    null ids only has null). An empty table gives no rows; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    members = groups(prints, radius).join(least, "fp")
-    named = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = members.join(named, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = prints.withColumn("mark", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp"))
+    told = stored(groups(marked, radius).select("fp", "copies", F.col("component.id").alias("component_id")), "told")
+    return join_told(prints, told, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (null ids
-    last), one of them if it is repeated. ``docs`` must be a table: rows are known by their places."""
+    last), one of them if it is repeated. ``docs`` must be a table: rows are known by their places.
+
+    Null, empty and blank texts have fingerprint zero and are a group; very long texts are read whole.
+    All columns stay as they were, whatever their names; an empty table stays empty.
+    """
     row = free_name(docs, "row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     prints = stored(fingerprints(placed, row, text_col, shingle).withColumnRenamed("doc_id", row).join(placed.select(row, F.col(f"`{id_col}`").alias("id")), row), "prints")
-    best = prints.join(groups(prints, radius), "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best"))
-    return placed.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_semi").drop(row)
+    marked = prints.select("fp", F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row")).alias("mark"))
+    first = groups(marked, radius).filter(F.col("mark").eqNullSafe(F.col("component")))
+    return placed.join(first.select(F.col("mark.row").alias(row)), row, "left_semi").drop(row)
