@@ -23,8 +23,8 @@ from .shared import stored
 #: Rows that codebooks and the visited part are fitted on, the queries among them that fit the part,
 #: and the share of their neighbours that it must reach.
 SAMPLE, TRIALS, WANTED = 8192, 512, 0.93
-#: Entries, and queries, that meet in one task.
-BLOCK = 8192
+#: Entries, and queries, that meet in one task: a 64th of the entries within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 1024, 16384
 #: The fewest and the most centroids of a half; between them as many as give cells of so many entries,
 #: and never more than so many rows of the sample can place.
 FEWEST_CENTROIDS, MOST_CENTROIDS, CELL = 128, 256, 8
@@ -151,7 +151,7 @@ def _nearest(k: int, index: MultiIndex):
     return of
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, index: MultiIndex | None = None, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, index: MultiIndex | None = None, block: int | None = None) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` the
     ``k`` nearest of the entries visited, by Euclidean distance in double precision, nearest first,
     ties to the smaller id; all candidates where there are fewer.
@@ -188,6 +188,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     for r in entries.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
     wanted = min(total, max(index.part * total, 20 * k))
+    block = block or min(max(total // 64, LEAST_BLOCK), MOST_BLOCK)
     # cells in order, laid end to end in blocks
     ends = np.cumsum(held)
     first = (ends - held) // block
