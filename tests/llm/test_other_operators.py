@@ -407,3 +407,40 @@ def test_pipeline_equals_its_parts(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     check_packing(texts, got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "packing"]
+
+
+ODD_DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, toxicity string, component string, length int"
+
+
+def odd_input(spark, rows, labels):
+    """A folder with the given documents and labels, with columns whose names the operators use."""
+    folder = new_folder(spark, "odd")
+    spark.createDataFrame([(*r, "en", "s", None if r[1] is None else len(r[1]), "r", "t", "c", 1) for r in rows], ODD_DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_on_odd_rows(spark):
+    from tests.llm.test_text_operators import check_packing
+
+    long = " ".join(f"word{i % 977} of {i}" for i in range(40_000))
+    rng = random.Random(12)
+    plain = [(100 + i, " ".join(f"w{rng.randrange(5000)}x" for _ in range(60))) for i in range(30)]
+    rows = [(1, None), (2, ""), (3, "  \n"), (4, long), (5, "call +1 (415) 555-0132 or write a.b@example.com today"), (5, "another text with the same id, not alike"), (None, "no id has this one text here"), *plain, plain[0], (7, plain[1][1])]
+    folder = odd_input(spark, rows, [(100 + i, 1, 0) for i in range(30)] + [(None, 1, 1), (1, None, None), (999, 0, 1)])
+    seen = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, seen, folder)
+        assert out.columns == seen.columns, name
+        path = new_folder(spark, name)
+        out.write.parquet(path)
+        seen = spark.read.parquet(path)
+    kept = [(r.doc_id, r.text) for r in seen.collect()]
+    # one of the texts without words, one of each group of copies, all others
+    want = [(1, None), (4, long), (5, "call [PHONE] or write [EMAIL] today"), (5, rows[5][1]), (None, rows[6][1]), *[p for p in plain if p != plain[1]], (7, plain[1][1])]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+    check_packing(kept, corpus_pipeline.run(spark, folder).collect())
+
+
+def test_pipeline_of_nothing(spark):
+    assert corpus_pipeline.run(spark, odd_input(spark, [], [])).collect() == []
