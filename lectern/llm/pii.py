@@ -375,6 +375,11 @@ def redact(docs: DataFrame, text_col: str = "text", model: Field | None = None)
     def clean(text):
         import pandas as pd
 
-        return pd.Series([None if t is None else redacted(t, find_spans([t], model)[0][1]) for t in text], dtype=object)
+        out: list[str | None] = []
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
+        for part in slices(batch, 0, SLICE_BYTES):
+            texts = part.column(0).to_pylist()
+            out += [None if t is None else redacted(t, every) for t, (_, every) in zip(texts, find_spans([t or "" for t in texts], model))]
+        return pd.Series(out, dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
