@@ -12,6 +12,9 @@ from pyspark.sql import Column, functions as F
 WS = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: White space that is not one plain space: what has to change for texts to have single spaces.
 UNEVEN = f"(?:{WS.replace(' ', '', 1)}{WS}*| {WS}+)"
+#: The same as signs, and what of them is neither a space nor a newline.
+WS_SIGNS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+RARE_WS = WS.replace("\\t-\\r", "\\t\\x0b-\\r").replace(" ", "", 1)
 WORDS_PER_MINUTE = 150
 
 # Abbreviations and their readings.
@@ -76,7 +79,12 @@ def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = Tr
 
 
 def strip_edges(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_SIGNS))
+
+
+def spaces_for_ws(text: Column) -> Column:
+    """A space for each sign of white space; rare ones are looked for before they are replaced."""
+    return let(F.replace(text, F.lit("\n"), F.lit(" ")), lambda t: F.when(t.rlike(RARE_WS), F.regexp_replace(t, WS, " ")).otherwise(t))
 
 
 def strip_bracket_refs(text: Column) -> Column:
@@ -121,9 +129,32 @@ def expand_abbreviations(text: Column, strict: bool = True) -> Column:
 
 def universal_clean(text: Column, strict: bool = True) -> Column:
     """References, notes and stray numbers go, white space and punctuation are made even, dashes and
-    abbreviations written out. Paragraph breaks go with the white space."""
-    for step in (strip_bracket_refs, strip_paren_numbers, strip_inline_numbers, strip_note_lines, collapse_ws, tighten_punct, sentence_space, collapse_runs, normalize_dashes):
-        text = step(text)
+    abbreviations written out. Paragraph breaks go with the white space.
+
+    A step is taken only where a plain search finds what it looks for, and once white space is single
+    spaces the steps after rely on it: only a sign right before a capital wants a space, and none of
+    them leaves two."""
+
+    def where(found: Callable[[Column], Column], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda t: F.when(found(t), step(t)).otherwise(t)
+
+    def numbers(t: Column) -> Column:
+        return strip_note_lines(strip_inline_numbers(t))
+
+    def single_spaces(t: Column) -> Column:
+        return let(F.replace(t, F.lit("\n"), F.lit(" ")), lambda t: F.trim(F.when(t.contains("  ") | t.rlike(RARE_WS), F.regexp_replace(t, UNEVEN, " ")).otherwise(t)))
+
+    steps = (
+        where(lambda t: t.contains("["), strip_bracket_refs),
+        where(lambda t: t.contains("("), strip_paren_numbers),
+        where(lambda t: t.rlike(r"(?U)\d"), numbers),
+        single_spaces,
+        where(lambda t: reduce(or_, [t.contains(f" {sign}") for sign in ",.!?;:"]), lambda t: F.regexp_replace(t, " ([,.!?;:])", "$1")),
+        where(lambda t: t.rlike("[.!?][A-Z]"), lambda t: F.regexp_replace(t, "(?<=[.!?])(?=[A-Z])", " ")),
+        normalize_dashes,
+    )
+    for step in steps:
+        text = let(text, step)
     return strip_edges(expand_abbreviations(text, strict))
 
 
@@ -181,7 +212,7 @@ def normalize_for_speech(text: Column, enabled: bool = True, abbreviations: bool
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(spaces_for_ws(text), " "), "")
 
 
 def word_count(text: Column) -> Column:

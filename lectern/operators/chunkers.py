@@ -9,34 +9,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 
-PACKED = "struct<done: array<string>, now: string, size: int>"
+#: Units of a block, at least.
+BLOCK = 64
+
+
+def in_blocks(items: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """``F.aggregate`` of a state whose field ``done`` (an array) only grows. A fold copies its state at
+    every step, so the items are folded in blocks of about the root of their number, each with a
+    ``done`` of its own: the cost is nearly in proportion to them, not to their square."""
+    def of(all_items: Column) -> Column:
+        n = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(all_items))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_items) / n).cast("int") - 1), lambda i: F.slice(all_items, i * n + 1, n))
+        outer = F.struct(F.array().cast("array<array<string>>").alias("blocks"), start.alias("state"))
+
+        def of_block(before: Column, block: Column) -> Column:
+            end = lambda s: F.struct(F.concat(before["blocks"], F.array(s["done"])).alias("blocks"), s.withField("done", F.array().cast("array<string>")).alias("state"))
+            return F.aggregate(block, before["state"], step, end)
+
+        last = lambda s: F.concat(F.flatten(s["blocks"]), finish(s["state"]))
+        few = F.aggregate(all_items, start, step, lambda s: F.concat(s["done"], finish(s)))
+        return F.when(F.size(all_items) > BLOCK, F.aggregate(blocks, outer, of_block, last)).otherwise(few)
+
+    return T.let(items, of)
 
 
 def _fold(units: Column, fits: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column] | None = None) -> Column:
     """Packs units ``struct(s, glue, size, fresh)``. ``fits``: whether a unit may join what is being
     packed; ``close``: whether the pack ends after the unit."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"))
+
+    def state_of(done: Column, now: Column, size: Column) -> Column:
+        return F.struct(done.alias("done"), now.alias("now"), size.alias("size"))
+
+    def closed(state: Column) -> Column:
+        return F.concat(state["done"], F.array(state["now"]))
 
     def step(state: Column, unit: Column) -> Column:
-        empty = state["now"] == ""
-        joins = empty | (fits(state, unit) & ~unit["fresh"])
-        done = F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
-        now = F.when(empty | ~joins, unit["s"]).otherwise(F.concat(state["now"], unit["glue"], unit["s"]))
-        size = F.when(empty | ~joins, unit["size"]).otherwise(state["size"] + unit["size"])
-        if close is None:
-            return F.struct(done.alias("done"), now.alias("now"), size.alias("size"))
-        full = close(now, unit)
-        return F.struct(F.when(full, F.concat(done, F.array(now))).otherwise(done).alias("done"), F.when(full, "").otherwise(now).alias("now"), F.when(full, 0).otherwise(size).alias("size"))
+        joined = state_of(state["done"], F.concat(state["now"], unit["glue"], unit["s"]), state["size"] + unit["size"])
+        first = state_of(state["done"], unit["s"], unit["size"])
+        return F.when(state["now"] == "", first).when(~unit["fresh"] & fits(state, unit), joined).otherwise(state_of(closed(state), unit["s"], unit["size"]))
+
+    def step_and_close(state: Column, unit: Column) -> Column:
+        return T.let(step(state, unit), lambda s: F.when(close(s["now"], unit), state_of(closed(s), F.lit(""), F.lit(0))).otherwise(s))
 
     def finish(state: Column) -> Column:
-        return F.when(state["now"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
+        return F.when(state["now"] == "", F.array().cast("array<string>")).otherwise(F.array(state["now"]))
 
-    return F.aggregate(units, start, step, finish)
+    start = state_of(F.array().cast("array<string>"), F.lit(""), F.lit(0))
+    return in_blocks(units, start, step if close is None else step_and_close, finish)
 
 
 def _unit(s: Column, glue: str, size: Column, fresh: Column | None = None, **more: Column) -> Column:
@@ -96,10 +119,12 @@ def section_array(text: Column, target_minutes: float) -> Column:
 def chunk_sentences_array(text: Column, max_chars: int = 150) -> Column:
     """Sentences packed to ``max_chars``; a longer sentence is packed by words, and its tail goes on
     being packed. A single longer word stays whole."""
+    # as many words as fit, or one that does not
+    line = rf"(?s)[^ ](?:.{{0,{max_chars - 2}}}[^ ])?(?= |\z)|[^ ]+" if max_chars > 1 else "[^ ]+"
 
     def units(s: Column) -> Column:
-        by_word = F.transform(T.words(s), lambda w, i: _unit(w, " ", F.length(w), i == 0))
-        return F.when(F.length(s) > max_chars, by_word).otherwise(F.array(_unit(s, " ", F.length(s))))
+        lines = F.regexp_extract_all(F.array_join(T.words(s), " "), F.lit(line), F.lit(0))
+        return F.when(F.length(s) > max_chars, F.transform(lines, lambda w, i: _unit(w, " ", F.length(w), i == 0))).otherwise(F.array(_unit(s, " ", F.length(s))))
 
     flat = F.flatten(F.transform(_stripped(T.split_sentences(text)), units))
     return _fold(flat, lambda state, unit: F.length(state["now"]) + 1 + unit["size"] <= max_chars)
@@ -153,23 +178,16 @@ def chunk_paragraphs_eager(df: DataFrame, text: str = "text", max_chars: int = 1
 
 
 def chunk_dialogue(df: DataFrame, text: str = "text", max_chars: int = 249) -> DataFrame:
-    """Dialogue-aware chunks. The state branches on the words around every cut, so this one runs in
-    Arrow batches; documents stay where they are."""
-    from .dialogue import dialogue_chunks
-
-    limit = min(max_chars, 249)
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: dialogue_chunks(t or "", limit))
-
-    return exploded(df, cut(F.col(text)), "chunk_no", text)
+    """Dialogue-aware chunks, by the rules in ``operators.dialogue``; documents stay where they are."""
+    return exploded(df, T.let(F.col(text), lambda t: _dialogue(t, max_chars)), "chunk_no", text)
 
 
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {}
+STRATEGIES: dict[str, Callable[..., Column]] = {}
 
 
-def register_strategy(name: str, chunker: Callable[..., DataFrame]) -> None:
+def register_strategy(name: str, chunker: Callable[..., Column]) -> None:
+    """``chunker`` takes a text column and ``max_chars`` and gives an array of chunks: a composition of
+    functions, or a call of a user's own."""
     STRATEGIES[name] = chunker
 
 
@@ -177,17 +195,22 @@ def available() -> list[str]:
     return sorted(STRATEGIES)
 
 
-for _name, _chunker in (("sentences", chunk_sentences), ("paragraphs", chunk_paragraphs), ("paragraphs_eager", chunk_paragraphs_eager), ("dialogue", chunk_dialogue)):
+def _dialogue(text: Column, max_chars: int = 249) -> Column:
+    from .dialogue import dialogue_array
+
+    return dialogue_array(text, min(max_chars, 249))
+
+
+for _name, _chunker in (("sentences", chunk_sentences_array), ("paragraphs", chunk_paragraphs_array), ("paragraphs_eager", chunk_paragraphs_eager_array), ("dialogue", _dialogue)):
     register_strategy(_name, _chunker)
 
 
 def chunk_with(df: DataFrame, strategy: str, text: str = "text", **options: int) -> DataFrame:
-    """Each row by the strategy that its column ``strategy`` names. Unknown names are an error when
-    their rows are met, before any output is made of them."""
-    known = F.col(strategy).isin(*STRATEGIES)
-    checked = df.filter(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce(F.col(strategy), F.lit("null")))).cast("boolean")))
-    parts = [STRATEGIES[name](checked.filter(F.col(strategy) == name), text, **options) for name in available()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each row by the strategy that its column ``strategy`` names, in one pass over the rows. Unknown
+    names are an error when their rows are met, before any output is made of them."""
+    t = F.col(text)
+    unknown = F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce(F.col(strategy), F.lit("null")))).cast("array<string>")
+    parts = F.when(F.lit(False), F.array().cast("array<string>"))
+    for name in available():
+        parts = parts.when(F.col(strategy) == name, STRATEGIES[name](t, **options))
+    return exploded(df, parts.otherwise(unknown), "chunk_no", text)

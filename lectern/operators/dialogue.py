@@ -1,147 +1,124 @@
-"""The dialogue chunker's rules for one text. Cuts are looked for between sentences; where the words
-around a cut forbid it, within the chunk; and chunks that stay too long are cut at signs or words."""
+"""Dialogue-aware chunks as a fold over sentences, Column to Column.
+
+A chunk grows by sentences until the next one does not fit. What happens then is read from features of
+the place: whether the words around it may be parted (``boundary.is_safe_break``), where else the chunk
+would better be cut (``boundary.best_split``), and how full it is. Each answer is a pair: what is
+finished, and what goes on growing; the first answer that applies holds. Chunks that are too long all the
+same are cut at signs, else between words, and short ones join a neighbour afterwards.
+"""
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, functions as F
 
-from ..functions import boundary as B
+from ..functions import boundary as B, text as T
+from .chunkers import in_blocks
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"])|(?<=\.\")\s+(?=[A-Z])|(?<=\")\s+(?=[A-Z][a-z])|(?<=!\")\s+|(?<=\?\")\s+")
 # Where an oversized chunk may be cut, best first.
-_CUTS = tuple(
-    re.compile(p)
-    for p in (
-        r"[,;]\s+",
-        r"\s+(?:and|but|or|however|meanwhile|then|while|when|as|because)\s+",
-        r"\s+(?:after|before|during|since|until|while)\s+",
-        r"\s+--\s+",
-        r"\s+\(\s*",
-    )
+CUTS = (
+    rf"[,;]{T.WS}+",
+    rf"{T.WS}+(?:and|but|or|however|meanwhile|then|while|when|as|because){T.WS}+",
+    rf"{T.WS}+(?:after|before|during|since|until|while){T.WS}+",
+    rf"{T.WS}+--{T.WS}+",
+    rf"{T.WS}+\({T.WS}*",
 )
-_TAIL, _STARTS, _ENDS = '.,!?";:', {c.split()[0] for c in B.COMPOUNDS}, {c.split()[-1] for c in B.COMPOUNDS}
-
-
-def _adjective(word: str) -> bool:
-    return len(word) >= 3 and (any(word.endswith(e) and len(word) > len(e) + 2 for e in B.ADJECTIVE_ENDINGS) or word in B.ADJECTIVES)
-
-
-def _noun(word: str) -> bool:
-    clean = word.lstrip('"').rstrip(_TAIL)
-    if word[:1].isupper() and len(clean) > 2:
-        return True
-    return any(clean.endswith(e) and len(clean) > len(e) + 2 for e in B.NOUN_ENDINGS) or (len(clean) >= 4 and not clean.endswith(("ly", "ing", "ed")))
-
-
-def may_break(current: str, following: str) -> bool:
-    before, after = current.split(), following.split()
-    if not before or not after:
-        return True
-    last, first, said = before[-1].lower().rstrip(_TAIL), after[0].lower().lstrip('"'), current.strip()
-    if last in B.DETERMINERS or last in B.PREPOSITIONS or first in B.CONJUNCTIONS or (_adjective(last) and _noun(first)):
-        return False
-    two = " ".join(before[-2:]).lower()
-    if len(before) >= 2 and two.startswith(tuple(_STARTS)) and two.endswith(tuple(_ENDS)):
-        return False
-    return said.endswith(('"', ".")) or '"' not in current
-
-
-def may_merge(a: str, b: str) -> bool:
-    left, right = a.strip().endswith('"'), b.strip().startswith('"')
-    if left or right:
-        return left != right
-    return not any(w in b.strip().lower()[:50] for w in B.TOPIC_SHIFTS)
-
-
-def score(first: str, second: str) -> float:
-    before, after = first.split(), second.split()
-    if not before or not after:
-        return -1.0
-    said, last, start = first.strip(), before[-1].lower().rstrip(_TAIL), after[0].lower().lstrip('"')
-    points = {".": 2.0, '"': 1.5, "!": 1.0, "?": 1.0}.get(said[-1], 0.0)
-    return points - 3.0 * (last in B.ARTICLES) - 2.0 * (last in B.SHORT_PREPOSITIONS) - 1.5 * (start in B.SHORT_CONJUNCTIONS) - 1.0 * (len(first) < 30)
-
-
-def inner_cut(current: str, following: str, limit: int) -> tuple[str, str] | None:
-    words = current.split()
-    if len(words) <= 2:
-        return None
-    best, found = -1.0, None
-    for at in range(len(words) - 1, max(1, len(words) - 10), -1):
-        first, rest = " ".join(words[:at]), " ".join(words[at:])
-        if len(first) >= limit * 0.6 and (got := score(first, f"{rest} {following}")) > best:
-            best, found = got, (first, f"{rest} {following}")
-    return found
-
-
-def packed(parts: list[str], limit: int) -> list[str]:
-    out: list[str] = []
-    for part in filter(None, map(str.strip, parts)):
-        if out and len(out[-1]) + 1 + len(part) <= limit:
-            out[-1] += f" {part}"
-        else:
-            out.append(part)
-    return out
-
-
-def _cut_down(chunk: str, limit: int) -> list[str]:
-    """The chunk in parts; at the first kind of sign it has, whose signs are lost, else at words."""
-    if len(chunk) <= limit:
-        return [chunk]
-    for cut in _CUTS:
-        parts = cut.split(chunk)
-        if len(parts) > 1:
-            return packed(parts, limit) or [""]
-    return packed(chunk.split(), limit)
-
-
-def merged(chunks: list[str], limit: int) -> list[str]:
-    """A short chunk joins the next one, the last one joins the one before."""
-    out: list[str] = []
-    at = 0
-    while at < len(chunks):
-        chunk, more = chunks[at], at + 1 < len(chunks)
-        if len(chunk) < 40 and more:
-            if len(chunk) + 1 + len(chunks[at + 1]) <= limit and may_merge(chunk, chunks[at + 1]):
-                out.append(f"{chunk} {chunks[at + 1]}")
-                at += 2
-                continue
-        elif len(chunk) < 25 and out and len(out[-1]) + 1 + len(chunk) <= limit and may_merge(out[-1], chunk):
-            out[-1] += f" {chunk}"
-            at += 1
-            continue
-        out.append(chunk)
-        at += 1
-    return out
-
-
-def dialogue_chunks(text: str, limit: int = 249) -> list[str]:
-    text = re.sub(r"\s+", " ", text.strip())
-    chunks: list[str] = []
-    now = ""
-    for sentence in filter(None, map(str.strip, _SENTENCE.split(text))):
-        together = f"{now} {sentence}" if now else sentence
-        if len(together) <= limit:
-            now = together
-            continue
-        if not now:
-            now = sentence
-        elif may_break(now, sentence):
-            chunks.append(now)
-            now = sentence
-        elif cut := inner_cut(now, sentence, limit):
-            chunks.append(cut[0])
-            now = cut[1]
-        elif len(now) > limit * 0.8:
-            chunks.append(now)
-            now = sentence
-        else:
-            now = together
-        *done, now = _cut_down(now, limit)
-        chunks += done
-    if now:
-        chunks.append(now)
-    out: list[str] = []
-    for chunk in filter(None, map(str.strip, merged(chunks, limit))):
-        out += [chunk] if len(chunk) <= limit else packed(chunk.split(), limit)
-    return out
+#: Chunks under so many characters look for a neighbour: the one after, or for the last the one before.
+SHORT, SHORT_LAST = 40, 25
+#: A chunk as full as this ends where nothing better is found.
+FULL = 0.8
+
+STRINGS = "array<string>"
+
+
+def _none() -> Column:
+    return F.array().cast(STRINGS)
+
+
+def _beside(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
+
+
+def lines(parts: Column, limit: int) -> Column:
+    """Parts, stripped and not empty, laid into lines of up to ``limit``; a longer part is a line."""
+    clean = F.filter(F.transform(parts, T.strip_edges), lambda p: p != "")
+
+    def lay(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        fits = F.coalesce(F.length(last) + 1 + F.length(part) <= limit, F.lit(False))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_beside(last, part)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(clean, _none(), lay)
+
+
+def cut_down(chunk: Column, limit: int) -> Column:
+    """A chunk in lines that fit: cut at the first kind of place that it has, whose signs are lost, else
+    between words."""
+    parts = F.when(F.lit(False), _none())
+    for cut in CUTS:
+        parts = parts.when(chunk.rlike(cut), F.split(chunk, cut))
+    laid = T.let(lines(parts.otherwise(T.words(chunk)), limit), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(""))))
+    return F.when(F.length(chunk) <= limit, F.array(chunk)).otherwise(laid)
+
+
+def _pair(done: Column, now: Column) -> Column:
+    return F.struct(done.alias("done"), now.alias("now"))
+
+
+def parted(now: Column, sentence: Column, limit: int) -> Column:
+    """What is finished and what goes on where ``sentence`` does not fit behind ``now``."""
+    here = _pair(F.array(now), sentence)
+
+    def inner(at: Column) -> Column:
+        w = T.words(now)
+        first, rest = F.slice(w, F.lit(1), at), F.slice(w, at + 1, F.size(w))
+        return _pair(F.array(F.array_join(first, " ")), _beside(F.array_join(rest, " "), sentence))
+
+    found = T.let(B.best_split(now, sentence, limit), lambda at: F.when(at.isNotNull(), inner(at)))
+    enough = F.when(F.length(now) > limit * FULL, here).otherwise(_pair(_none(), _beside(now, sentence)))
+    return F.when(now == "", _pair(_none(), sentence)).when(B.is_safe_break(now, sentence), here).otherwise(F.coalesce(found, enough))
+
+
+def grown(sentences: Column, limit: int) -> Column:
+    """Chunks as they grow, before short ones are joined."""
+
+    def step(state: Column, sentence: Column) -> Column:
+        def settled(p: Column) -> Column:
+            return T.let(cut_down(p["now"], limit), lambda parts: _pair(F.concat(state["done"], p["done"], F.slice(parts, F.lit(1), F.size(parts) - 1)), F.element_at(parts, -1)))
+
+        together = F.when(state["now"] == "", sentence).otherwise(_beside(state["now"], sentence))
+        return F.when(F.length(together) <= limit, _pair(state["done"], together)).otherwise(T.let(parted(state["now"], sentence, limit), settled))
+
+    return in_blocks(sentences, _pair(_none(), F.lit("")), step, lambda s: F.when(s["now"] == "", _none()).otherwise(F.array(s["now"])))
+
+
+def merged(chunks: Column, limit: int) -> Column:
+    """A short chunk joins the next one, which then joins no other; the last joins the one before. While
+    folding, ``held`` is a short chunk that waits for the next, ``last`` what came before it."""
+    nothing = F.lit(None).cast("string")
+
+    def state_of(done: Column, last: Column, held: Column) -> Column:
+        return F.struct(done.alias("done"), last.alias("last"), held.alias("held"))
+
+    def one_more(state: Column) -> Column:
+        return F.concat(state["done"], F.filter(F.array(state["last"]), lambda x: x.isNotNull()))
+
+    def joins(a: Column, b: Column) -> Column:
+        return F.coalesce((F.length(a) + 1 + F.length(b) <= limit) & B.is_safe_merge(a, b), F.lit(False))
+
+    def step(state: Column, chunk: Column) -> Column:
+        alone = lambda s: F.when(F.length(chunk) < SHORT, state_of(s["done"], s["last"], chunk)).otherwise(state_of(one_more(s), chunk, nothing))
+        freed = F.when(state["held"].isNull(), state).otherwise(state_of(one_more(state), state["held"], nothing))
+        return F.when(joins(state["held"], chunk), state_of(one_more(state), _beside(state["held"], chunk), nothing)).otherwise(T.let(freed, alone))
+
+    def finish(state: Column) -> Column:
+        last, held = state["last"], state["held"]
+        back = (F.length(held) < SHORT_LAST) & joins(last, held)
+        return F.when(F.coalesce(back, F.lit(False)), F.array(_beside(last, held))).otherwise(F.filter(F.array(last, held), lambda x: x.isNotNull()))
+
+    return in_blocks(chunks, state_of(_none(), nothing, nothing), step, finish)
+
+
+def dialogue_array(text: Column, limit: int = 249) -> Column:
+    sentences = F.filter(F.transform(T.split_dialogue_sentences(F.regexp_replace(T.strip_edges(text), f"{T.WS}+", " ")), T.strip_edges), lambda s: s != "")
+    clean = F.filter(F.transform(T.let(grown(sentences, limit), lambda chunks: merged(chunks, limit)), T.strip_edges), lambda c: c != "")
+    return F.flatten(F.transform(clean, lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(lines(T.words(c), limit))))

@@ -262,19 +262,123 @@ def chk_chunk_paragraphs_eager(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_paragraphs_eager(derived(spark, sf_dir, PARAGRAPHS).select("doc_id", "text"), max_chars=400)
 
 
-@query()
+# ---- the dialogue chunker as folds over strings: RS parts chunks, US marks one that waits ----------------
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(" + "|".join(words) + ")"
+
+
+_RS, _US = "chr(30)", "chr(31)"
+_LIST = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+_BARE = r"""regexp_replace(lower({}), '[.,!?";:]+$', '')"""
+_CUT_MARKS = ((r"([.!?])\s+([A-Z\"])", r"\1' || chr(30) || '\2"), (r"(\.\")\s+([A-Z])", r"\1' || chr(30) || '\2"), (r"(\")\s+([A-Z][a-z])", r"\1' || chr(30) || '\2"), (r"(!\")\s+", r"\1' || chr(30) || '"), (r"(\?\")\s+", r"\1' || chr(30) || '"))
+
+
+def _dialogue_sentences_sql(text: str) -> str:
+    for pattern, kept in _CUT_MARKS:
+        text = f"regexp_replace({text}, '{pattern}', '{kept}', 'g')"
+    return f"list_filter(list_transform(string_split({text}, {_RS}), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
+
+
+def _safe_break_sql(a: str, b: str) -> str:
+    last, first = _BARE.format("q.w[-1]"), "ltrim(lower(q.v[1]), '\"')"
+    clean = _BARE.format("z.f")
+    adjective = f"length(z.l) >= 3 AND (regexp_matches(z.l, '...{_any_of(B.ADJECTIVE_ENDINGS)}$') OR z.l IN {B.ADJECTIVES})"
+    noun = f"(regexp_matches({clean}, '...{_any_of(B.NOUN_ENDINGS)}$') OR (length({clean}) >= 4 AND NOT regexp_matches({clean}, '(ly|ing|ed)$')))"
+    starts, ends = sorted({c.split()[0] for c in B.COMPOUNDS}), sorted({c.split()[-1] for c in B.COMPOUNDS})
+    rules = f"""CASE WHEN len(q.w) < 1 OR len(q.v) < 1 THEN true WHEN z.l IN {B.DETERMINERS} OR z.l IN {B.PREPOSITIONS} OR z.f IN {B.CONJUNCTIONS} OR ({adjective} AND {noun}) THEN false
+      WHEN len(q.w) >= 2 AND regexp_matches(lower(q.w[-2] || ' ' || q.w[-1]), '^{_any_of(tuple(starts))}') AND regexp_matches(lower(q.w[-2] || ' ' || q.w[-1]), '{_any_of(tuple(ends))}$') THEN false
+      WHEN q.a LIKE '%\"' OR q.a LIKE '%.' THEN true ELSE NOT contains(q.a, '\"') END"""
+    return _let(f"struct_pack(a := trim({a}), w := {_LIST.format(a)}, v := {_LIST.format(b)})", "q", _let(f"struct_pack(l := {last}, f := {first})", "z", rules))
+
+
+def _best_split_sql(a: str, limit: float) -> str:
+    points = f"""CASE WHEN y.t LIKE '%.' THEN 2.0 WHEN y.t LIKE '%\"' THEN 1.5 WHEN regexp_matches(y.t, '[!?]$') THEN 1.0 ELSE 0 END - CASE WHEN y.l IN {B.ARTICLES} THEN 3.0 ELSE 0 END
+      - CASE WHEN y.l IN {B.SHORT_PREPOSITIONS} THEN 2.0 ELSE 0 END - CASE WHEN y.f IN {B.SHORT_CONJUNCTIONS} THEN 1.5 ELSE 0 END - CASE WHEN length(y.t) < 30 THEN 1.0 ELSE 0 END"""
+    one = _let(f"struct_pack(t := array_to_string(e[1 : i], ' '), l := {_BARE.format('e[i]')}, f := ltrim(lower(e[i + 1]), '\"'))", "y", f"CASE WHEN length(y.t) >= {limit * 0.6} THEN struct_pack(score := ({points})::DOUBLE, i := i) END")
+    places = f"list_filter(list_transform(range(greatest(1, len(e) - 10) + 1, len(e)), lambda i: {one}), lambda y: y.score > -1)"
+    return _let(_LIST.format(a), "e", f"CASE WHEN len(e) > 2 THEN list_max({places}).i END")
+
+
+def _merge_sql(a: str, b: str) -> str:
+    topics = " OR ".join(f"contains(substr(lower(trim({b})), 1, 50), '{x}')" for x in B.TOPIC_SHIFTS)
+    return f"""CASE WHEN (trim({a}) LIKE '%\"') <> (trim({b}) LIKE '\"%') THEN true WHEN trim({a}) LIKE '%\"' AND trim({b}) LIKE '\"%' THEN false ELSE NOT ({topics}) END"""
+
+
+_LAST = r"regexp_extract({}, '[^\x1e]*$')"
+
+
+def _lines_sql(parts: str, limit: int) -> str:
+    lay = f"CASE WHEN length({_LAST.format('p')}) + 1 + length(s) <= {limit} THEN p || ' ' || s ELSE p || {_RS} || s END"
+    return f"coalesce(list_reduce(list_filter(list_transform({parts}, lambda s: trim(s)), lambda s: s <> ''), lambda p, s: {lay}), '')"
+
+
+_CUTS_SQL = (r"[,;]\s+", r"\s+(?:and|but|or|however|meanwhile|then|while|when|as|because)\s+", r"\s+(?:after|before|during|since|until|while)\s+", r"\s+--\s+", r"\s+\(\s*")
+
+
+def _dialogue_sql(text: str, limit: int) -> str:
+    """A list of chunks."""
+    cuts = " ".join(f"WHEN regexp_matches(c, '{cut}') THEN regexp_split_to_array(c, '{cut}')" for cut in _CUTS_SQL)
+    cut_down = f"CASE WHEN length(c) <= {limit} THEN c ELSE {_lines_sql(f'CASE {cuts} ELSE ' + _LIST.format('c') + ' END', limit)} END"
+    inner = _let(_best_split_sql("n", limit), "k", f"CASE WHEN k IS NOT NULL THEN {_let(_LIST.format('n'), 'd', f'array_to_string(d[1 : k], chr(32)) || {_RS} || array_to_string(d[k + 1 :], chr(32)) || chr(32) || x')} END")
+    parted = f"CASE WHEN n = '' THEN x WHEN {_safe_break_sql('n', 'x')} THEN n || {_RS} || x ELSE coalesce({inner}, CASE WHEN length(n) > {limit * 0.8} THEN n || {_RS} || x ELSE n || ' ' || x END) END"
+    settled = _let(parted, "r", _let(_LAST.format("r"), "c", f"left(r, length(r) - length(c)) || {cut_down}"))
+    step = _let(_LAST.format("acc"), "n", f"left(acc, length(acc) - length(n)) || CASE WHEN length(n) + CASE WHEN n = '' THEN 0 ELSE 1 END + length(x) <= {limit} THEN n || CASE WHEN n = '' THEN '' ELSE ' ' END || x ELSE {settled} END")
+    grown = f"list_filter(string_split(list_reduce({_dialogue_sentences_sql(text)}, lambda acc, x: {step}, ''), {_RS}), lambda o: true)"
+    short = f"h || CASE WHEN length(h) < 40 THEN {_US} ELSE '' END"
+    fits = lambda a, b: f"length({a}) + 1 + length({b}) <= {limit} AND {_merge_sql(a, b)}"
+    waits = _let(f"rtrim({_LAST.format('m')}, {_US})", "b", f"CASE WHEN {fits('b', 'h')} THEN rtrim(m, {_US}) || ' ' || h ELSE rtrim(m, {_US}) || {_RS} || {short} END")
+    merging = f"CASE WHEN m = '' THEN {short} WHEN ends_with(m, {_US}) THEN {waits} ELSE m || {_RS} || {short} END"
+    together = f"list_reduce({grown}, lambda m, h: {merging}, '')"
+    back = f"array_to_string(j[1 : len(j) - 2], {_RS}) || CASE WHEN len(j) > 2 THEN {_RS} ELSE '' END || j[-2] || ' ' || rtrim(j[-1], {_US})"
+    ended = _let(f"string_split({together}, {_RS})", "j", f"CASE WHEN ends_with(j[-1], {_US}) AND len(j) > 1 AND length(rtrim(j[-1], {_US})) < 25 AND {fits('j[-2]', f'rtrim(j[-1], {_US})')} THEN {back} ELSE rtrim(array_to_string(j, {_RS}), {_US}) END")
+    clean = f"list_filter(list_transform(string_split({ended}, {_RS}), lambda g: trim(g)), lambda g: g <> '')"
+    return f"flatten(list_transform({clean}, lambda g: CASE WHEN length(g) <= {limit} THEN [g] ELSE string_split({_lines_sql(_LIST.format('g'), limit)}, {_RS}) END))"
+
+
+_SPACED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_SAID = """CASE WHEN turn % 2 = 1 THEN '"' || text || '" said' ELSE text END"""
+
+
+@query(f"SELECT conv_id, turn, unnest(range(1, len(chunks) + 1))::INT AS chunk_no, unnest(chunks) AS text FROM (SELECT conv_id, turn, {_dialogue_sql('text', 249)} AS chunks FROM (SELECT conv_id, turn, {_SPACED.format(_SAID)} AS text FROM conversations))")
 def chk_chunk_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branching state: no SQL form. Tested against its rules in tests."""
     turns = table(spark, sf_dir, "conversations")
     said = F.when(F.col("turn") % 2 == 1, F.concat(F.lit('"'), F.col("text"), F.lit('" said'))).otherwise(F.col("text"))
     return C.chunk_dialogue(turns.select("conv_id", "turn", said.alias("text")))
 
 
-@query()
+#: Documents with speech put in, for the rules about quotation marks.
+_SPOKEN = """SELECT doc_id, replace(replace(text, '. T', '." "T'), ' the ', CASE WHEN doc_id % 3 = 0 THEN ', said the ' ELSE ' the ' END) AS text FROM documents"""
+
+
+@query(f"SELECT doc_id, unnest(range(1, len(chunks) + 1))::INT AS chunk_no, unnest(chunks) AS text FROM (SELECT doc_id, {_dialogue_sql('text', 249)} AS chunks FROM (SELECT doc_id, {_SPACED.format('text')} AS text FROM ({_SPOKEN})))")
+def chk_chunk_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialogue chunker on long texts."""
+    return C.chunk_dialogue(S.spread(derived(spark, sf_dir, _SPOKEN)))
+
+
+def _chunked_sql(k: int, walk: str) -> str:
+    return f"SELECT doc_id, chunk_no::INT AS chunk_no, text FROM ({walk.replace('FROM documents', f'FROM (SELECT doc_id, text FROM documents WHERE doc_id % 4 = {k})').replace('{SOME}', f'(SELECT doc_id, text FROM documents WHERE doc_id % 4 = {k})')})"
+
+
+_WITH_SQL = " UNION ALL ".join((
+    _chunked_sql(0, f"SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS chunk_no, unnest(chunks) AS text FROM (SELECT doc_id, {_dialogue_sql('text', 200)} AS chunks FROM (SELECT doc_id, {_SPACED.format('text')} AS text FROM documents))"),
+    _chunked_sql(1, _walk(_NUMBERED.format("SELECT * FROM x"), "length(w.now) + length(u.g) + u.n <= 200").replace("WITH RECURSIVE u AS", _paragraph_units(200, "{SOME}")).replace("NUMBER", "chunk_no").replace("FROM w GROUP BY", "FROM w WHERE doc_id NOT IN (SELECT doc_id FROM {SOME} WHERE length(text) <= 200) GROUP BY") + " UNION ALL SELECT doc_id, 1, text FROM {SOME} WHERE length(text) <= 200"),
+    _chunked_sql(2, _walk(_NUMBERED.format("SELECT * FROM x"), "length(w.now) + length(u.g) + u.n <= 200", close="(ends AND length(NOW) >= 160)").replace("WITH RECURSIVE u AS", _paragraph_units(200, "{SOME}")).replace("NUMBER", "chunk_no")),
+    _chunked_sql(3, _walk(_NUMBERED.format(_CHAR_UNITS), "length(w.now) + 1 + u.n <= 150", fresh="u.fresh").replace("WITH RECURSIVE u AS", f"WITH RECURSIVE {_Q}, u AS").replace("150", "200").replace("NUMBER", "chunk_no")),
+))
+
+
+@query(_WITH_SQL)
 def chk_chunk_with(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strategies by row; each of them has a query with SQL above."""
+    """Strategies by row."""
     docs = S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.element_at(F.array(*map(F.lit, C.available())), (F.col("doc_id") % 4 + 1).cast("int")).alias("strategy"))
-    return C.chunk_with(docs, "strategy", max_chars=200)
+    return C.chunk_with(docs, "strategy", max_chars=200).drop("strategy")
 
 
 _ENDS = "('" + "|".join(B.ADJECTIVE_ENDINGS) + "')"
@@ -301,10 +405,12 @@ def scr_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "sentence_no", B.split_score(a, b).alias("score"), B.is_safe_merge(a, b).alias("merge_ok"), B.gap_after(a, b).alias("gap_s"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id, i::INT AS sentence_no, {_safe_break_sql('a', 'b')} AS break_ok, {_best_split_sql('a', 60)}::INT AS best_words FROM (SELECT doc_id, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM
+    (SELECT doc_id, unnest(ss) AS a, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {_dialogue_sentences_sql('text')} AS ss FROM documents))) WHERE b IS NOT NULL"""
+)
 def scr_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a chunk may end between sentences and the best cut within: equal to the rules of the
-    dialogue chunker, which the tests compare."""
+    """Whether a chunk may end between sentences, and the best cut within."""
     from pyspark.sql import Window as W
 
     s = C.exploded(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), C._stripped(T.split_dialogue_sentences(F.col("text"))), "sentence_no")
@@ -312,6 +418,20 @@ def scr_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "sentence_no", B.is_safe_break(F.col("text"), F.col("b")).alias("break_ok"), B.best_split(F.col("text"), F.col("b"), 60).alias("best_words"))
 
 
+_WORDLIKE = r"""SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word FROM documents"""
+
+
+@query(
+    f"""SELECT word, length(c) >= 3 AND (regexp_matches(c, '...{_any_of(B.ADJECTIVE_ENDINGS)}$') OR c IN {B.ADJECTIVES}) AS adjective,
+    (regexp_matches(word, '^\\p{{Lu}}') AND length(d) > 2) OR regexp_matches(d, '...{_any_of(B.NOUN_ENDINGS)}$') OR (length(d) >= 4 AND NOT regexp_matches(d, '(ly|ing|ed)$')) AS noun
+    FROM (SELECT DISTINCT word, {_BARE.format('word')} AS c, {_BARE.format("ltrim(word, chr(34))")} AS d FROM ({_WORDLIKE}))"""
+)
+def str_word_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words look like adjectives, and which like nouns."""
+    words = S.spread(table(spark, sf_dir, "documents")).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", B.is_adjective_like(F.col("word")).alias("adjective"), B.is_noun_like(F.col("word")).alias("noun"))
+
+
 _PRICES = "SELECT DISTINCT source AS model, CAST(CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN 30.0 WHEN CAST(substr(source, 4) AS INT) % 3 = 1 THEN 0.6 END AS DOUBLE) AS usd_per_million FROM documents"
 
 

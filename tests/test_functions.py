@@ -95,22 +95,67 @@ def test_time(spark, f, want):
 WORDS = 'the of and but dark house said "yes no." end. stop! why? according to rather than meanwhile later quickly nation 12 a very big town "Go away." she left'.split()
 
 
-def pairs(n):
-    rng = random.Random(3)
-    return [(" ".join(rng.choices(WORDS, k=rng.randrange(1, 14))), " ".join(rng.choices(WORDS, k=rng.randrange(1, 6)))) for _ in range(n)]
-
-
-def test_boundaries_equal_the_rules(spark):
-    made = pairs(400)
-    df = spark.createDataFrame(made, "a string, b string")
-    a, b = F.col("a"), F.col("b")
-    got = df.select("a", "b", B.is_safe_break(a, b).alias("brk"), B.is_safe_merge(a, b).alias("mrg"), B.split_score(a, b).alias("s"), B.best_split(a, b, 40).alias("at")).collect()
-    for r in got:
-        assert r.brk == dialogue.may_break(r.a, r.b), r
-        assert r.mrg == dialogue.may_merge(r.a, r.b), r
-        assert r.s == dialogue.score(r.a, r.b), r
-        cut = dialogue.inner_cut(r.a, r.b, 40)
-        assert (None if cut is None else len(cut[0].split())) == r["at"], r
+@pytest.mark.parametrize(
+    ("a", "b", "brk", "mrg", "score"),
+    [
+        ("we went to the", "house", False, True, -4.0),
+        ("he sat down.", "Then he left.", True, True, 1.0),
+        ("it was old", "and grey", False, True, -2.5),
+        ("it was beautiful", "country side", False, True, -1.0),
+        ("according to", "him", False, True, -3.0),
+        ('"Go away."', "She left.", True, True, 0.5),
+        ('"Go away."', '"No."', True, False, 0.5),
+        ('she said "no and', "left", False, True, -1.0),
+        ("all of it was gone by then.", "Meanwhile the town slept", True, False, 1.0),
+        ("and that, as they say, was that!", "What now", False, True, 1.0),
+        ("  ", "x", True, True, -1.0),
+    ],
+)
+def test_boundaries(spark, a, b, brk, mrg, score):
+    x, y = F.lit(a), F.lit(b)
+    r = spark.range(1).select(B.is_safe_break(x, y).alias("brk"), B.is_safe_merge(x, y).alias("mrg"), B.split_score(x, y).alias("s")).first()
+    assert (r.brk, r.mrg, r.s) == (brk, mrg, score)
+
+
+def test_best_split(spark):
+    current = "one two three four. five six seven the eight nine"
+    r = spark.range(1).select(B.best_split(F.lit(current), F.lit("next"), 30).alias("at"), B.best_split(F.lit("one two"), F.lit("x"), 3).alias("few"), B.best_split(F.lit(current), F.lit("x"), 90).alias("short")).first()
+    # behind "four." would score best, among places whose first part is long enough
+    assert (r["at"], r.few, r.short) == (4, None, None)
+
+
+@pytest.mark.parametrize(
+    ("text", "limit", "want"),
+    [
+        ("", 40, []),
+        ("One. Two. Three.", 40, ["One. Two. Three."]),
+        ('He sat down. "Go away." She left the house and walked home.', 30, ['He sat down. "Go away."', "She left the house walked home."[:18], "walked home."]),
+        ("word " * 20, 24, ["word word word word", "word word word word", "word word word word", "word word word word", "word word word word"]),
+        ("x" * 50, 20, ["x" * 50]),
+    ],
+)
+def test_dialogue_chunks(spark, text, limit, want):
+    assert value(spark, text, lambda t: dialogue.dialogue_array(t, limit)) == want
+
+
+def test_short_chunks_join_a_neighbour(spark):
+    chunks = ["short one", "a chunk of more than forty characters, so it stays as it is", "end."]
+    many = ["s1", "s2", "s3"]
+    r = spark.range(1).select(dialogue.merged(F.array(*map(F.lit, chunks)), 100).alias("a"), dialogue.merged(F.array(*map(F.lit, many)), 100).alias("b"), dialogue.merged(F.array(*map(F.lit, chunks)), 30).alias("c"), dialogue.merged(F.array(F.lit("only")), 30).alias("d")).first()
+    assert r.a == [f"{chunks[0]} {chunks[1]} end."] and r.b == ["s1 s2 s3"] and r.c == chunks and r.d == ["only"]
+
+
+@pytest.mark.parametrize("n", [3, 64, 65, 200, 5000])
+def test_folds_in_blocks_are_folds(spark, n):
+    text = " ".join(f"Sentence {i} ends here." for i in range(n))
+    want, now = [], ""
+    for s in (f"Sentence {i} ends here." for i in range(n)):
+        if now and len(now) + 1 + len(s) > 150:
+            want.append(now)
+            now = s
+        else:
+            now = f"{now} {s}".strip()
+    assert value(spark, text, C.chunk_sentences_array) == [*want, now]
 
 
 def test_gap(spark):
