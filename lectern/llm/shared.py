@@ -84,11 +84,12 @@ def block_pairs(n: Column, p: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), unit)
 
 
-def join_told(rows: DataFrame, told: DataFrame, keys: list[str], copies: str, share: int = 1000) -> DataFrame:
+def join_told(rows: DataFrame, told: DataFrame, keys: list[str], copies: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """``rows`` with what ``told`` says of their keys, in one row a key; its column ``copies`` is the
     number of rows a key has. Keys with more than a ``share``-th of all rows are fewer than ``share``:
-    they are broadcast, so that the rows of a hot key are not gathered; the others meet by a shuffle."""
-    total = told.agg(F.sum(copies)).first()[0] or 0
+    they are broadcast, so that the rows of a hot key are not gathered; the others meet by a shuffle.
+    ``total``: the number of rows or more, where it is known."""
+    total = (told.agg(F.sum(copies)).first()[0] or 0) if total is None else total
     hot = F.col(copies) * share > total
     many, few = F.broadcast(told.filter(hot).drop(copies)), told.filter(~hot).drop(copies)
     return rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(few, keys))
