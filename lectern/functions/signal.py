@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PEAK = 0.95
 
@@ -75,3 +75,15 @@ def resample_linear(samples: Column, speed: float) -> Column:
 
 def silence(rate: Column, seconds: Column) -> Column:
     return F.array_repeat(F.lit(0.0), (seconds * rate).cast("int"))
+
+
+def concat_with_gaps(parts: DataFrame, by: str, order: str, samples: str = "samples", rate: str = "rate", gap: Column | None = None) -> DataFrame:
+    """Parts of each series laid end to end with silence between: ``parts`` with ``samples`` (as doubles,
+    but for the last part with the gap behind them) and ``offset``, the samples before. A part stays a
+    row, so a long series is never one array; samples in order of ``order`` are the series."""
+    w = W.partitionBy(by).orderBy(order)
+    last = F.lead(order).over(w).isNull()
+    behind = F.when(last, F.array().cast("array<double>")).otherwise(silence(F.col(rate), F.lit(0.3) if gap is None else gap))
+    laid = parts.withColumn(samples, F.concat(F.transform(samples, lambda x: x.cast("double")), behind))
+    before = F.sum(F.size(samples).cast("bigint")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return laid.withColumn("offset", F.coalesce(before, F.lit(0)))

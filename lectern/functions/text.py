@@ -55,6 +55,12 @@ def quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c in " '" else "\\" + c for c in word)
 
 
+def mentions(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Whether any of the words may be there: a plain search, which spares most texts a pass for each. By
+    way of upper case, letters that only fold together there are found as well."""
+    return let(F.lower(F.upper(text)), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
+
+
 def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = True) -> Column:
     """Replaces each word in turn, whole and without regard to case; later pairs see what earlier
     ones wrote. ``strict`` asks for a word boundary after the word even where the word ends in a
@@ -66,13 +72,7 @@ def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = Tr
             t = F.regexp_replace(t, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
         return t
 
-    # a plain search for any of the words spares most texts a pass for each; without one nothing
-    # changes. By way of upper case, letters that only fold together there are found as well
-    def searched(t: Column) -> Column:
-        found = let(F.lower(F.upper(t)), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
-        return F.when(found, replaced(t)).otherwise(t)
-
-    return let(text, searched)
+    return let(text, lambda t: F.when(mentions(t, pairs), replaced(t)).otherwise(t))
 
 
 # ---- cleaning -----------------------------------------------------------------------------------

@@ -15,6 +15,17 @@ def pages_of_chapters(pages: DataFrame, chapters: DataFrame, wanted: DataFrame,
     return pages.join(ranges, within, "left_semi")
 
 
+def pages_wanted(pages: DataFrame, chapters: DataFrame, wanted: DataFrame, book: str = "book") -> DataFrame:
+    """Pages asked for by number: numbers are those of chapters in a book that has several, and of pages
+    in one that has not."""
+    several = chapters.groupBy(book).agg((F.count("*") > 1).alias("_several"))
+    asked = wanted.join(several, book, "left").withColumn("_several", F.coalesce("_several", F.lit(False)))
+    by_chapter = asked.filter("_several").join(chapters, [book, "number"]).select(F.col(book).alias("_book"), "start_page", "end_page")
+    by_page = asked.filter("not _several").select(F.col(book).alias("_book"), F.col("number").alias("start_page"), F.col("number").alias("end_page"))
+    within = (F.col(book) == F.col("_book")) & F.col("page_no").between(F.col("start_page"), F.col("end_page"))
+    return pages.join(by_chapter.unionByName(by_page), within, "left_semi")
+
+
 def pair_samples(audio: DataFrame, texts: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Audio with the stripped text of the same folder and stem; with ``keep_unmatched`` an empty one."""
     from ..functions.text import strip_edges

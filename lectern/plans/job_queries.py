@@ -138,20 +138,38 @@ def win_chapter_end_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.chapter_end_pages(derived(spark, sf_dir, CHAPTERS).withColumn("n_pages", F.lit(250))).select("book", "number", "start_page", "end_page")
 
 
-@query("""SELECT DISTINCT p.book, p.page_no FROM {PAGES} p JOIN (SELECT book, number, start_page, coalesce(lead(start_page) OVER (PARTITION BY book ORDER BY number) - 1, 250) AS end_page FROM {CHAPTERS}) c
-  ON p.book = c.book AND p.page_no BETWEEN c.start_page AND c.end_page WHERE c.number % 3 = 0""")
-def join_pages_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten parts a book, each a chapter of 25 pages, so that books and pages grow with the tables. The SQL
-    has fifty books at any size, so its rows are others."""
+_TOC = "(SELECT p_partkey // 10 AS book, p_partkey % 10 + 1 AS number, p_partkey % 10 * 25 + 1 AS start_page FROM part)"
+_TOC_ENDS = f"(SELECT book, number, start_page, coalesce(lead(start_page) OVER (PARTITION BY book ORDER BY number) - 1, 250) AS end_page FROM {_TOC})"
+_LINE_PAGES = "(SELECT DISTINCT l_partkey // 10 AS book, (1 + l_orderkey % 250)::INT AS page_no FROM lineitem)"
+
+
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and chapters: ten parts a book, each a chapter of 25 pages, so that both grow with the tables."""
     part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     book = lambda key: F.floor(F.col(key) / 10).alias("book")
     at = F.col("p_partkey") % 10
     toc = part.select(book("p_partkey"), (at + 1).cast("int").alias("number"), (at * 25 + 1).cast("int").alias("start_page"), F.lit(250).alias("n_pages"))
     pages = lineitem.select(book("l_partkey"), (1 + F.col("l_orderkey") % 250).cast("int").alias("page_no")).distinct()
+    return pages, toc
+
+
+@query(f"SELECT DISTINCT p.book, p.page_no FROM {_LINE_PAGES} p JOIN {_TOC_ENDS} c ON p.book = c.book AND p.page_no BETWEEN c.start_page AND c.end_page WHERE c.number % 3 = 0")
+def join_pages_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, toc = _books(spark, sf_dir)
     chapters = jobs.chapter_end_pages(toc)
     return joins.pages_of_chapters(pages, chapters, chapters.filter("number % 3 = 0").select("book", "number"))
 
 
+@query(f"""SELECT DISTINCT p.book, p.page_no FROM {_LINE_PAGES} p JOIN (SELECT c.book, CASE WHEN c.book % 2 = 0 THEN c.start_page ELSE c.number END AS a, CASE WHEN c.book % 2 = 0 THEN c.end_page ELSE c.number END AS b FROM {_TOC_ENDS} c WHERE c.number % 3 = 0) r
+    ON p.book = r.book AND p.page_no BETWEEN r.a AND r.b""")
+def join_pages_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other book has a single chapter, so its numbers are those of pages."""
+    pages, toc = _books(spark, sf_dir)
+    chapters = jobs.chapter_end_pages(toc)
+    wanted = chapters.filter("number % 3 = 0").select("book", "number")
+    return joins.pages_wanted(pages, chapters.filter("book % 2 = 0 OR number = 1"), wanted)
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS part_no, coalesce(sum(length(text) * 0.06 + CASE WHEN role = 'user' THEN 0.4 ELSE 0.3 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start_s FROM conversations")
 def win_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("part_no", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
@@ -172,11 +190,10 @@ def win_suffix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROLLED = "SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS}"
 
 
-@query(f"""SELECT DISTINCT job_id, section FROM (SELECT j.job_id, s.section::INT AS section FROM (SELECT DISTINCT job_id FROM {{ORDER_SECTIONS}}) j, (SELECT unnest(range(1, 13)) AS section) s
-    WHERE NOT EXISTS (SELECT 1 FROM {{ORDER_SECTIONS}} o WHERE o.job_id = j.job_id AND o.section = s.section AND o.status = 'F') UNION ALL SELECT job_id, max(section) FROM {{ORDER_SECTIONS}} GROUP BY job_id)""")
+@query("""SELECT DISTINCT job_id, section FROM (SELECT j.job_id, s.section::INT AS section FROM (SELECT job_id, max(section) AS total FROM {ORDER_SECTIONS} GROUP BY job_id) j JOIN (SELECT unnest(range(1, 100)) AS section) s ON s.section <= j.total
+    WHERE NOT EXISTS (SELECT 1 FROM {ORDER_SECTIONS} o WHERE o.job_id = j.job_id AND o.section = s.section AND o.status = 'F') UNION ALL SELECT job_id, max(section) FROM {ORDER_SECTIONS} GROUP BY job_id)""")
 def join_pending_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job has as many sections as its largest number says; the SQL looks at the first twelve, so these
-    rows hold more than the SQL's."""
+    """A job has as many sections as its largest number says."""
     made = derived(spark, sf_dir, ORDER_SECTIONS)
     current = made.groupBy("job_id").agg(F.max("section").alias("section"))
     return joins.pending_sections(current.withColumnRenamed("section", "total"), made.filter("status = 'F'").select("job_id", "section"), current)
@@ -248,13 +265,9 @@ def map_list_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.list_profiles(made)
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || (SELECT min(k) FROM (SELECT unnest(json_keys(props)) AS k FROM (SELECT props FROM events WHERE props IS NOT NULL ORDER BY event_id LIMIT 1)))) AS value FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events")
 def map_config_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    first = events.filter("props is not null").orderBy("event_id").select("props").first()
-    import json
-
-    return events.select("event_id", jobs.config_value(F.col("props"), min(json.loads(first["props"]))).alias("value"))
+    return table(spark, sf_dir, "events").select("event_id", jobs.config_value(F.col("props"), "k").alias("value"))
 
 
 @query("SELECT c_custkey AS job_id, 'kept' AS speed, CASE WHEN c_nationkey % 4 <> 0 THEN c_mktsegment END AS segment FROM customer")
@@ -307,9 +320,9 @@ def flt_select_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc AS conv_id, total, NOT bool_or(bad) AS valid, arg_min(ordinal, pos) FILTER (bad) AS first_bad FROM (SELECT doc, ordinal, pos, coalesce(total, 0)::INT AS total, ordinal < 1 OR ordinal > coalesce(total, 0) AS bad FROM
-  (SELECT doc_id % 300 AS doc, (n_chars % 9)::INT AS ordinal, doc_id AS pos FROM documents) LEFT JOIN (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id) ON conv_id = doc) GROUP BY doc, total""")
+  (SELECT doc_id % (SELECT max(conv_id) + 1 FROM conversations) AS doc, (n_chars % 9)::INT AS ordinal, doc_id AS pos FROM documents) LEFT JOIN (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id) ON conv_id = doc) GROUP BY doc, total""")
 def flt_validate_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests dealt over all conversations; the SQL asks for the first 300 ids, so its rows are others."""
+    """Requests dealt over all conversations."""
     turns = table(spark, sf_dir, "conversations")
     ids = turns.agg((F.max("conv_id") + 1).alias("ids"))
     asked = table(spark, sf_dir, "documents").crossJoin(F.broadcast(ids)).select((F.col("doc_id") % F.col("ids")).alias("conv_id"), (F.col("n_chars") % 9).cast("int").alias("ordinal"), F.col("doc_id").alias("request_pos"))
@@ -395,14 +408,11 @@ def aud_resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, SIGNALS).select("vec_id", F.transform(G.resample_linear(F.col("samples"), 0.8), lambda x: F.round(x, 4) + 0).alias("slow"))
 
 
-@query("SELECT label, sum(len(samples)) + 3 * (count(*) - 1) AS n, round(sum(list_sum(list_transform(samples, lambda q: q::DOUBLE))), 4) AS total FROM {SIGNALS} GROUP BY label")
+@query("""SELECT label, vec_id, (sum(len(samples) + 3) OVER w - (len(samples) + 3))::BIGINT AS "offset", list_concat(list_transform(samples, lambda q: q::DOUBLE), CASE WHEN lead(vec_id) OVER w IS NULL THEN [] ELSE [0.0, 0.0, 0.0]::DOUBLE[] END) AS samples
+  FROM {SIGNALS} WINDOW w AS (PARTITION BY label ORDER BY vec_id)""")
 def aud_concat_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a label end to end with gaps of 0.3 s: places by running sums, so a long series is never
-    one array; here its length and sum."""
-    parts = derived(spark, sf_dir, SIGNALS).withColumn("last", F.max("vec_id").over(W.partitionBy("label")))
-    gap = F.when(F.col("vec_id") == F.col("last"), 0).otherwise((F.lit(0.3) * F.col("rate")).cast("int"))
-    with_gap = parts.withColumn("s", F.concat(F.transform("samples", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), gap)))
-    return with_gap.groupBy("label").agg(F.sum(F.size("s").cast("bigint")).alias("n"), F.round(F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)), 4).alias("total"))
+    """The vectors of a label end to end, with gaps of 0.3 s."""
+    return G.concat_with_gaps(derived(spark, sf_dir, SIGNALS), "label", "vec_id").select("label", "vec_id", "offset", "samples")
 
 
 @query("SELECT doc_id, lang, length(text)::DOUBLE AS payload, true AS success, 1 AS attempts FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, lang, NULL, false, 3 FROM documents WHERE doc_id % 10 = 0")
@@ -414,6 +424,34 @@ def udf_enrich_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_chunks(marked, make).select("doc_id", "lang", "payload", "success", "attempts")
 
 
+@query("SELECT doc_id, 2.0::DOUBLE AS payload, true AS success, CASE WHEN length(text) % 2 = 0 THEN 2 ELSE 3 END AS attempts FROM documents".replace("2.0::DOUBLE AS payload", "(CASE WHEN length(text) % 2 = 0 THEN 2 ELSE 3 END)::DOUBLE AS payload"))
+def udf_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload is the number of the try; texts of even length are content with the second, the others
+    with none, so that the last is taken."""
+
+    def make():
+        tries = {"text": None, "n": 0}
+
+        def call(text: str) -> float:
+            tries["n"] = tries["n"] + 1 if tries["text"] is text else 1
+            tries["text"] = text
+            return float(tries["n"])
+
+        return call
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gated = enrich.enrich_chunks(docs, make, accept=lambda text, payload: len(text) % 2 == 0 and payload >= 2)
+    return gated.select("doc_id", "payload", "success", "attempts")
+
+
+@query("SELECT conv_id, turn, (conv_id % 7)::INT AS request_pos FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS part, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE part = 1 + conv_id % n")
+def flt_select_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of each conversation, where a request past the last part would be an error."""
+    parts = table(spark, sf_dir, "conversations").withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    asked = parts.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", (1 + F.col("conv_id") % F.col("n")).cast("int").alias("ordinal"), (F.col("conv_id") % 7).cast("int").alias("request_pos"))
+    return S.select_ordinals(parts, asked, "conv_id", "part", strict=True).select("conv_id", "turn", "request_pos")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity / 10 < 0.25 OR l_quantity / 10 > 4 AS bad_speed, l_returnflag NOT IN ('A', 'N') AS bad_model, l_linestatus <> 'O' AS bad_voice, l_extendedprice / 1e6 * 15 AS usd FROM lineitem")
 def mth_flags_and_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = enrich.in_range_flags(F.col("l_quantity") / 10, F.col("l_returnflag"), F.col("l_linestatus"), ["A", "N"], ["O"])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
 from ..operators import chunkers as C, joins
 from ..sources import files as S
 from ..sources.scratch import scratch_folder
 from ..streaming import live
 from .registry import query, table
+from .text_queries import CLEAN_SQL
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,31 +42,42 @@ def stm_live_section_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(live.live_section_state(_checkpoints(spark, sf_dir)), "complete")
 
 
-@query("SELECT user_id AS job_id, count(*) FILTER (event_type <> 'signup') + least(1, count(*) FILTER (event_type = 'signup')) AS events FROM events GROUP BY user_id")
+@query("""SELECT user_id AS job_id, count(*) AS events FROM (SELECT user_id, CASE WHEN event_type = 'signup' THEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) END AS gap FROM events)
+  WHERE gap IS NULL OR gap > 10000000 GROUP BY user_id""")
 def stm_dedup_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL keeps one start of each job; here a start is dropped only within ten seconds of the job's
-    start before, so these rows hold more events than the SQL's."""
+    """A start is dropped within ten seconds of the job's start before."""
     return _drained(live.dedup_checkpoints(_checkpoints(spark, sf_dir)), "append").groupBy("job_id").agg(F.count("*").alias("events"))
 
 
-@query()
+@query(f"""SELECT doc_id, section_no, len(ws)::INT AS words FROM (SELECT doc_id, unnest(range(1, len(cuts) + 1))::INT AS section_no, unnest(cuts) AS ws FROM
+  (SELECT doc_id, list_transform(range(0, ceil(len(ws) / 100.0)::INT), lambda k: ws[k * 100 + 1 : k * 100 + 100]) AS cuts FROM (SELECT doc_id, list_filter(regexp_split_to_array({CLEAN_SQL}, '\\s+'), lambda w: w <> '') AS ws FROM documents)))""")
 def stm_resumable_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks by document; the tests hold it against the batch form."""
+    """Clean texts in sections of a hundred words, run twice over the same stream: the second run finds
+    nothing left to do, so each section stands once."""
     out, checkpoint = scratch_folder(spark, "chunks"), scratch_folder(spark, "checkpoint")
     docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
-    live.resumable_pipeline(docs, out, checkpoint).awaitTermination()
-    return spark.read.schema("doc_id bigint, section_no int, chunk_no int, text string").parquet(out)
 
+    def sections(df: DataFrame) -> DataFrame:
+        return C.exploded(df, C.sections_by_words(F.col("text"), F.lit(100)), "section_no")
 
-@query("SELECT a.source AS dir, a.doc_id // 2 AS stem, a.doc_id, trim(b.text) AS text FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id // 40 = b.doc_id // 40 AND b.doc_id % 3 = 0 AND a.doc_id % 3 = 0")
+    for _ in range(2):
+        live.resumable_pipeline(docs, out, checkpoint, sections).awaitTermination()
+    return spark.read.schema("doc_id bigint, section_no int, text string").parquet(out).select("doc_id", "section_no", T.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT a.source AS dir, a.doc_id // 2 AS stem, a.doc_id, trim(b.text) AS text FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id // 40 = b.doc_id // 40")
 def join_pair_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, forty ids a stem in each folder. The SQL pairs every third only, so these rows hold
-    more than the SQL's."""
+    """All documents, forty ids a stem in each folder."""
     docs = table(spark, sf_dir, "documents").withColumn("stem", F.floor(F.col("doc_id") / 40)).withColumnRenamed("source", "dir")
     met = joins.pair_samples(docs.select("dir", "stem", "doc_id"), docs.select("dir", "stem", "text"))
     return met.select("dir", F.floor(F.col("doc_id") / 2).alias("stem"), "doc_id", "text")
 
 
+def _newest(estimates: DataFrame) -> DataFrame:
+    """A job has a row for each batch that told of it: the newest holds."""
+    return estimates.groupBy("job_id").agg(F.max("ord").alias("ord"), F.max_by("eta_s", "ord").alias("eta_s"))
+
+
 @query("""SELECT job_id, max(event_id) AS ord, avg(value) FILTER (n <= 3) * max(500 - place) AS eta_s FROM (SELECT user_id AS job_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n,
   event_id % 400 AS place FROM events WHERE value IS NOT NULL) WHERE n <= 3 GROUP BY job_id HAVING true""".replace("max(500 - place)", "max(500 - place) FILTER (n = 1)"))
 def stm_live_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +87,7 @@ def stm_live_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set(key, live.ROCKSDB)
     try:
         steps = _stream(spark, sf_dir, "events").filter("value is not null").selectExpr("user_id AS job_id", "event_id AS ord", "value AS seconds", "500 - event_id % 400 AS remaining")
-        return _drained(live.live_eta(steps), "update")
+        return _newest(_drained(live.live_eta(steps), "update"))
     finally:
         spark.conf.set(key, before)
 
@@ -99,11 +112,11 @@ def src_progress_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT lang, doc_id, k::INT + 1 AS section_no, printf('section_%03d.txt', k + 1) AS file_name, array_to_string(ws[k * 100 + 1 : k * 100 + 100], ' ') AS text FROM
   (SELECT lang, doc_id, ws, unnest(range(0, ceil(len(ws) / 100.0)::INT)) AS k FROM (SELECT lang, doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))""")
 def snk_write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a hundred words, written in folders by language under their names and read back."""
+    """Sections of a hundred words, written under their names, in folders by document, and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     folder = scratch_folder(spark, "sections")
-    S.write_sections(C.exploded(docs, C.sections_by_words(F.col("text"), F.lit(100)), "section_no"), folder, "lang")
-    return spark.read.schema("doc_id bigint, section_no int, text string, file_name string, lang string").parquet(folder)
+    S.write_sections(C.exploded(docs, C.sections_by_words(F.col("text"), F.lit(100)), "section_no"), folder, folders=16)
+    return S.read_sections(spark, folder, "doc_id bigint, lang string, section_no int, text string")
 
 
 @query("SELECT user_id AS job_id, count(*) AS logged, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
@@ -115,3 +128,40 @@ def snk_append_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.append_checkpoints(events.filter(part), folder)
     log = spark.read.schema("job_id bigint, ord bigint, timestamp string, type string, message string").json(folder)
     return log.groupBy("job_id").agg(F.count("*").alias("logged"), F.countDistinct("type").alias("kinds"))
+
+
+def _files(df: DataFrame, label: str) -> str:
+    """Writes each row of ``text`` as a file of its own below a folder for each ``dir``."""
+    folder = scratch_folder(df.sparkSession, label)
+    df.select("dir", "text").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("dir").text(folder)
+    return folder
+
+
+@query("SELECT item_id, trim(text, ' ' || chr(10)) AS text FROM benchmark")
+def src_read_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file each, every other one in Latin-1 as far as it can be, and read back."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("dir"), F.col("text"))
+    latin = F.decode(F.encode(F.col("text"), "ISO-8859-1"), "ISO-8859-1") == F.col("text")
+    raw = F.when((F.col("dir") % 2 == 0) & latin, F.encode(F.col("text"), "ISO-8859-1").cast("string")).otherwise(F.col("text"))
+    folder = _files(rows.withColumn("text", raw), "corpus")
+    read = S.read_text_corpus(spark, f"{folder}/*/*.txt")
+    return read.select(F.regexp_extract("path", "dir=([0-9]+)", 1).cast("bigint").alias("item_id"), "text")
+
+
+@query("""SELECT c_custkey AS job_id, 'account' AS section, k AS key, CASE k WHEN 'nation' THEN c_nationkey::VARCHAR WHEN 'segment' THEN CASE WHEN c_nationkey % 3 <> 0 THEN c_mktsegment END END AS value FROM customer, (VALUES ('nation'), ('segment')) v(k)""")
+def src_config_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings file for each customer, written and read back; null settings stay rows."""
+    keys = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")))
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 8).alias("dir"), F.to_json(F.create_map(F.concat_ws("-", F.lit("account"), F.col("c_custkey").cast("string")), keys), {"ignoreNullFields": "false"}).alias("text"))
+    folder = _files(rows, "settings")
+    read = S.read_config_snapshots(spark, f"{folder}/*/*.txt")
+    parts = F.split("section", "-")
+    return read.select(F.get(parts, F.lit(1)).cast("bigint").alias("job_id"), F.get(parts, F.lit(0)).alias("section"), "key", "value")
+
+
+@query("SELECT page_id AS folder, '.txt' AS ext, strlen(url) + 1 AS bytes FROM pages")
+def src_scan_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each page's address, found again by its suffix; contents are not read."""
+    folder = _files(table(spark, sf_dir, "pages").select(F.col("page_id").alias("dir"), F.col("url").alias("text")), "assets")
+    found = S.scan_assets(spark, folder, (".txt",))
+    return found.select(F.regexp_extract("path", "dir=([0-9]+)", 1).cast("bigint").alias("folder"), "ext", F.col("length").alias("bytes"))

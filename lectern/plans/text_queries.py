@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import boundary as B, text as T
 from ..operators import chunkers as C, jobs, joins
 from ..sources import files as S
+from ..sources.scratch import scratch_folder
 from .fixtures import NOISY, PARAGRAPHS, derived
 from .registry import query, table
 
@@ -113,25 +114,29 @@ def str_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[<>:"/\\|?*]', '_', 'g'), '_+', '_', 'g'), '_') AS file_name, regexp_replace(substr(text, 1, 60), '[^\p{L}\p{N}_\-]', '_', 'g') AS slug,
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[<>:"/\\|?*]', '_', 'g'), '_+', '_', 'g'), '_') AS file_name, regexp_replace(text, '[^\p{L}\p{N}_\-]', '_', 'g') AS slug,
     regexp_full_match(lang || source, '[a-zA-Z0-9_-]+') AS valid, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS short,
     CASE WHEN length(text) <= 100 THEN text WHEN instr(reverse(substr(text, 1, 100)), ' ') BETWEEN 1 AND 19 THEN substr(text, 1, 100 - instr(reverse(substr(text, 1, 100)), ' ')::INT) || '...' ELSE substr(text, 1, 100) || '...' END AS preview
     FROM {NOISY}"""
 )
 def str_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, start = F.col("text"), F.substring("text", 1, 60)
+    t = F.col("text")
     return derived(spark, sf_dir, NOISY).select(
-        "doc_id", T.clean_filename(start).alias("file_name"), T.slug(start).alias("slug"), T.valid_name(F.concat("lang", "source")).alias("valid"), T.truncate_text(t, 40).alias("short"), T.text_preview(t, 100).alias("preview")
+        "doc_id", T.clean_filename(t).alias("file_name"), T.slug(t).alias("slug"), T.valid_name(F.concat("lang", "source")).alias("valid"), T.truncate_text(t, 40).alias("short"), T.text_preview(t, 100).alias("preview")
     )
 
 
 _TAGS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g'), '(?s)</?[A-Za-z][^>]*>', '', 'g')"
 
 
+#: The character references in the given pages; the last may lack its semicolon.
+_REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"))
+
+
 def _entities_sql(expr: str) -> str:
-    for name, sign in S.ENTITIES:
+    for name, sign in _REFERENCES:
         expr = f"replace({expr}, '{name}', chr({ord(sign)}))"
-    return expr
+    return f"regexp_replace({expr}, '&amp;?', '&', 'g')"
 
 
 _HTML = rf"array_to_string(list_filter(list_transform(flatten(list_transform(string_split({_entities_sql(_TAGS)}, chr(10)), lambda l: string_split(trim(l), '  '))), lambda p: trim(p)), lambda p: p <> ''), ' ')"
@@ -170,6 +175,14 @@ def flt_supported_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.supported_sources(table(spark, sf_dir, "pages").withColumn("path", path))[0].select("page_id", S.suffix(F.col("path")).alias("ext"))
 
 
+@query(f"SELECT doc_id, {CLEAN_SQL} AS text FROM {{NOISY}}")
+def snk_write_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts written, one for each document, and read back."""
+    folder = scratch_folder(spark, "clean")
+    S.write_clean_text(derived(spark, sf_dir, NOISY).select("doc_id", T.universal_clean(F.col("text")).alias("text")), folder)
+    return spark.read.schema("doc_id bigint, text string").parquet(folder)
+
+
 @query(rf"SELECT source, count(*) AS docs, sum({_WORDS.format('text')})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum({_WORDS.format('text')}) / 150.0::DOUBLE AS est_minutes, avg({_WORDS.format('text')}) AS avg_words FROM documents GROUP BY source")
 def agg_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.text_stats(S.spread(table(spark, sf_dir, "documents")), "source")
@@ -232,6 +245,26 @@ def chk_split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sections(docs, target_minutes=1)
 
 
+_PARAGRAPH_SECTIONS = (
+    _walk(
+        _NUMBERED.format(rf"""SELECT doc_id, i, 1 AS j, trim(unnest(ps), ' ' || chr(10)) AS s, chr(10) || chr(10) AS g, unnest(list_transform(ps, lambda p: {_WORDS.format('p')})) AS n, false AS fresh, false AS ends, unnest(range(1, len(ps) + 1)) AS i
+          FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS ps FROM {{PARAGRAPHS}})""".replace("i, 1 AS j", "1 AS j")),
+        "w.size + u.n <= (SELECT 1.3 * t.target FROM t WHERE t.doc_id = u.doc_id)",
+    )
+    .replace("WITH RECURSIVE u AS", f"WITH RECURSIVE t AS (SELECT doc_id, greatest(2, floor({_WORDS.format('text')} / 150.0)::INT + 1) AS want, floor({_WORDS.format('text')} / (greatest(2, floor({_WORDS.format('text')} / 150.0)::INT + 1)))::INT AS target FROM {{PARAGRAPHS}}), u AS")
+    .replace("NUMBER", "section_no")
+)
+
+
+@query(f"SELECT s.doc_id, s.section_no::INT AS section_no, s.text FROM ({_PARAGRAPH_SECTIONS}) s JOIN (SELECT doc_id, count(*) AS have FROM ({_PARAGRAPH_SECTIONS}) GROUP BY doc_id) h ON h.doc_id = s.doc_id JOIN (SELECT doc_id, greatest(2, floor({_WORDS.format('text')} / 150.0)::INT + 1) AS want, len(regexp_split_to_array(text, '\\n\\s*\\n')) AS paragraphs FROM {{PARAGRAPHS}}) w ON w.doc_id = s.doc_id WHERE have >= want * 0.8 AND paragraphs >= 2")
+def chk_paragraph_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by paragraph alone, of texts that have blank lines."""
+    t = F.col("text")
+    n = F.greatest(F.lit(2), F.floor(T.word_count(t) / T.WORDS_PER_MINUTE).cast("int") + 1)
+    parts = T.let(F.struct(t.alias("text"), n.alias("n"), T.word_count(t).alias("words")), lambda one: C.sections_by_paragraph(one["text"], F.floor(one["words"] / one["n"]).cast("int"), one["n"]))
+    return C.exploded(derived(spark, sf_dir, PARAGRAPHS).select("doc_id", "text"), parts, "section_no")
+
+
 _CHAR_UNITS = rf"""SELECT doc_id, i, 1 AS j, trim(s) AS s, ' ' AS g, length(trim(s)) AS n, false AS fresh, false AS ends FROM q WHERE length(trim(s)) <= 150
   UNION ALL SELECT doc_id, i, j, wd, ' ', length(wd), j = 1, false FROM (SELECT doc_id, i, unnest(ws) AS wd, generate_subscripts(ws, 1) AS j FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(trim(s), '\s+'), lambda w: w <> '') AS ws FROM q WHERE length(trim(s)) > 150))"""
 _Q = rf"q AS (SELECT doc_id, unnest({_SENTENCES.format('text')}) AS s, generate_subscripts({_SENTENCES.format('text')}, 1) AS i FROM documents)"

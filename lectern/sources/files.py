@@ -20,10 +20,10 @@ PROGRESS = (
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals an input of fewer partitions than cores over all of them: work on texts is heavy by the row,
-    while a reader gives a small table to one task. Larger inputs stay where they are, unshuffled."""
+    """Deals an input of fewer files than cores over all of them: work on texts is heavy by the row, while
+    a reader gives a small file to one task. Tables of many files stay where they are, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def suffix(path: Column) -> Column:
@@ -48,9 +48,6 @@ def read_text_corpus(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", decode_text(F.col("content")).alias("text"))
 
 
-# The character references that the SQL of src_html_to_text knows.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"), ("&eacute;", "é"), ("&amp;", "&"))
-
 # All names of HTML5, with their signs and the sign & before them; the old names that
 # need no semicolon, longest first; code points that do not stand for themselves.
 NAMES = {f"&{name}": sign for name, sign in html.entities.html5.items()}
@@ -136,9 +133,16 @@ def section_name(n: Column) -> Column:
     return F.format_string("section_%03d.txt", n)
 
 
-def write_sections(df: DataFrame, path: str, doc: str = "doc_id", number: str = "section_no") -> None:
-    """Sections under their document and name."""
-    df.withColumn("file_name", section_name(F.col(number))).write.mode("overwrite").partitionBy(doc).parquet(path)
+def write_sections(df: DataFrame, path: str, doc: str = "doc_id", number: str = "section_no", folders: int = 256) -> None:
+    """Sections with their document and name, in folders by a hash of the document, so that a document
+    is found in one of them and their number does not grow with the documents."""
+    named = df.withColumn("file_name", section_name(F.col(number))).withColumn("folder", F.pmod(F.xxhash64(doc), F.lit(folders)).cast("int"))
+    named.repartition("folder").sortWithinPartitions("folder", doc, number).write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def read_sections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The sections again, without their folders."""
+    return spark.read.schema(f"{schema}, file_name string, folder int").parquet(path).drop("folder")
 
 
 def append_checkpoints(df: DataFrame, path: str) -> None:
@@ -180,9 +184,15 @@ def page_artifact_filter(df: DataFrame, text: str = "text", mode: str = "page")
     return df.withColumn(text, F.array_join(lines, " ")).filter(F.col(text) != "")
 
 
-def select_ordinals(df: DataFrame, requests: DataFrame, doc: str, ordinal: str) -> DataFrame:
+def select_ordinals(df: DataFrame, requests: DataFrame, doc: str, ordinal: str, strict: bool = False) -> DataFrame:
     """The parts whose 1-based ordinal is requested for their document, with ``request_pos``; requests
-    below 1 are dropped. Requests are joined on document and ordinal."""
+    below 1 are dropped. Requests are joined on document and ordinal. ``strict``: a request beyond the
+    last part of its document is an error."""
+    if strict:
+        seen = requests.join(df.groupBy(doc).agg(F.count("*").alias("_total")), doc, "left")
+        past = F.col("ordinal") > F.coalesce("_total", F.lit(0))
+        said = F.concat_ws(" ", F.lit("part"), F.col("ordinal").cast("string"), F.lit("of document"), F.col(doc).cast("string"), F.lit("is not there"))
+        requests = seen.withColumn("ordinal", F.when(past, F.raise_error(said).cast("int")).otherwise(F.col("ordinal"))).drop("_total")
     return df.join(requests.filter("ordinal >= 1").select(doc, F.col("ordinal").alias(ordinal), "request_pos"), [doc, ordinal])
 
 

@@ -1,4 +1,4 @@
-"""A folder that driver and executors share, for streams' checkpoints and sinks."""
+"""Folders that driver and executors share, for intermediate tables, streams' checkpoints and sinks."""
 
 from __future__ import annotations
 
@@ -7,13 +7,34 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_homes: set[str] = set()
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one where that is unset and the
-    master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. It is set here only where it is unset and the master is local, as in
+    tests; elsewhere an unset folder is an error, because a machine-local one would be lost with its
+    executor."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        option = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = option.get() if option.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lectern-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(prefix="spark-lectern-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder below the application's own in the shared one. The application's folder
+    is deleted, with all that is in it, when the application ends."""
+    home = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _homes.add(home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"

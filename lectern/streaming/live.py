@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,11 +15,14 @@ from ..operators.jobs import CURRENT_ACTIONS, parsed
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def resumable_pipeline(docs: DataFrame, sink: str, checkpoint: str, target_minutes: float = 1.0, max_chars: int = 150) -> StreamingQuery:
-    """Cleans, sections and chunks the documents that have come since the last run, and stops. A run
-    that was cut short goes on where its checkpoint says, so nothing is done or written twice."""
-    clean = docs.withColumn("text", T.universal_clean(F.col("text")))
-    chunks = C.chunk_sentences(C.split_sections(clean, target_minutes=target_minutes), max_chars=max_chars)
+def narrated(docs: DataFrame, target_minutes: float = 1.0, max_chars: int = 150) -> DataFrame:
+    return C.chunk_sentences(C.split_sections(docs, target_minutes=target_minutes), max_chars=max_chars)
+
+
+def resumable_pipeline(docs: DataFrame, sink: str, checkpoint: str, cut: Callable[[DataFrame], DataFrame] = narrated) -> StreamingQuery:
+    """Cleans and cuts the documents that have come since the last run, and stops. A run that was cut
+    short goes on where its checkpoint says, so nothing is done or written twice."""
+    chunks = cut(docs.withColumn("text", T.universal_clean(F.col("text"))))
     return chunks.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import signal as G
 from lectern.operators import enrich, jobs, joins
 from lectern.sources import files as S
 from lectern.streaming import live
@@ -48,7 +49,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "doc_id int, section_no int, text string")
     S.write_clean_text(df, str(tmp_path / "clean"))
     S.write_sections(df, str(tmp_path / "sections"))
-    assert sorted(r.file_name for r in spark.read.parquet(str(tmp_path / "sections")).collect()) == ["section_001.txt", "section_002.txt"]
+    assert [tuple(r) for r in S.read_sections(spark, str(tmp_path / "sections"), "doc_id int, section_no int, text string").orderBy("section_no").collect()] == [(1, 1, "a", "section_001.txt"), (1, 2, "b", "section_002.txt")]
     log = spark.createDataFrame([(1, 0, "t", "PIPELINE_START", "m")], "job_id int, ord int, timestamp string, type string, message string")
     for _ in range(2):
         S.append_checkpoints(log, str(tmp_path / "log"))
@@ -57,6 +58,52 @@ def test_sinks(spark, tmp_path):
     assert [r.doc for r in S.rejected_documents(parts, "doc", "text").collect()] == [1]
 
 
+def test_a_request_past_the_end_is_an_error(spark):
+    parts = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc int, part int")
+    asked = lambda *rows: spark.createDataFrame([(*r, 0) for r in rows], "doc int, ordinal int, request_pos int")
+    assert sorted((r.doc, r.part) for r in S.select_ordinals(parts, asked((1, 2), (2, 1), (1, 0)), "doc", "part", strict=True).collect()) == [(1, 2), (2, 1)]
+    for bad in ((1, 3), (3, 1)):
+        with pytest.raises(Exception, match="is not there"):
+            S.select_ordinals(parts, asked((1, 1), bad), "doc", "part", strict=True).collect()
+
+
+def test_numbers_are_chapters_or_pages(spark):
+    pages = spark.createDataFrame([(b, p) for b in (1, 2, 3) for p in range(1, 11)], "book int, page_no int")
+    chapters = spark.createDataFrame([(1, 1, 1, 4), (1, 2, 5, 10), (2, 1, 1, 10)], "book int, number int, start_page int, end_page int")
+    wanted = spark.createDataFrame([(1, 2), (2, 2), (3, 7)], "book int, number int")
+    got = joins.pages_wanted(pages, chapters, wanted)
+    assert sorted((r.book, r.page_no) for r in got.collect()) == [*((1, p) for p in range(5, 11)), (2, 2), (3, 7)]
+
+
+def test_estimates_by_job_do_not_depend_on_batches(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    from lectern.plans import stream_queries
+
+    steps = spark.range(40).selectExpr("id % 3 AS job_id", "id AS ord", "id * 1.5D AS seconds", "50 - id AS remaining")
+    for i in range(4):
+        steps.filter(f"ord div 10 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "steps"))
+    stream = spark.readStream.schema("job_id bigint, ord bigint, seconds double, remaining bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
+    rows = stream_queries._newest(stream_queries._drained(live.live_eta(stream), "update")).collect()
+    want = {j: (max(o for o in range(40) if o % 3 == j)) for j in range(3)}
+    assert {r.job_id: r.ord for r in rows} == want and len(rows) == 3
+    for r in rows:
+        last = [o * 1.5 for o in range(40) if o % 3 == r.job_id][-3:]
+        assert r.eta_s == pytest.approx(sum(last) / 3 * (50 - want[r.job_id]))
+
+
+def test_starts_far_apart_are_kept(spark, tmp_path):
+    made = spark.createDataFrame([(1, 0, "2024-01-01 00:00:00"), (1, 1, "2024-01-01 00:00:01"), (1, 2, "2024-01-20 00:00:00")], "job_id bigint, ord bigint, at string").selectExpr("job_id", "ord", "CAST(at AS TIMESTAMP) AS ts", "'PIPELINE_START' AS type", "'m' AS message")
+    made.coalesce(1).write.parquet(str(tmp_path / "events"))
+    kept = drain(live.dedup_checkpoints(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "events"))), "far_apart", "append")
+    assert sorted(r.ord for r in kept.collect()) == [0, 2]
+
+
+def test_series_are_laid_end_to_end(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0], 10), ("a", 2, [3.0], 10), ("b", 1, [4.0], 10)], "s string, n int, samples array<float>, rate int")
+    rows = {(r.s, r.n): (r.offset, r.samples) for r in G.concat_with_gaps(df, "s", "n").collect()}
+    assert rows == {("a", 1): (0, [1.0, 2.0, 0.0, 0.0, 0.0]), ("a", 2): (5, [3.0]), ("b", 1): (0, [4.0])}
+
+
 def test_artifacts_by_line(spark):
     df = spark.createDataFrame([("Page 3\nreal text\n12\nab\nmore text",), ("p. 4",)], "text string")
     assert [r.text for r in S.page_artifact_filter(df, mode="line").collect()] == ["real text more text"]
