@@ -3,35 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is set here only where it is unset and the master is local, as in tests; elsewhere an
-    unset folder is an error, because a machine-local one would be lost with its executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = option.get() if option.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-lectern-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch_folder as new_folder
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
