@@ -138,7 +138,7 @@ def _paragraph_units(text: Column, max_chars: int) -> Column:
     return F.flatten(F.transform(_stripped(T.split_paragraphs(text)), units))
 
 
-def chunk_paragraphs_array(text: Column, max_chars: int) -> Column:
+def chunk_paragraphs_array(text: Column, max_chars: int = 4000) -> Column:
     """Paragraphs packed to ``max_chars``, those of long ones by sentence; a text that fits is one
     chunk as it is, a longer sentence stays whole."""
     packed = _fold(_paragraph_units(text, max_chars), lambda state, unit: F.length(state["now"]) + unit["size"] + F.length(unit["glue"]) <= max_chars)
