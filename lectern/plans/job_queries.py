@@ -48,6 +48,12 @@ def dt_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", D.human_duration(v, whole=True).alias("eta"), D.human_duration(v).alias("took"), D.hms_centis(v).alias("hms"))
 
 
+@query("""SELECT event_id, printf('%02d:%02d:%02d.%02d', k // 400 // 3600, k // 400 % 3600 // 60, k // 400 % 60, k % 400 // 4) AS hms FROM (SELECT event_id, event_id * 148 % 5000000 + 2 AS k FROM events)""")
+def dt_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in the middle of a hundredth of a second, cut to it: 400 parts are a second."""
+    return table(spark, sf_dir, "events").select("event_id", D.hms_centis((F.col("event_id") * 148 % 5000000 + 2) / F.lit(400.0)).alias("hms"))
+
+
 _SECONDS = "(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY job_id ORDER BY ord))) / 1e6"
 
 
@@ -187,6 +193,14 @@ def win_suffix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.suffix_collisions(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "unique_name")
 
 
+@query(r"""SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\.[^.]+$', '') || '_' || n || regexp_extract(name, '(\.[^.]+)?$', 1) END AS unique_name
+  FROM (SELECT p_partkey, name, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS n FROM (SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN '.tar.wav' ELSE '' END AS name FROM part))""")
+def win_file_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number goes before the suffix of a file name."""
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, ".tar.wav").otherwise("")).alias("name"))
+    return jobs.suffix_collisions(files, "name", "p_partkey", stem_aware=True).select("p_partkey", "unique_name")
+
+
 _ROLLED = "SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS}"
 
 

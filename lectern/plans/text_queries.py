@@ -69,6 +69,19 @@ def str_cleaning_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _loose_sql(expr: str) -> str:
+    for word, reading in T.ABBREVIATIONS:
+        for _ in range(2):  # what ends one match may stand before the next
+            expr = rf"regexp_replace({expr}, '\b{word.replace('.', chr(92) + '.')}(\W|$)', '{reading}\1', 'gi')"
+    return expr
+
+
+@query(f"SELECT doc_id, {_loose_sql('text')} AS written_out FROM {{NOISY}}")
+def str_loose_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations written out wherever no word goes on after them."""
+    return derived(spark, sf_dir, NOISY).select("doc_id", T.expand_abbreviations(F.col("text"), strict=False).alias("written_out"))
+
+
 @query(f"SELECT doc_id, {_fold_sql('text', T.PRONUNCIATION)} AS spoken, {_fold_sql('text', T.CONTRACTIONS)} AS long_forms FROM {{NOISY}}")
 def str_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -162,6 +175,15 @@ def flt_page_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page_artifact_filter(table(spark, sf_dir, "documents").select("doc_id", made.alias("text")))
 
 
+@query(
+    r"""SELECT doc_id, text FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '. ', chr(10) || 'Page 3 of 9' || chr(10) || '12' || chr(10) || 'ab' || chr(10)), chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))),
+    lambda l: length(l) >= 3 AND NOT regexp_full_match(l, '\d+') AND NOT regexp_matches(l, '^(?i)(page|p\.)\s*\d+')), ' ') AS text FROM documents) WHERE text <> ''"""
+)
+def flt_page_artifact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.replace(F.col("text"), F.lit(". "), F.lit("\nPage 3 of 9\n12\nab\n"))
+    return S.page_artifact_filter(table(spark, sf_dir, "documents").select("doc_id", made.alias("text")), mode="line")
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END) <> ''")
 def flt_drop_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text")))
@@ -227,7 +249,7 @@ _SENTENCE_UNITS = rf"""SELECT doc_id, i, 1 AS j, trim(s) AS s, ' ' AS g, {_WORDS
   FROM (SELECT doc_id, unnest({_SENTENCES.format('text')}) AS s, generate_subscripts({_SENTENCES.format('text')}, 1) AS i FROM {{SRC}})"""
 
 
-@query(
+_SPLIT_SQL = (
     _walk(
         f"SELECT v.*, (SELECT 1) FROM ({_NUMBERED.format(_SENTENCE_UNITS.replace('{SRC}', f'(SELECT doc_id, text FROM documents WHERE {_WORDS.format("text")} / 150.0 > 1.0)'))}) v".replace(", (SELECT 1)", ""),
         "w.size + u.n <= (SELECT 1.2 * t.target FROM t WHERE t.doc_id = u.doc_id)",
@@ -240,6 +262,9 @@ _SENTENCE_UNITS = rf"""SELECT doc_id, i, 1 AS j, trim(s) AS s, ' ' AS g, {_WORDS
     UNION ALL SELECT doc_id, k::INT + 1, array_to_string(ws[k * target + 1 : k * target + target], ' ') FROM
       (SELECT doc_id, target, ws, unnest(range(0, ceil(len(ws) / target)::INT)) AS k FROM (SELECT doc_id, target, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents JOIN t USING (doc_id) WHERE t.have < t.want AND {_WORDS.format('text')} / 150.0 > 1.0))"""
 )
+
+
+@query(_SPLIT_SQL)
 def chk_split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return C.split_sections(docs, target_minutes=1)
@@ -270,7 +295,10 @@ _CHAR_UNITS = rf"""SELECT doc_id, i, 1 AS j, trim(s) AS s, ' ' AS g, length(trim
 _Q = rf"q AS (SELECT doc_id, unnest({_SENTENCES.format('text')}) AS s, generate_subscripts({_SENTENCES.format('text')}, 1) AS i FROM documents)"
 
 
-@query(_walk(_NUMBERED.format(_CHAR_UNITS), "length(w.now) + 1 + u.n <= 150", fresh="u.fresh").replace("WITH RECURSIVE u AS", f"WITH RECURSIVE {_Q}, u AS").replace("NUMBER", "chunk_no"))
+_CHUNK_SQL = _walk(_NUMBERED.format(_CHAR_UNITS), "length(w.now) + 1 + u.n <= 150", fresh="u.fresh").replace("WITH RECURSIVE u AS", f"WITH RECURSIVE {_Q}, u AS").replace("NUMBER", "chunk_no")
+
+
+@query(_CHUNK_SQL)
 def chk_chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_sentences(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
 
@@ -484,7 +512,13 @@ def narration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_FLAGSHIP_SQL = f"""WITH clean AS (SELECT doc_id, lang, source, {CLEAN_SQL} AS text FROM documents),
+  sections AS (SELECT doc_id * 100000 + section_no AS doc_id, text FROM ({_SPLIT_SQL.replace("FROM documents", "FROM clean")})),
+  chunks AS ({_CHUNK_SQL.replace("FROM documents", "FROM sections")})
+  SELECT d.lang, count(*) AS chunks, sum(length(c.text))::BIGINT AS chars, sum({_WORDS.format("c.text")}) / 150.0::DOUBLE AS minutes, sum(length(c.text) / 1e6 * coalesce(p.usd_per_million, 15.0)) AS usd
+  FROM chunks c JOIN clean d ON d.doc_id = c.doc_id // 100000 LEFT JOIN ({_PRICES}) p ON p.model = d.source GROUP BY d.lang"""
+
+
+@query(_FLAGSHIP_SQL)
 def flagship_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Built of operators that have SQL forms of their own."""
     return narration_plan(spark, sf_dir)
