@@ -20,7 +20,8 @@ BLOCK = 64
 def in_blocks(items: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
     """``F.aggregate`` of a state whose field ``done`` (an array) only grows. A fold copies its state at
     every step, so the items are folded in blocks of about the root of their number, each with a
-    ``done`` of its own: the cost is nearly in proportion to them, not to their square."""
+    ``done`` of its own: the cost is nearly in proportion to them, not to their square. No items give
+    an empty array."""
     def of(all_items: Column) -> Column:
         n = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(all_items))).cast("int"))
         blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_items) / n).cast("int") - 1), lambda i: F.slice(all_items, i * n + 1, n))
@@ -31,8 +32,7 @@ def in_blocks(items: Column, start: Column, step: Callable[[Column, Column], Col
             return F.aggregate(block, before["state"], step, end)
 
         last = lambda s: F.concat(F.flatten(s["blocks"]), finish(s["state"]))
-        few = F.aggregate(all_items, start, step, lambda s: F.concat(s["done"], finish(s)))
-        return F.when(F.size(all_items) > BLOCK, F.aggregate(blocks, outer, of_block, last)).otherwise(few)
+        return F.when(F.size(all_items) > 0, F.aggregate(blocks, outer, of_block, last)).otherwise(F.array().cast("array<string>"))
 
     return T.let(items, of)
 
