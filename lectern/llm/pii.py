@@ -205,7 +205,7 @@ def _gold(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
-def train(table: list[tuple[str, list[Span]]], rounds: int = 150, rate: float = 0.1, shrink: float = 0.02) -> Field:
+def train(table: list[tuple[str, list[Span]]], rounds: int = 80, rate: float = 0.1, shrink: float = 0.02) -> Field:
     """Adam on the penalised conditional log-likelihood, all lines a step at a time. An inside tag
     may only follow a tag of its kind, in training and after."""
     made = [line_features(t) for t, _ in table]
@@ -232,6 +232,11 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 150, rate: float =
     theta = [np.zeros((len(index) + 1, k)), np.zeros((k, k))]
     m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
 
+    # where each feature stands, for sums by feature
+    flat = ids.ravel()
+    there = np.flatnonzero(flat < len(index))
+    there = there[np.argsort(flat[there], kind="stable")]
+    seen, starts = np.unique(flat[there], return_index=True)
     for r in range(1, rounds + 1):
         e, step = theta[0][ids].sum(2), theta[1] + barred
         ahead, behind = np.zeros_like(e), np.zeros_like(e)
@@ -245,9 +250,8 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 150, rate: float =
         both = ahead[:, :-1, :, None] + step + (e + behind)[:, 1:, None, :] - z[:, None, None, None]
         two = (np.exp(np.minimum(both, 0)) * inside[:, 1:, None, None]).sum((0, 1))
         g = [np.zeros_like(theta[0]), pairs - two - shrink * theta[1]]
-        np.add.at(g[0], ids.reshape(-1, 10), (truth - chance).reshape(-1, 1, k))
+        g[0][seen] = np.add.reduceat((truth - chance).reshape(-1, k)[there // 10], starts)
         g[0] -= shrink * theta[0]
-        g[0][-1] = 0
         for i in (0, 1):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
