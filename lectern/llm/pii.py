@@ -319,12 +319,13 @@ def scores(model: Field, table: list[tuple[str, list[Span]]]) -> tuple[float, fl
 
 
 def find_spans(texts: list[str], model: Field) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text. A span of the field counts where it touches no base
-    match, neither one that stands nor one that failed its test, and no span before it."""
+    """(base spans, all spans) of each text. A span of the field counts where it touches no base span
+    and none before it, and is not a match that failed the test of its kind."""
     out = []
     for text, more in zip(texts, field_spans(texts, model)):
         good, bad = base_spans(text)
-        taken = [(a, b) for _, a, b in (*good, *bad) if b - a > 3] if more else []
+        taken = [(a, b) for _, a, b in good]
+        more = [s for s in more if s not in bad]
         added = []
         for kind, a, b in more:
             if all(b <= x or y <= a for x, y in taken):
