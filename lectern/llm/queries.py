@@ -60,6 +60,19 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, len(e) AS dim, list_dot_product(e, e) AS square FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(a.square * b.square) >= 0.93),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reached r GROUP BY r.a
+"""
+
+
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(_table(spark, sf_dir, "embeddings"))
 
@@ -102,4 +115,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding)
 }
-ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL}
+ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL}

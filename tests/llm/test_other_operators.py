@@ -184,6 +184,15 @@ def test_near_vectors_equal_brute_force(spark, block, few):
     assert rows_of(near_vectors.near_vectors(df, block=block, most_broadcast=few)) == slow_links(rows)
 
 
+def test_near_vectors_equal_sql(spark):
+    rows, _ = vectors(spark, seed=4)
+    df = spark.createDataFrame([(i, v, c) for i, v, c in rows if i is not None and v and len(v) == 16][:-1], "vec_id bigint, embedding array<float>, label int")
+    got = near_vectors.near_vectors(df)
+    want = by_duckdb(queries.OP3_SQL, embeddings=df).to_arrow_table().select(got.columns).to_pylist()
+    assert rows_of(got) == sorted((tuple(r.values()) for r in want), key=repr)
+    assert sum(r[1] for r in rows_of(got)) > 0
+
+
 def test_hot_keys_and_others_are_told_once(spark):
     rows = spark.createDataFrame([(i, i % 40 if i > 300 else 7) for i in range(600)], "id bigint, k bigint")
     told = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
