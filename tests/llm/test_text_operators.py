@@ -350,19 +350,17 @@ def test_chances_equal_those_of_all_paths(model):
 
 
 def test_viterbi_equals_all_paths(model):
-    feats, _ = pii.line_features("call (555) 013")
-    e, n = model.scores([feats])
-    best = None
     import itertools
 
-    tags = range(len(pii.TAGS))
-    for path in itertools.product(tags, repeat=int(n[0])):
-        if len(path) > 5:
-            pytest.skip("too long")
-        s = model.start[path[0]] + e[0, 0, path[0]] + sum(model.step[a, b] + e[0, t + 1, b] for t, (a, b) in enumerate(zip(path, path[1:])))
-        if best is None or s > best[0]:
-            best = s, path
-    assert tuple(model.viterbi([feats])[0].tolist()) == best[1]
+    for line in ("(555) 0", "a at b", "10 . 0"):
+        feats, _ = pii.line_features(line)
+        e, n = model.scores([feats])
+
+        def worth(path):
+            return model.start[path[0]] + e[0, 0, path[0]] + sum(model.step[a, b] + e[0, t + 1, b] for t, (a, b) in enumerate(zip(path, path[1:])))
+
+        best = max(itertools.product(range(len(pii.TAGS)), repeat=int(n[0])), key=worth)
+        assert worth(model.viterbi([feats])[0].tolist()) == pytest.approx(worth(best))
 
 
 def test_detect_and_redact(spark, odd, model):
