@@ -158,6 +158,19 @@ def test_folds_in_blocks_are_folds(spark, n):
     assert value(spark, text, C.chunk_sentences_array) == [*want, now]
 
 
+def test_cleaning_equals_all_steps_in_turn(spark):
+    rng = random.Random(11)
+    parts = ["word", "A", "Dr.", "e.g.", "[12]", "(3)", "(x)", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", ".", ",", " ,", "!", "?B", ".C", "—", " - ", "12", "345", "٣", "7. ", "\n7. note\n", '"', "é", ";", ": ", "\x1c", "etc. "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(1500)]
+    step_by_step = F.col("t")
+    for step in (T.strip_bracket_refs, T.strip_paren_numbers, T.strip_inline_numbers, T.strip_note_lines, T.collapse_ws, T.tighten_punct, T.sentence_space, T.collapse_runs, T.normalize_dashes, T.expand_abbreviations):
+        step_by_step = step(step_by_step)
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.universal_clean(F.col("t")).alias("a"), F.regexp_replace(step_by_step, f"^{T.WS}+|{T.WS}+$", "").alias("b"), F.size(T.words(F.col("t"))).alias("n"))
+    rows = made.collect()
+    assert [(r.t, r.a) for r in rows if r.a != r.b] == []
+    assert all(r.n == len(r.t.split()) for r in rows)
+
+
 def test_gap(spark):
     rows = [('He said "no"', "x", 0.3), ("It ended.", "Later we", 0.55), ("It ended.", "And so", 0.4), ("Wait...", None, 0.55), ("no end", "x", 0.3), ("as he replied.", "x", 0.3)]
     got = spark.createDataFrame(rows, "a string, b string, want double").select("a", "want", B.gap_after(F.col("a"), F.col("b")).alias("v")).collect()
