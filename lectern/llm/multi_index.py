@@ -22,7 +22,7 @@ from .shared import stored
 
 #: Rows that codebooks and the visited part are fitted on, the queries among them that fit the part,
 #: and the share of their neighbours that it must reach.
-SAMPLE, TRIALS, WANTED = 8192, 512, 0.93
+SAMPLE, TRIALS, WANTED = 8192, 512, 0.96
 #: Entries, and queries, that meet in one task: a 64th of the entries within these bounds.
 LEAST_BLOCK, MOST_BLOCK = 1024, 16384
 #: The fewest and the most centroids of a half; between them as many as give cells of so many entries,
