@@ -5,20 +5,21 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import join_told, stored
+from .shared import stored
 
 
-def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
-    """One step on up to ``most`` edges. Large star: each node's larger neighbours point to the least
-    node around it; small star: its smaller neighbours and itself do. Only a minimum by node is
-    aggregated and told back, to hubs by a broadcast, so no neighbourhood is gathered in one place."""
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One step. Large star: each node's larger neighbours point to the least node around it; small
+    star: its smaller neighbours and itself do. Only a minimum by node is aggregated and joined
+    back, so no neighbourhood is held in one place; the edges of a hub pass through one task where AQE
+    does not split them."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(edges.select("b", "a"))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-    seen = join_told(both, least, ["u"], "degree", total=2 * most)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    seen = both.join(least, "u")
     if large:
         out = seen.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,9 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     now, was = stored(pairs, "edges"), None
-    most = now.count()
     while True:
-        now = stored(_stars(_stars(now, True, most), False, most), "stars")
+        now = stored(_stars(_stars(now, True), False), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
