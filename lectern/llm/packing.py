@@ -32,10 +32,10 @@ THRESHOLDS = ((1 / 3, 96), (1 / 6, 64), (1 / 10, 48))
 PARTS = (1 / 2, 1 / 4, 1 / 8, 1 / 16)
 #: Room, as a part of a sequence, that small pieces can be counted on to fill.
 USABLE = 5 / 32
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 SIGNS = ",.;:!?"
 #: Bytes of text that are held as Python strings at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 # ---- tokens -----------------------------------------------------------------------------------

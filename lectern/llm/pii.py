@@ -22,7 +22,7 @@ from .shared import slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bytes of text that are held as Python strings at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 Span = tuple[str, int, int]
 
 # ---- base patterns -----------------------------------------------------------------------------

@@ -28,7 +28,7 @@ BEGINNINGS = (4, 5, 6, 7)
 TRAINING_ROWS = 10_000
 THRESHOLD = 0.5
 #: Bytes of text that are held as Python strings at a time in training.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Columns of the labels, in the order of the chain.
 CATEGORIES = ("quality", "toxic")
 #: Features of a text's shape.
