@@ -32,7 +32,8 @@ THRESHOLDS = ((1 / 3, 96), (1 / 6, 64), (1 / 10, 48))
 PARTS = (1 / 2, 1 / 4, 1 / 8, 1 / 16)
 #: Room, as a part of a sequence, that small pieces can be counted on to fill.
 USABLE = 5 / 32
-CACHE_ENTRIES = 250_000
+#: Pieces that a Python worker keeps.
+CACHE_ENTRIES = 600_000
 SIGNS = ",.;:!?"
 #: Bytes of text that are held as Python strings at a time.
 SLICE_BYTES = 2 << 20
@@ -96,12 +97,12 @@ class _Counter:
 _counters: dict[tuple, _Counter] = {}
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end_id: int, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32, part)`` for every piece of every text: its ids
     and ``end_id``, cut into pieces of ``capacity`` of which the first may be shorter. No shuffle."""
 
     def tasks(batches):
-        key = (tokenizer_path, CACHE_ENTRIES)
+        key = (tokenizer_path, cache_entries)
         if key not in _counters:
             _counters[key] = _Counter(*key)
         encode, end = _counters[key].encode, np.asarray([end_id], "<u4").tobytes()
@@ -355,7 +356,7 @@ def plan(histogram: dict[int, int], capacity: int, thresholds: tuple[tuple[float
 # ---- the packing -------------------------------------------------------------------------------
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Rows ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one for each piece.
 
     Every row of ``docs`` gives at least one piece: a null or empty text has the end id alone. A text
@@ -365,7 +366,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capac
     other columns are not read. Pieces of one length are numbered through without gathering them: by
     the part they were made in, then within it.
     """
-    made = stored(token_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id), "pieces")
+    made = stored(token_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id, cache_entries), "pieces")
     counts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs = plan(histogram, capacity, thresholds)
