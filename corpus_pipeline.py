@@ -49,7 +49,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     length take their places in the order of their parts and ids. An empty table gives no rows; other
     columns are not read.
     """
-    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), cache_entries=250_000)
 
 
 STAGES = [
