@@ -3,16 +3,20 @@
 The base patterns are exact and stay as they are. The field reads a line as a sequence of words,
 numbers and signs, each with features of its shape and its neighbours' shapes; it is trained from a
 small labelled table by gradient ascent on the conditional likelihood and decoded by Viterbi for
-many lines at once in numpy. A line without a digit or an @ cannot hold a span of the kinds known
-here (a span must have one), so it is not decoded.
+many lines at once in numpy. A span of the kinds known here has a digit or an @, plain or written out
+(``(at)``, ``[at]``, `` at `` with `` dot `` behind it), so lines without any of them are not decoded.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +127,9 @@ def shape(token: str) -> str:
     return token
 
 
-def line_features(text: str) -> tuple[list[list[str]], list[tuple[int, int]]]:
-    places = [m.span() for m in _TOKEN.finditer(text)]
+def line_features(text: str, places: list[tuple[int, int]] | None = None) -> tuple[list[list[str]], list[tuple[int, int]]]:
+    """The features of the tokens of a line, or of those at ``places`` as if there were no others."""
+    places = [m.span() for m in _TOKEN.finditer(text)] if places is None else places
     tokens = [text[a:b] for a, b in places]
     shapes = [shape(t) for t in tokens]
     gap = ["_" if i and places[i][0] > places[i - 1][1] else "" for i in range(len(tokens))]
@@ -138,6 +143,9 @@ def line_features(text: str) -> tuple[list[list[str]], list[tuple[int, int]]]:
     return out, places
 
 
+Scores = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Field:
     index: dict[str, int]
@@ -145,21 +153,23 @@ class Field:
     step: np.ndarray
     start: np.ndarray
 
-    def scores(self, lines: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, lines: list[list[list[str]]]) -> Scores:
         """(line, place, tag) sums of weights, padded, and the lengths."""
-        n = np.asarray([len(x) for x in lines])
-        out = np.zeros((len(lines), max(n, default=0), len(TAGS)))
-        get = self.index.get
-        for row, line in zip(out, lines):
-            for t, fs in enumerate(line):
-                row[t] = self.emit[[i for f in fs if (i := get(f)) is not None]].sum(0)
+        n = np.asarray([len(x) for x in lines], "i8")
+        out = np.zeros((len(lines), int(n.max(initial=0)), len(TAGS)))
+        if out.size:
+            get, none = self.index.get, len(self.emit)
+            ids = np.asarray([get(f, none) for line in lines for fs in line for f in fs])
+            each = np.asarray([len(fs) for line in lines for fs in line])
+            weights = np.vstack([self.emit, np.zeros(len(TAGS))])
+            out[np.arange(out.shape[1]) < n[:, None]] = np.add.reduceat(weights[ids], np.cumsum(each) - each)
         return out, n
 
-    def viterbi(self, lines: list[list[list[str]]]) -> list[np.ndarray]:
+    def viterbi(self, made: Scores) -> list[np.ndarray]:
         """The best tags of each line, all lines a step at a time."""
-        e, n = self.scores(lines)
+        e, n = made
         if not e.size:
-            return [np.zeros(0, "i8") for _ in lines]
+            return [np.zeros(0, "i8") for _ in n]
         best, back = self.start + e[:, 0], np.zeros(e.shape, "i1")
         for t in range(1, e.shape[1]):
             way = best[:, :, None] + self.step
@@ -174,10 +184,9 @@ class Field:
                 now = np.where(t < n, back[np.arange(len(now)), t, now], now)
         return [row[:k] for row, k in zip(tags, n)]
 
-
-    def chances(self, lines: list[list[list[str]]], tags: list[np.ndarray]) -> list[np.ndarray]:
+    def chances(self, made: Scores, tags: list[np.ndarray]) -> list[np.ndarray]:
         """The posterior chance of each of the given tags, by forward and backward sums."""
-        e, n = self.scores(lines)
+        e, n = made
         ahead, behind = np.zeros_like(e), np.zeros_like(e)
         ahead[:, 0] = self.start + e[:, 0]
         for t in range(1, e.shape[1]):
@@ -275,39 +284,83 @@ def _holds(kind: str, text: str) -> bool:
 
 
 #: Tokens of a line that are decoded as one sequence; longer lines are cut, with so many tokens of
-#: both parts in common.
-LINE, OVERLAP = 512, 64
-_MARK = re.compile(r"[0-9@]|\([Aa][Tt]\)|\[[Aa][Tt]\]| [Aa][Tt] .*? [Dd][Oo][Tt] ")
+#: both parts in common. Features look at two tokens before and after.
+LINE, OVERLAP, NEAR = 512, 64, 2
+#: Tokens whose features are held at a time.
+HELD = 40_000
+_MARK = re.compile(r"[0-9@]|\([Aa][Tt]\)|\[[Aa][Tt]\]")
+
+
+def _marked(text: str) -> bool:
+    """Whether a line can hold a span of the field (a longer text: may have such a line)."""
+    if _MARK.search(text):
+        return True
+    low = text.lower()
+    at = low.find(" at ")
+    return at >= 0 and low.find(" dot ", at + 4) >= 0
+
+
+def line_parts(line: str) -> Iterator[tuple[list[list[str]], list[tuple[int, int]]]]:
+    """Features and places of a line's tokens in parts of up to ``LINE``, made one at a time."""
+    found = (m.span() for m in _TOKEN.finditer(line))
+    held: list[tuple[int, int]] = []  # from NEAR tokens before the part
+    before = 0
+    for place in found:
+        held.append(place)
+        if len(held) == before + LINE + NEAR:
+            fs, _ = line_features(line, held)
+            yield fs[before : before + LINE], held[before : before + LINE]
+            held = held[before + LINE - OVERLAP - NEAR :]
+            before = NEAR
+    if len(held) > before + OVERLAP or not before:
+        fs, _ = line_features(line, held)
+        for lo in range(before, max(before + 1, len(held) - OVERLAP), LINE - OVERLAP):
+            yield fs[lo : lo + LINE], held[lo : lo + LINE]
+
+
+def _lines(texts: list[str]) -> Iterator[tuple[int, int, list, list]]:
+    """What is decoded: the number of a text, where its line begins, features and places of a part."""
+    for i, text in enumerate(texts):
+        if _marked(text):
+            at = 0
+            for line in text.split("\n"):
+                if _marked(line):
+                    for fs, places in line_parts(line):
+                        yield i, at, fs, places
+                at += len(line) + 1
 
 
 def field_spans(texts: list[str], model: Field, batch: int = 512, sure: float = SURE) -> list[list[Span]]:
     """Spans that the field finds in each text and is sure of, by start."""
-    todo: list[tuple[int, int, list, list]] = []
-    for i, text in enumerate(texts):
-        if not _MARK.search(text):
-            continue
-        at = 0
-        for line in text.split("\n"):
-            if _MARK.search(line):
-                fs, places = line_features(line)
-                for lo in range(0, max(1, len(fs) - OVERLAP), LINE - OVERLAP):
-                    todo.append((i, at, fs[lo : lo + LINE], places[lo : lo + LINE]))
-            at += len(line) + 1
-    todo.sort(key=lambda x: len(x[2]))
     found: list[set[Span]] = [set() for _ in texts]
-    for lo in range(0, len(todo), batch):
-        part = todo[lo : lo + batch]
-        told = [(x, tags) for x, tags in zip(part, model.viterbi([x[2] for x in part])) if tags.any()]
-        for ((i, at, _, places), tags), chance in zip(told, model.chances([x[2] for x, _ in told], [t for _, t in told]) if told else ()):
-            for t in np.flatnonzero(tags).tolist():
-                name = TAGS[tags[t]]
-                if name[0] == "B":
-                    last = t
-                    while last + 1 < len(tags) and TAGS[tags[last + 1]] == f"I-{name[2:]}":
-                        last += 1
-                    a, b = at + places[t][0], at + places[last][1]
-                    if chance[t : last + 1].min() >= sure and _holds(name[2:], texts[i][a:b]):
-                        found[i].add((name[2:], a, b))
+
+    def decode(todo: list[tuple[int, int, list, list]]) -> None:
+        todo.sort(key=lambda x: len(x[2]))
+        for lo in range(0, len(todo), batch):
+            part = todo[lo : lo + batch]
+            sums, n = model.scores([x[2] for x in part])
+            best = model.viterbi((sums, n))
+            told = [k for k, tags in enumerate(best) if tags.any()]
+            for k, chance in zip(told, model.chances((sums[told], n[told]), [best[k] for k in told]) if told else ()):
+                (i, at, _, places), tags = part[k], best[k]
+                for t in np.flatnonzero(tags).tolist():
+                    name = TAGS[tags[t]]
+                    if name[0] == "B":
+                        last = t
+                        while last + 1 < len(tags) and TAGS[tags[last + 1]] == f"I-{name[2:]}":
+                            last += 1
+                        a, b = at + places[t][0], at + places[last][1]
+                        if chance[t : last + 1].min() >= sure and _holds(name[2:], texts[i][a:b]):
+                            found[i].add((name[2:], a, b))
+
+    todo, held = [], 0
+    for x in _lines(texts):
+        todo.append(x)
+        held += len(x[2])
+        if held >= HELD:
+            decode(todo)
+            todo, held = [], 0
+    decode(todo)
     return [sorted(x, key=_order) for x in found]
 
 
@@ -318,23 +371,35 @@ def scores(model: Field, table: list[tuple[str, list[Span]]]) -> tuple[float, fl
     return right / max(sum(map(len, found)), 1), right / max(sum(len(s) for _, s in table), 1)
 
 
+def merged(good: list[Span], bad: list[Span], more: list[Span]) -> list[Span]:
+    """Base spans and those of ``more`` that touch no base span and none before them, and are not matches
+    that failed the test of their kind (``bad``). All lists are by start."""
+    starts, ends = [a for _, a, _ in good], list(accumulate((b for *_, b in good), max))
+    failed, added, last = set(bad), [], 0
+    for span in more:
+        _, a, b = span
+        before = bisect_left(starts, b)
+        if span not in failed and a >= last and not (before and ends[before - 1] > a):
+            added.append(span)
+            last = b
+    return sorted(good + added, key=_order)
+
+
 def find_spans(texts: list[str], model: Field) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text. A span of the field counts where it touches no base span
-    and none before it, and is not a match that failed the test of its kind."""
+    """(base spans, all spans) of each text."""
     out = []
     for text, more in zip(texts, field_spans(texts, model)):
         good, bad = base_spans(text)
-        taken = [(a, b) for _, a, b in good]
-        more = [s for s in more if s not in bad]
-        added = []
-        for kind, a, b in more:
-            if all(b <= x or y <= a for x, y in taken):
-                added.append((kind, a, b))
-                taken.append((a, b))
-        out.append((good, sorted(good + added, key=_order)))
+        out.append((good, merged(good, bad, more)))
     return out
 
 
+@functools.cache
+def trained() -> Field:
+    """The field of the labelled table, trained once in a session."""
+    return train(labelled_table())
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """The text with every span replaced by its kind in brackets; of spans that overlap, the first."""
     out, last = [], 0
@@ -350,11 +415,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Counts and hash are of the base spans, ``spans`` lists all. Null and empty texts have none; the
     hash is then of the empty string. Very long texts are scanned whole, in linear time, and held one
-    at a time; the field reads a very long line in overlapping parts. Of spans that start together the
+    at a time; the field reads a very long line in overlapping parts, so many tokens at a time. Of spans that start together the
     kinds come in the order of ``KINDS``. Repeated rows and repeated or null doc_ids are rows of their
     own; an empty table gives none; other columns are not read. No shuffle.
     """
-    model = model or train(labelled_table())
+    model = model or trained()
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def tasks(batches):
@@ -374,7 +439,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: Field | None = None)
     Null and empty texts stay; very long ones are replaced whole. Of spans that overlap, the first by
     start, then kind, is replaced. Repeated rows stay rows of their own; an empty table stays empty;
     the names of other columns cannot clash."""
-    model = model or train(labelled_table())
+    model = model or trained()
 
     @F.pandas_udf("string")
     def clean(text):
