@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, multi_index, near_vectors, packing, pii, sharding, simhash, toxicity, warc
+from . import byte_bpe, chat, multi_index, near_vectors, packing, pii, secrets, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,8 +111,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detect(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding)
+    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding, op11_secrets)
 }
 ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL}
