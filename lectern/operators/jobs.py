@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from ..functions import text as T, time as D
+from .ordered import LONG, running
 
 CURRENT_ACTIONS = ("START", "TTS_COMPLETE", "RVC_COMPLETE", "MASTER_COMPLETE", "MASTER_FAILED")
 
@@ -93,12 +94,25 @@ def step_durations(events: DataFrame) -> DataFrame:
 # ---- windows ------------------------------------------------------------------------------------
 
 
-def checkpoint_durations(events: DataFrame) -> DataFrame:
+def checkpoint_durations(events: DataFrame, long: int = LONG) -> DataFrame:
     """``seconds`` since the checkpoint before, and its reading: ``Start`` for the first, ``Unknown``
-    where a time is missing."""
-    w = by_job()
-    timed = events.withColumn("seconds", D.seconds_between(F.lag("ts").over(w), F.col("ts"))).withColumn("_n", F.row_number().over(w))
-    return timed.withColumn("duration", F.when(F.col("_n") == 1, "Start").otherwise(F.coalesce(D.human_duration(F.col("seconds")), F.lit("Unknown")))).drop("_n")
+    where a time is missing. Jobs of more than ``long`` events are timed in stretches, which hand on
+    the last time."""
+
+    def tell(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.max_by("ts", "ord").alias("_ts"))
+
+    def carry(told: DataFrame, w: WindowSpec) -> DataFrame:
+        return told.select("job_id", "_stretch", F.lag("_ts").over(w).alias("_last"), F.when(F.row_number().over(w) > 1, True).alias("_later"))
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_n", F.row_number().over(w))
+        before = F.when(F.col("_n") == 1, F.col("_last")).otherwise(F.lag("ts").over(w))
+        timed = rows.withColumn("seconds", D.seconds_between(before, F.col("ts")))
+        first = (F.col("_n") == 1) & F.col("_later").isNull()
+        return timed.withColumn("duration", F.when(first, "Start").otherwise(F.coalesce(D.human_duration(F.col("seconds")), F.lit("Unknown")))).drop("_n")
+
+    return running(events, ["job_id"], ["ord"], tell, carry, add, long)
 
 
 def chapter_end_pages(toc: DataFrame, book: str = "book", pages: str = "n_pages") -> DataFrame:
@@ -106,18 +120,50 @@ def chapter_end_pages(toc: DataFrame, book: str = "book", pages: str = "n_pages"
     return toc.withColumn("end_page", F.coalesce(F.lead("start_page").over(w) - 1, F.col(pages)))
 
 
-def rolling_eta(steps: DataFrame, remaining: Column, in_progress: bool = False, steps_kept: int = 3) -> DataFrame:
-    """Mean of the last step times, for what remains after each step (one less while one is running)."""
+def rolling_eta(steps: DataFrame, remaining: Column, in_progress: bool = False, steps_kept: int = 3, long: int = LONG) -> DataFrame:
+    """Mean of the last step times, for what remains after each step (one less while one is running).
+    Jobs of more than ``long`` steps are gone through in stretches, which hand on their last times."""
     left = remaining - 1 if in_progress else remaining
-    mean = F.avg("seconds").over(by_job().rowsBetween(-steps_kept + 1, 0))
-    out = steps.withColumn("eta_s", mean * left)
-    return out.withColumn("eta", F.when(left <= 0, "complete!").when(F.col("eta_s").isNull(), "calculating...").otherwise(D.human_duration(F.col("eta_s"), whole=True)))
 
+    def tell(rows: DataFrame, by: list[str]) -> DataFrame:
+        back = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ord")))
+        last = rows.select(*by, "seconds", back.alias("_back")).filter(F.col("_back") <= F.greatest(F.lit(steps_kept - 1), F.lit(1)))
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col("seconds").cast("double").alias("s"))))
+        return last.groupBy(*by).agg(F.transform(listed, lambda x: F.struct(x["s"].alias("s"))).alias("_tail"))
+
+    def carry(told: DataFrame, w: WindowSpec) -> DataFrame:
+        seen = F.flatten(F.collect_list("_tail").over(w.rowsBetween(min(1 - steps_kept, -1), -1)))
+        return told.select("job_id", "_stretch", F.when(F.row_number().over(w) > 1, seen).alias("_seen"))
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        frame = w.rowsBetween(1 - steps_kept, 0)
+        own = rows.withColumn("_short", steps_kept - F.row_number().over(w)).withColumn("_sum", F.sum("seconds").over(frame)).withColumn("_count", F.count("seconds").over(frame))
+        # what the frame lacks of its rows stands at the end of what was seen before
+        from_before = F.filter(F.slice("_seen", -F.least("_short", F.size("_seen")), F.col("_short")), lambda x: x["s"].isNotNull())
+        lacks = (F.col("_short") > 0) & (F.size("_seen") > 0)
+        total = F.coalesce("_sum", F.lit(0.0)) + F.when(lacks, F.aggregate(from_before, F.lit(0.0), lambda a, x: a + x["s"])).otherwise(0.0)
+        count = F.col("_count") + F.when(lacks, F.size(from_before)).otherwise(0)
+        out = own.withColumn("eta_s", F.when(count > 0, total / count) * left).drop("_short", "_sum", "_count")
+        return out.withColumn("eta", F.when(left <= 0, "complete!").when(F.col("eta_s").isNull(), "calculating...").otherwise(D.human_duration(F.col("eta_s"), whole=True)))
+
+    return running(steps, ["job_id"], ["ord"], tell, carry, add, long)
+
+
+def timeline(chunks: DataFrame, by: str, order: str, duration: Column, gap: Column, long: int = LONG) -> DataFrame:
+    """Where each part starts: the time of the parts and gaps before it. Groups of more than ``long``
+    parts are summed in stretches."""
 
-def timeline(chunks: DataFrame, by: str, order: str, duration: Column, gap: Column) -> DataFrame:
-    """Where each part starts: the time of the parts and gaps before it."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return chunks.withColumn("start_s", F.coalesce(F.sum(duration + gap).over(w), F.lit(0.0)))
+    def tell(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(duration + gap).alias("_time"))
+
+    def carry(told: DataFrame, w: WindowSpec) -> DataFrame:
+        return told.select(by, "_stretch", F.sum("_time").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        own = F.sum(duration + gap).over(w.rowsBetween(W.unboundedPreceding, -1))
+        return rows.withColumn("start_s", F.coalesce(own, F.lit(0.0)) + F.coalesce("_before", F.lit(0.0)))
+
+    return running(chunks, [by], [order], tell, carry, add, long)
 
 
 def compact_ranges(df: DataFrame, key: str, n: str) -> DataFrame:
@@ -157,12 +203,31 @@ def suffix_collisions(df: DataFrame, name: str, order: str, scope: list[str] | N
     return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(more))
 
 
-def run_segments(events: DataFrame, start: str = "PIPELINE_START") -> DataFrame:
-    """Numbers the runs of a job; the second of two starts in a row is dropped."""
-    w = by_job()
-    begins = F.col("type") == start
-    double = begins & F.coalesce(F.lag("type").over(w) == start, F.lit(False))
-    return events.withColumn("_double", double).filter("not _double").drop("_double").withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(w))
+def run_segments(events: DataFrame, start: str = "PIPELINE_START", long: int = LONG) -> DataFrame:
+    """Numbers the runs of a job; the second of two starts in a row is dropped. Jobs of more than ``long``
+    events are numbered in stretches, which hand on their last type and the runs so far."""
+    begins = F.coalesce(F.col("type") == start, F.lit(False))
+
+    def alone(rows: DataFrame, w: WindowSpec, last: Column) -> DataFrame:
+        """``_double``: whether a row is a start after a start, ``last`` before the first row."""
+        before = F.when(F.row_number().over(w) == 1, last).otherwise(F.lag(begins).over(w))
+        return rows.withColumn("_double", begins & F.coalesce(before, F.lit(False)))
+
+    def tell(rows: DataFrame, by: list[str]) -> DataFrame:
+        met = alone(rows, W.partitionBy(*by).orderBy("ord"), F.lit(False))
+        return met.groupBy(*by).agg(F.count_if(begins & ~F.col("_double")).alias("_runs"), F.min_by(begins, "ord").alias("_opens"), F.max_by(begins, "ord").alias("_closes"))
+
+    def carry(told: DataFrame, w: WindowSpec) -> DataFrame:
+        told = told.withColumn("_last", F.lag("_closes").over(w))
+        # a stretch that opens with the second of two starts has counted it
+        told = told.withColumn("_runs", F.col("_runs") - (F.col("_opens") & F.coalesce("_last", F.lit(False))).cast("int"))
+        return told.select("job_id", "_stretch", "_last", F.sum("_runs").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        kept = alone(rows, w, F.col("_last")).filter("not _double").drop("_double")
+        return kept.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(w) + F.coalesce("_before", F.lit(0)))
+
+    return running(events, ["job_id"], ["ord"], tell, carry, add, long)
 
 
 def latest_output(files: DataFrame, priority: Column) -> DataFrame:

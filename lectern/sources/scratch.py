@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _homes: set[str] = set()
 
@@ -38,3 +38,11 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
         files.deleteOnExit(path)
         _homes.add(home)
     return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: it cuts the lineage, and a
+    lost executor costs a reread instead of the work above it."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
