@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, multi_index, near_vectors, packing, pii, secrets, sharding, simhash, toxicity, warc
+from . import byte_bpe, chat, importance, multi_index, near_vectors, packing, pii, secrets, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,8 +116,36 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(_table(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: What CRC-32 does with each half byte, by its reflected polynomial.
+_CRC_TABLE = [functools.reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(4), n) for n in range(16)]
+OP12_SQL = rf"""
+WITH said AS (
+  SELECT 0 AS side, row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM documents
+  UNION ALL SELECT 1, 0, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') FROM benchmark),
+met AS MATERIALIZED (SELECT side, n, unnest(words) AS word FROM said),
+forms AS (SELECT word, hex(encode(word)) AS code FROM (SELECT DISTINCT word FROM met)),
+halves AS (SELECT word, list_transform(range(1, length(code) + 1), lambda k: (instr('0123456789ABCDEF', substr(code, (CASE WHEN k % 2 = 1 THEN k + 1 ELSE k - 1 END)::INT, 1)) - 1)::BIGINT) AS parts FROM forms),
+placed AS (SELECT word, xor(list_reduce(parts, lambda c, x: xor(c >> 4, ({_CRC_TABLE}::BIGINT[])[(xor(c, x) & 15) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM halves),
+counts AS (SELECT bucket, count(*) FILTER (side = 1) AS t, count(*) FILTER (side = 0) AS s FROM met JOIN placed USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(t), 0)::DOUBLE AS ts, coalesce(sum(s), 0)::DOUBLE AS ss FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (ss + 10000) / ((s + 1.0::DOUBLE) * (ts + 10000))))::BIGINT AS g FROM counts, sums),
+weights AS (SELECT n, sum(g)::BIGINT AS weight FROM met JOIN placed USING (word) JOIN gain USING (bucket) WHERE side = 0 GROUP BY n),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM said LEFT JOIN weights USING (n) WHERE side = 0)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST)::BIGINT AS place FROM scored)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding, op11_secrets)
+    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding, op11_secrets, op12_importance)
 }
-ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL}
+ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL, "op12_importance": OP12_SQL}
