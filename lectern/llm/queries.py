@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, importance, multi_index, near_vectors, packing, pii, secrets, sharding, simhash, toxicity, warc
+from . import byte_bpe, chat, importance, multi_index, near_vectors, packing, pii, secrets, sharding, simhash, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,8 +144,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding, op11_secrets, op12_importance)
+    for f in (op1_perspective_rotation, op2_warc, op3_near_vectors, op4_best_fit_packing, op5_multi_index, op6_byte_bpe, op7_pii, op8_simhash, op9_toxicity, op10_sharding, op11_secrets, op12_importance, op13_whitening)
 }
 ORACLES = {"op1_perspective_rotation": OP1_SQL, "op2_warc": OP2_SQL, "op3_near_vectors": OP3_SQL, "op12_importance": OP12_SQL}
