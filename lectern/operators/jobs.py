@@ -195,14 +195,6 @@ def halt_at_first_failure(chunks: DataFrame, by: str, order: str, failed: Column
     return chunks.withColumn("_bad", F.max(failed.cast("int")).over(frame)).filter("_bad = 0").drop("_bad")
 
 
-def suffix_collisions(df: DataFrame, name: str, order: str, scope: list[str] | None = None, stem_aware: bool = False) -> DataFrame:
-    """The second use of a name becomes ``name_2``, in file names before the suffix."""
-    n = F.row_number().over(W.partitionBy(*(scope or []), name).orderBy(order))
-    mark = F.concat(F.lit("_"), n.cast("string"))
-    more = F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), mark, F.regexp_extract(name, r"(\.[^.]+)?$", 1)) if stem_aware else F.concat(F.col(name), mark)
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(more))
-
-
 def run_segments(events: DataFrame, start: str = "PIPELINE_START", long: int = LONG) -> DataFrame:
     """Numbers the runs of a job; the second of two starts in a row is dropped. Jobs of more than ``long``
     events are numbered in stretches, which hand on their last type and the runs so far."""

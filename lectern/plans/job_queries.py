@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import signal as G, text as T, time as D
-from ..operators import enrich, jobs, joins
+from ..operators import enrich, jobs, joins, names
 from ..sources import files as S
 from .fixtures import ATTEMPTS, CHAPTERS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, SIGNALS, derived
 from .registry import query, table
@@ -188,17 +188,34 @@ def win_compact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.compact_ranges(derived(spark, sf_dir, ORDER_SECTIONS), "job_id", "section")
 
 
-@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || '_' || n END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+def _free_names(names: str, unit: str) -> str:
+    """Names asked for one after another by key, each given as the first that no name before has: the
+    number is counted up from 2 until the name is new. Only names of one beginning can meet."""
+    tried = unit.replace("{x}", "j")
+    return f"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS n FROM ({names})),
+      given AS (SELECT root, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS p_partkey, NULL::VARCHAR AS unique_name FROM (SELECT DISTINCT root FROM asked)
+        UNION ALL SELECT root, n, list_append(taken, got), p_partkey, got FROM (SELECT g.root, a.n, g.taken, a.p_partkey,
+          CASE WHEN list_contains(g.taken, name) THEN list_filter(list_transform(range(2, len(g.taken) + 3), lambda j: {tried}), lambda x: NOT list_contains(g.taken, x))[1] ELSE name END AS got
+          FROM given g JOIN asked a ON a.root = g.root AND a.n = g.n + 1))
+      SELECT p_partkey, unique_name FROM given WHERE n > 0"""
+
+
+#: Some names end in a number that others are given.
+_NAMED = "p_name || CASE CAST(p_partkey % 7 AS INT) WHEN 2 THEN '_2' WHEN 4 THEN '_3' WHEN 5 THEN CASE WHEN p_partkey % 3 = 0 THEN '_2_2' ELSE '' END ELSE '' END"
+_FILED = "p_brand || CASE CAST(p_partkey % 5 AS INT) WHEN 1 THEN '_2' WHEN 3 THEN '_12' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '.tar.wav' ELSE '' END"
+
+
+@query(_free_names(f"SELECT p_partkey, {_NAMED} AS name, regexp_replace({_NAMED}, '(_[0-9]+)+$', '') AS root FROM part", "name || '_' || {x}"))
 def win_suffix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.suffix_collisions(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_partkey", "unique_name")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NAMED).alias("name"))
+    return names.suffix_collisions(named, "name", "p_partkey").select("p_partkey", "unique_name")
 
 
-@query(r"""SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\.[^.]+$', '') || '_' || n || regexp_extract(name, '(\.[^.]+)?$', 1) END AS unique_name
-  FROM (SELECT p_partkey, name, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS n FROM (SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN '.tar.wav' ELSE '' END AS name FROM part))""")
+@query(_free_names(rf"SELECT p_partkey, {_FILED} AS name, regexp_replace(regexp_replace({_FILED}, '\.[^.]+$', ''), '(_[0-9]+)+$', '') || CASE WHEN p_partkey % 3 = 0 THEN '/wav' ELSE '' END AS root FROM part", r"regexp_replace(name, '\.[^.]+$', '') || '_' || {x} || regexp_extract(name, '(\.[^.]+)?$', 1)"))
 def win_file_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number goes before the suffix of a file name."""
-    files = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, ".tar.wav").otherwise("")).alias("name"))
-    return jobs.suffix_collisions(files, "name", "p_partkey", stem_aware=True).select("p_partkey", "unique_name")
+    files = table(spark, sf_dir, "part").select("p_partkey", F.expr(_FILED).alias("name"))
+    return names.suffix_collisions(files, "name", "p_partkey", stem_aware=True).select("p_partkey", "unique_name")
 
 
 _ROLLED = "SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS}"
