@@ -157,7 +157,7 @@ _HTML = rf"array_to_string(list_filter(list_transform(flatten(list_transform(str
 
 @query(f"SELECT page_id, {_HTML} AS text FROM pages")
 def src_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))
+    return S.spread(table(spark, sf_dir, "pages")).select("page_id", S.html_to_text(F.col("html")).alias("text"))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")

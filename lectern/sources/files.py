@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -48,36 +49,59 @@ def read_text_corpus(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", decode_text(F.col("content")).alias("text"))
 
 
-# All names of HTML5, with their signs and the sign & before them; the old names that
-# need no semicolon, longest first; code points that do not stand for themselves.
-NAMES = {f"&{name}": sign for name, sign in html.entities.html5.items()}
-OLD_NAMES = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)
+# All names of HTML5 with their signs, the old ones among them that need no semicolon, and
+# code points that do not stand for themselves.
+NAMES = html.entities.html5
+OLD_NAMES = sorted((name for name in NAMES if not name.endswith(";")), key=len, reverse=True)
 ODD_CODES = {n: sign for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | q for p in range(17) for q in (0xFFFE, 0xFFFF))) if (sign := html.unescape(f"&#{n};")) != chr(n)}
-REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+REFERENCE = r"\A(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: References that most pages have, looked for before the table.
+COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "#39;", "apos;", "copy;", "middot;", "ndash;", "mdash;", "hellip;", "rsquo;", "lsquo;", "rdquo;", "ldquo;")
+#: Lists that names and odd codes are dealt to by a hash, so that one is sought among a few.
+LISTS = 1024
 
 
-def _mapped(known: dict) -> Column:
-    """A constant map."""
-    return F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+def _listed() -> str:
+    """The table as one string: lists parted by 03, entries by 02, name and sign by 01."""
+    lists: list[list[str]] = [[] for _ in range(LISTS)]
+    for name, sign in {**NAMES, **{f"#{n}": sign for n, sign in ODD_CODES.items()}}.items():
+        lists[zlib.crc32(name.encode()) % LISTS].append(f"{name}\x01{sign}")
+    return "\x03".join("\x02".join(entries) for entries in lists)
+
+
+def _known(name: Column) -> Column:
+    """The sign of a name or of an odd code written ``#n``; null for others. The lists are a constant array."""
+    lists = F.split(F.lit(_listed()), "\x03")
+    return F.try_element_at(F.str_to_map(F.get(lists, F.pmod(F.crc32(name.cast("binary")), F.lit(LISTS)).cast("int")), F.lit("\x02"), F.lit("\x01")), name)
 
 
 def _sign_of(reference: Column) -> Column:
-    """What one character reference stands for; what is none stays."""
-    digits = F.regexp_extract(reference, r"^&#[xX]?0*([0-9a-fA-F]*?);?$", 1)
+    """What one character reference, without the sign & before it, stands for; null for none."""
+    digits = F.regexp_extract(reference, r"^#[xX]?0*([0-9a-fA-F]*?);?$", 1)
     base = lambda n: F.conv(F.concat(F.lit("0"), digits), n, 10).cast("int")
-    code = F.when(F.length(digits) > 7, 0x110000).when(reference.rlike("^&#[xX]"), base(16)).otherwise(base(10))
+    code = F.when(F.length(digits) > 7, 0x110000).when(reference.rlike("^#[xX]"), base(16)).otherwise(base(10))
     no_sign = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    number = F.when(no_sign, "\ufffd").otherwise(F.coalesce(F.try_element_at(_mapped(ODD_CODES), code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-    old = F.regexp_extract(reference, f"^&(?:{'|'.join(OLD_NAMES)})", 0)
-    name = F.coalesce(F.try_element_at(_mapped(NAMES), reference), F.when(old != "", F.concat(F.try_element_at(_mapped(NAMES), old), F.substr(reference, F.length(old) + 1))), reference)
-    return F.when(reference.startswith("&#"), number).otherwise(name)
+    number = F.when(no_sign, "\ufffd").otherwise(F.coalesce(_known(F.concat(F.lit("#"), code.cast("string"))), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    old = F.regexp_extract(reference, f"^(?:{'|'.join(OLD_NAMES)})", 0)
+    name = F.coalesce(_known(reference), F.when(old != "", F.concat(_known(old), F.substr(reference, F.length(old) + 1))))
+    return F.when(reference.startswith("#"), number).otherwise(name)
+
+
+def _decoded(piece: Column) -> Column:
+    """What follows a sign &, with the reference that it begins with, if any, as its sign."""
+    reference = F.regexp_extract(piece, REFERENCE, 0)
+    sign = F.when(reference != "", _sign_of(reference))
+    out = F.when(sign.isNotNull(), F.concat(sign, F.substr(piece, F.length(reference) + 1))).otherwise(F.concat(F.lit("&"), piece))
+    for name in reversed(COMMON):
+        out = F.when(piece.startswith(name), F.concat(F.lit(html.unescape(f"&{name}")), F.substr(piece, F.lit(len(name) + 1)))).otherwise(out)
+    return out
 
 
 def decode_references(text: Column) -> Column:
     """Named, decimal and hexadecimal character references as their signs, as ``html.unescape`` has
-    them, in one pass from left to right: what a reference gives is not read again."""
-    pieces = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{REFERENCE}$"), _sign_of(p)).otherwise(p)), "")
+    them, in one pass from left to right: what a reference gives is not read again. A text is cut at its
+    signs &; what stands before the first is none."""
+    return F.array_join(F.transform(F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_decoded(piece))), "")
 
 
 def html_to_text(html: Column) -> Column:
