@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
@@ -55,24 +56,77 @@ def quoted(word: str) -> str:
     return "".join(c if c.isalnum() or c in " '" else "\\" + c for c in word)
 
 
+_EDGE = re.compile(r"\b")
+
+
+def _met_within(word: str, text: str) -> bool:
+    """Whether ``word`` can be met in a text that holds ``text`` whole, sharing some of it: within it, or
+    across one of its ends."""
+    cuts = [m.start() for m in _EDGE.finditer(word)]
+    if any(text.startswith(word, m.start()) and _EDGE.match(text, m.start() + len(word)) for m in _EDGE.finditer(text)):
+        return True
+    inner = [i for i in cuts if 0 < i < len(word)]
+    ends = lambda part: text.endswith(part) and _EDGE.match(text, len(text) - len(part))
+    starts = lambda part: text.startswith(part) and _EDGE.match(text, len(part))
+    return any(ends(word[:i]) or starts(word[i:]) for i in inner)
+
+
+def independent(pairs: Sequence[tuple[str, str]]) -> bool:
+    """Whether replacing the words in turn is the same as replacing all at once: words and readings begin
+    and end in letters (so a reading leaves the boundaries of its neighbours as they are), no two words
+    share signs of a text, and no reading makes a later word, alone or with what stands beside it."""
+    folded = [(word.upper().lower(), reading.upper().lower()) for word, reading in pairs]
+    whole = all(s and s[0].isalpha() and s[-1].isalpha() for pair in pairs for s in pair)
+    apart = len({w for w, _ in folded}) == len(folded) and not any(_met_within(u, w) for w, _ in folded for u, _ in folded if u != w)
+    return whole and apart and not any(_met_within(u, reading) for i, (_, reading) in enumerate(folded) for u, _ in folded[i + 1 :])
+
+
+def any_of(pairs: Sequence[tuple[str, str]]) -> str:
+    """A pattern of all words, whole and without regard to case, tried only before a sign with which one
+    can begin: a letter in either case, or one that only folds to it."""
+    first = {word[0].lower() for word, _ in pairs}
+    signs = [chr(c) for c in range(0x3000) if chr(c).lower() in first or chr(c).upper().lower() in first or chr(c).lower()[:1] in first]
+    return rf"(?=[{''.join(signs)}])(?iU)\b(?:{'|'.join(quoted(word) for word, _ in pairs)})\b"
+
+
 def mentions(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Whether any of the words may be there: a plain search, which spares most texts a pass for each. By
-    way of upper case, letters that only fold together there are found as well."""
-    return let(F.lower(F.upper(text)), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
+    """Whether any of the words may be there: a plain search, which spares most texts a pass for each."""
+    return let(folded_word(text), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
+
+
+def folded_word(word: Column) -> Column:
+    """Words of ASCII letters in small ones, whatever letters a pattern without regard to case takes for
+    them: the two odd i, the long s and the sign for kelvin."""
+    return F.lower(F.translate(word, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _readings(pairs: Sequence[tuple[str, str]]) -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{word.upper().lower()}\x01{reading}" for word, reading in pairs)), F.lit("\x02"), F.lit("\x01"))
 
 
 def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = True) -> Column:
     """Replaces each word in turn, whole and without regard to case; later pairs see what earlier
     ones wrote. ``strict`` asks for a word boundary after the word even where the word ends in a
-    period; otherwise only that no word goes on there."""
+    period; otherwise only that no word goes on there.
+
+    A text in which no word is met is left by one search. Where the order cannot matter
+    (``independent``), all words are found by one pattern: the text is parted at its matches, and each is
+    looked up."""
     end = r"\b" if strict else r"(?!\w)"
 
-    def replaced(t: Column) -> Column:
+    def in_turn(t: Column) -> Column:
         for word, reading in pairs:
             t = F.regexp_replace(t, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
         return t
 
-    return let(text, lambda t: F.when(mentions(t, pairs), replaced(t)).otherwise(t))
+    def at_once(t: Column) -> Column:
+        met = F.regexp_extract_all(t, F.lit(any_of(pairs)), F.lit(0))
+        read = F.transform(met, lambda m: F.coalesce(F.try_element_at(_readings(pairs), folded_word(m)), m))
+        return F.array_join(F.zip_with(F.split(t, any_of(pairs), -1), read, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    if strict and independent(pairs):
+        return let(text, lambda t: F.when(t.rlike(any_of(pairs)), at_once(t)).otherwise(t))
+    return let(text, lambda t: F.when(mentions(t, pairs), in_turn(t)).otherwise(t))
 
 
 # ---- cleaning -----------------------------------------------------------------------------------

@@ -67,14 +67,19 @@ def success_rate(chunks: DataFrame, ok: Column, by: str) -> DataFrame:
 
 def dictionary_hits(df: DataFrame, pairs: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
     """How often each word of the dictionary is met, counted before it is replaced, later words in what
-    earlier ones left."""
+    earlier ones left. Where the words are independent that is what stands in the text: matches of one
+    pattern are counted by word, and words without any are added."""
+    if T.independent(pairs):
+        met = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(T.any_of(pairs)), F.lit(0))).alias("m")).groupBy(T.folded_word(F.col("m")).alias("form")).agg(F.count("*").alias("n"))
+        listed = df.sparkSession.createDataFrame([(word, word.upper().lower()) for word, _ in pairs], "word string, form string")
+        return listed.join(met, "form", "left").select("word", F.coalesce("n", F.lit(0)).alias("hits"))
     entries = F.array(*[F.struct(F.lit(rf"(?iU)\b{T.quoted(word)}\b").alias("word"), F.lit(reading.replace("$", r"\$")).alias("reading")) for word, reading in pairs])
     start = lambda t: F.struct(t.alias("now"), F.array().cast("array<int>").alias("hits"))
 
     def step(s: Column, e: Column) -> Column:
         return F.struct(F.regexp_replace(s["now"], e["word"], e["reading"]).alias("now"), F.concat(s["hits"], F.array(F.regexp_count(s["now"], e["word"]))).alias("hits"))
 
-    met = df.filter(T.mentions(F.col(text), pairs)).select(F.aggregate(entries, start(F.col(text)), step, lambda s: s["hits"]).alias("hits"))
+    met = df.filter(F.col(text).rlike(T.any_of(pairs))).select(F.aggregate(entries, start(F.col(text)), step, lambda s: s["hits"]).alias("hits"))
     wide = met.agg(*[F.coalesce(F.sum(F.get("hits", F.lit(i))), F.lit(0)).alias(f"n{i}") for i in range(len(pairs))])
     pairs_of = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"n{i}").alias("hits")) for i, (w, _) in enumerate(pairs)]))
     return wide.select(pairs_of.alias("p")).select("p.*")

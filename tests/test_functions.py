@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import boundary as B, signal as G, text as T, time as D
-from lectern.operators import chunkers as C, dialogue
+from lectern.operators import chunkers as C, dialogue, jobs
 from lectern.sources import files as S
 
 
@@ -220,3 +220,46 @@ def test_signals(spark):
     assert np.allclose(row.h, [0.0025, -0.25, 0.125], atol=1e-6)
     zero = spark.createDataFrame([([0.0, 0.0], 2)], "s array<float>, r int").select(G.peak_normalize(s).alias("n"), G.trim_silence(s).alias("t")).first()
     assert zero.n == [0.0, 0.0] and zero.t == [0.0, 0.0]
+
+
+DICTIONARIES = {"spoken": T.PRONUNCIATION, "short": T.SHORT_PRONUNCIATION, "long forms": T.CONTRACTIONS}
+
+
+def test_independence():
+    assert all(map(T.independent, DICTIONARIES.values()))
+    assert not T.independent(T.ABBREVIATIONS) and not T.independent(T.SPEECH_ABBREVIATIONS)
+    for pairs, told in (
+        ((("a", "b"), ("b", "c")), False),  # a reading is a later word
+        ((("b", "c"), ("a", "b")), True),  # an earlier one
+        ((("it's", "it is"), ("s", "x")), False),  # a word within another
+        ((("a", "x"), ("x's", "y")), False),  # a reading begins a later word
+        ((("a", "x y"), ("z'x", "w")), False),
+        ((("a'b", "x"), ("b'c", "y")), False),  # words that overlap
+        ((("ab", "x"), ("bc", "y")), True),
+        ((("a", "-x"),), False),  # a reading that ends otherwise
+        ((("a", "x"), ("A", "y")), False),
+    ):
+        assert T.independent(pairs) == told, pairs
+
+
+@pytest.mark.parametrize("name", sorted(DICTIONARIES))
+def test_all_words_at_once_equal_words_in_turn(spark, name):
+    """Random texts of the words, of parts of them, of signs beside them and of letters that only fold to
+    theirs, against one replacement after another; and counts of the words against counts in turn."""
+    pairs, rng = DICTIONARIES[name], random.Random(4)
+    bits = [w for w, _ in pairs] + [r for _, r in pairs] + ["'", "'s", "s", " ", " ", " ", "-", ".", "_", "é", "1", "colo", "\u017f", "\u212a", "$1"]
+    fold = str.maketrans({"s": "\u017f", "i": "\u0130", "k": "\u212a", "I": "\u0131"})
+    texts = ["".join(rng.choice((str, str.upper, str.title, lambda w: w.translate(fold)))(rng.choice(bits)) + rng.choice(["", " ", " "]) for _ in range(14)) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    in_turn = F.col("text")
+    for word, reading in pairs:
+        in_turn = F.regexp_replace(in_turn, rf"(?iU)\b{T.quoted(word)}\b", reading)
+    rows = df.select("text", T.fold_words(F.col("text"), pairs).alias("got"), in_turn.alias("want")).collect()
+    assert [(r.text, r.got) for r in rows] == [(r.text, r.want) for r in rows]
+    assert sum(r.got != r.text for r in rows) > 1000
+    counts = {r.word: r.hits for r in jobs.dictionary_hits(df, pairs).collect()}
+    step, want = F.col("text"), []
+    for word, reading in pairs:
+        want.append(F.sum(F.regexp_count(step, F.lit(rf"(?iU)\b{T.quoted(word)}\b"))))
+        step = F.regexp_replace(step, rf"(?iU)\b{T.quoted(word)}\b", reading)
+    assert counts == dict(zip([w for w, _ in pairs], df.agg(*want).first()))
