@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from ..functions import text as T, time as D
+from .names import suffix_collisions
 from .ordered import LONG, running
 
 CURRENT_ACTIONS = ("START", "TTS_COMPLETE", "RVC_COMPLETE", "MASTER_COMPLETE", "MASTER_FAILED")
@@ -171,12 +172,42 @@ def timeline(chunks: DataFrame, by: str, order: str, duration: Column, gap: Colu
     return running(chunks, [by], [order], tell, carry, add, long)
 
 
-def compact_ranges(df: DataFrame, key: str, n: str) -> DataFrame:
-    """1, 2, 3, 5, 6 become ``batch1-3_5-6``: numbers less their ranks are equal within a run."""
-    ranked = df.select(key, n).distinct().withColumn("island", F.col(n) - F.row_number().over(W.partitionBy(key).orderBy(n)))
-    runs = ranked.groupBy(key, "island").agg(F.min(n).alias("a"), F.max(n).alias("b"))
-    named = runs.withColumn("run", F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))))
-    return named.groupBy(key).agg(F.concat(F.lit("batch"), F.expr("listagg(run, '_') WITHIN GROUP (ORDER BY a)")).alias("batch"))
+def ranges_of(numbers: Column) -> Column:
+    """A rising array 1, 2, 3, 5, 6 as ``1-3_5-6``: a run begins where the number before is not one less,
+    and ends where the next is not one more."""
+    at = lambda i: F.get(numbers, i)
+    firsts = F.filter(numbers, lambda x, i: (i == 0) | (at(i - 1) != x - 1))
+    lasts = F.filter(numbers, lambda x, i: (i == F.size(numbers) - 1) | (at(i + 1) != x + 1))
+    runs = F.zip_with(firsts, lasts, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string"))))
+    return F.array_join(runs, "_")
+
+
+def number_sets(df: DataFrame, key: str, n: str) -> DataFrame:
+    """The different numbers of each key, as a rising array ``numbers``; empty where all are null. Numbers
+    are bits of 64-bit words, merged by ``bit_or`` before anything is shuffled, so a number that is repeated
+    a million times leaves its task once."""
+    word, bit = F.shiftright(F.col(n).cast("bigint"), 6), F.col(n).cast("bigint").bitwiseAND(F.lit(63)).cast("int")
+    words = df.groupBy(key, word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    listed = words.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "_bits")))).alias("_words"))
+    bits = F.sequence(F.lit(0), F.lit(63))
+    spread = F.transform("_words", lambda w: F.transform(F.filter(bits, lambda i: F.getbit(w["_bits"], i) == 1), lambda i: w["_word"] * 64 + i))
+    return listed.select(key, F.flatten(spread).alias("numbers"))
+
+
+def compact_ranges(df: DataFrame, key: str, n: str, every: DataFrame | None = None) -> DataFrame:
+    """1, 2, 3, 5, 6 become ``batch1-3_5-6``; keys of ``every`` without numbers, and keys whose numbers are
+    null, become ``complete``."""
+    sets = number_sets(df, key, n)
+    if every is not None:
+        sets = every.select(key).distinct().join(sets, key, "left")
+    return sets.select(key, F.when(F.size("numbers") > 0, F.concat(F.lit("batch"), ranges_of(F.col("numbers")))).otherwise("complete").alias("batch"))
+
+
+def batch_names(df: DataFrame, jobs: DataFrame, key: str, n: str, project: str) -> DataFrame:
+    """Rows ``(project, key, batch, batch_name)`` for all of ``jobs``: the name of a job's sections, and the
+    name that is still free in its project when jobs come in the order of their keys."""
+    named = jobs.select(project, key).join(compact_ranges(df, key, n, jobs), key)
+    return suffix_collisions(named, "batch", key, [project]).withColumnRenamed("unique_name", "batch_name")
 
 
 def rewind(events: DataFrame, k: Column) -> DataFrame:

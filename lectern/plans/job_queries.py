@@ -182,22 +182,30 @@ def win_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.timeline(turns, "conv_id", "turn", F.length("text") * F.lit(0.06), F.when(F.col("role") == "user", 0.4).otherwise(0.3)).select("conv_id", "turn", "part_no", "start_s")
 
 
-@query("""SELECT job_id, 'batch' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, '_' ORDER BY a) AS batch FROM (SELECT job_id, min(section) AS a, max(section) AS b FROM
-  (SELECT job_id, section, section - row_number() OVER (PARTITION BY job_id ORDER BY section) AS island FROM (SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS})) GROUP BY job_id, island) GROUP BY job_id""")
+_BATCHES = """(SELECT c_custkey AS job_id, c_nationkey AS project, coalesce(batch, 'complete') AS batch FROM customer LEFT JOIN (SELECT job_id, 'batch' || string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, '_' ORDER BY a) AS batch FROM
+  (SELECT job_id, min(section) AS a, max(section) AS b FROM (SELECT job_id, section, section - row_number() OVER (PARTITION BY job_id ORDER BY section) AS island FROM (SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS})) GROUP BY job_id, island) GROUP BY job_id) ON job_id = c_custkey)"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as jobs, of which a third has no sections, in projects by nation."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("project"))
+
+
+@query(f"SELECT job_id, batch FROM {_BATCHES}")
 def win_compact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.compact_ranges(derived(spark, sf_dir, ORDER_SECTIONS), "job_id", "section")
+    return jobs.compact_ranges(derived(spark, sf_dir, ORDER_SECTIONS), "job_id", "section", _jobs(spark, sf_dir))
 
 
-def _free_names(names: str, unit: str) -> str:
+def _free_names(names: str, unit: str, key: str = "p_partkey") -> str:
     """Names asked for one after another by key, each given as the first that no name before has: the
     number is counted up from 2 until the name is new. Only names of one beginning can meet."""
     tried = unit.replace("{x}", "j")
-    return f"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS n FROM ({names})),
-      given AS (SELECT root, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS p_partkey, NULL::VARCHAR AS unique_name FROM (SELECT DISTINCT root FROM asked)
-        UNION ALL SELECT root, n, list_append(taken, got), p_partkey, got FROM (SELECT g.root, a.n, g.taken, a.p_partkey,
+    return f"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY {key}) AS n FROM ({names})),
+      given AS (SELECT root, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS {key}, NULL::VARCHAR AS unique_name FROM (SELECT DISTINCT root FROM asked)
+        UNION ALL SELECT root, n, list_append(taken, got), {key}, got FROM (SELECT g.root, a.n, g.taken, a.{key},
           CASE WHEN list_contains(g.taken, name) THEN list_filter(list_transform(range(2, len(g.taken) + 3), lambda j: {tried}), lambda x: NOT list_contains(g.taken, x))[1] ELSE name END AS got
           FROM given g JOIN asked a ON a.root = g.root AND a.n = g.n + 1))
-      SELECT p_partkey, unique_name FROM given WHERE n > 0"""
+      SELECT {key}, unique_name FROM given WHERE n > 0"""
 
 
 #: Some names end in a number that others are given.
@@ -218,6 +226,20 @@ def win_file_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.suffix_collisions(files, "name", "p_partkey", stem_aware=True).select("p_partkey", "unique_name")
 
 
+@query(
+    f"""WITH few AS (SELECT c_custkey AS job_id, c_nationkey AS project, CASE WHEN c_custkey % 3 = 0 THEN 'complete' WHEN c_custkey % 3 = 1 THEN CASE WHEN c_custkey % 7 = 0 THEN 'batch3_5' ELSE 'batch3' END ELSE 'batch1-2' END AS batch FROM customer)
+    SELECT job_id, project, batch, unique_name AS batch_name FROM few JOIN ({_free_names("SELECT job_id, batch AS name, project || '/' || regexp_replace(batch, '(_[0-9]+)+$', '') AS root FROM few", "name || '_' || {x}", "job_id")}) USING (job_id)"""
+)
+def win_batch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of a few sections, or none, so that most names of a project are asked for again; ``batch3_5`` is
+    also what the fifth ``batch3`` would get."""
+    made = _jobs(spark, sf_dir)
+    k = F.col("job_id")
+    asked = F.when(k % 3 == 0, F.array(F.lit(None).cast("int"))).when(k % 3 == 1, F.when(k % 7 == 0, F.array(F.lit(5), F.lit(3), F.lit(3))).otherwise(F.array(F.lit(3)))).otherwise(F.array(F.lit(2), F.lit(1)))
+    sections = made.filter(k % 6 != 0).select("job_id", F.explode(asked).alias("section"))
+    return jobs.batch_names(sections, made, "job_id", "section", "project")
+
+
 _ROLLED = "SELECT DISTINCT job_id, section FROM {ORDER_SECTIONS}"
 
 

@@ -5,7 +5,7 @@ from pathlib import PurePosixPath
 
 import pytest
 
-from lectern.operators import names
+from lectern.operators import jobs, names
 from lectern.plans import ORACLES, QUERIES
 from tests.conftest import SF
 
@@ -79,3 +79,13 @@ def fast(asked):
 def test_queries_give_different_names(spark, query):
     got = QUERIES[query](spark, SF).collect()
     assert len({r.unique_name for r in got}) == len(got) and query in ORACLES
+
+
+def test_ranges_and_batches(spark):
+    rows = [(1, n) for n in (3, 1, 2, 6, 5, 5, 64, 63, 200, 0)] + [(2, 4), (3, None), (4, 10**6), (4, 10**6 + 1)]
+    df = spark.createDataFrame(rows, "job int, n int")
+    every = spark.createDataFrame([(i, "p") for i in range(1, 7)], "job int, project string")
+    got = {r.job: r.batch for r in jobs.compact_ranges(df, "job", "n", every).collect()}
+    assert got == {1: "batch0-3_5-6_63-64_200", 2: "batch4", 3: "complete", 4: "batch1000000-1000001", 5: "complete", 6: "complete"}
+    named = {r.job: r.batch_name for r in jobs.batch_names(df, every, "job", "n", "project").collect()}
+    assert [named[i] for i in (3, 5, 6)] == ["complete", "complete_2", "complete_3"]
