@@ -7,23 +7,45 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 DEFAULT_PRICE = 15.0
 
 
+def _covered(pages: DataFrame, ranges: DataFrame, book: str) -> DataFrame:
+    """Pages within any of the ranges ``(_book, start_page, end_page)``. A range is cut at every 64th page
+    into bits of a word; words of a book and place are merged, so that a page looks up one bit of one row,
+    however many ranges a book has and however they overlap. Ranges end where their book does."""
+    last = pages.groupBy(F.col(book).alias("_book")).agg(F.max("page_no").cast("bigint").alias("_last"))
+    met = ranges.select("_book", F.col("start_page").cast("bigint").alias("_a"), F.col("end_page").cast("bigint").alias("_e")).join(last, "_book")
+    met = met.select("_book", "_a", F.least("_e", "_last").alias("_b")).filter("_a <= _b")
+    words = met.select("_book", "_a", "_b", F.explode(F.sequence(F.shiftright("_a", 6), F.shiftright("_b", 6))).alias("_word"))
+    place = lambda n: n.cast("int")
+    lo, hi = place(F.greatest(F.col("_a") - F.col("_word") * 64, F.lit(0))), place(F.least(F.col("_b") - F.col("_word") * 64, F.lit(63)))
+    ones = F.lit(-1).cast("bigint")
+    bits = F.call_function("shiftleft", ones, lo).bitwiseAND(F.call_function("shiftrightunsigned", ones, 63 - hi))
+    kept = words.groupBy("_book", "_word").agg(F.bit_or(bits).alias("_bits"))
+    at = F.shiftright(F.col("page_no").cast("bigint"), 6) == F.col("_word")
+    is_in = F.getbit("_bits", F.col("page_no").cast("bigint").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return pages.join(kept, (F.col(book) == F.col("_book")) & at).filter(is_in).select(*pages.columns)
+
+
 def pages_of_chapters(pages: DataFrame, chapters: DataFrame, wanted: DataFrame, book: str = "book") -> DataFrame:
-    """Pages within a wanted chapter's first and last page; the book's key is an equality, so the
-    range is only compared within it."""
+    """Pages within a wanted chapter's first and last page."""
     ranges = chapters.join(wanted, [book, "number"]).select(F.col(book).alias("_book"), "start_page", "end_page")
-    within = (F.col(book) == F.col("_book")) & F.col("page_no").between(F.col("start_page"), F.col("end_page"))
-    return pages.join(ranges, within, "left_semi")
+    return _covered(pages, ranges, book)
 
 
-def pages_wanted(pages: DataFrame, chapters: DataFrame, wanted: DataFrame, book: str = "book") -> DataFrame:
+def pages_wanted(pages: DataFrame, chapters: DataFrame, wanted: DataFrame, book: str = "book", strict: bool = True) -> DataFrame:
     """Pages asked for by number: numbers are those of chapters in a book that has several, and of pages
-    in one that has not."""
+    in one that has not. There a page past the last one is an error (``strict``) or is left out."""
     several = chapters.groupBy(book).agg((F.count("*") > 1).alias("_several"))
     asked = wanted.join(several, book, "left").withColumn("_several", F.coalesce("_several", F.lit(False)))
     by_chapter = asked.filter("_several").join(chapters, [book, "number"]).select(F.col(book).alias("_book"), "start_page", "end_page")
     by_page = asked.filter("not _several").select(F.col(book).alias("_book"), F.col("number").alias("start_page"), F.col("number").alias("end_page"))
-    within = (F.col(book) == F.col("_book")) & F.col("page_no").between(F.col("start_page"), F.col("end_page"))
-    return pages.join(by_chapter.unionByName(by_page), within, "left_semi")
+    if strict:
+        total = pages.groupBy(F.col(book).alias("_book")).agg(F.max("page_no").alias("_total"))
+        seen = by_page.join(total, "_book", "left")
+        past = F.col("end_page") > F.coalesce("_total", F.lit(0))
+        said = F.concat(F.lit("page "), F.col("end_page").cast("string"), F.lit(" of book "), F.col("_book").cast("string"), F.lit(" is not there, it has "), F.coalesce("_total", F.lit(0)).cast("string"))
+        # the error is in the start of the range, which a join needs
+        by_page = seen.select("_book", F.when(past, F.raise_error(said).cast("int")).otherwise(F.col("start_page")).alias("start_page"), "end_page")
+    return _covered(pages, by_chapter.unionByName(by_page), book)
 
 
 def pair_samples(audio: DataFrame, texts: DataFrame, keep_unmatched: bool = False) -> DataFrame:
@@ -52,16 +74,18 @@ def section_files(finished: DataFrame, files: DataFrame) -> DataFrame:
 
 def resolve_voice(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Requests ``(request_id, voice, fallback)`` against ``(catalog_pos, voice)``: the voice itself, else
-    a fallback in the catalogue, else the voice as asked with up to three of its language."""
+    a fallback in the catalogue, else the voice as asked with the first three that begin with its language
+    and region, however much of the region it names."""
     names = catalog.select("voice").distinct()
     met = requests.join(names.withColumn("found", F.lit(True)), "voice", "left")
     met = met.join(names.select(F.col("voice").alias("fallback"), F.lit(True).alias("has_fallback")), "fallback", "left")
     parts = F.split("voice", "-")
     prefix = F.when(F.size(parts) >= 2, F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise("en-")
     met = met.withColumn("prefix", prefix)
-    # as many languages as the catalogue has: three voices of each are kept before the join
-    cut = F.split("voice", "-")
-    by_prefix = catalog.select("catalog_pos", "voice", F.explode(F.array(F.concat_ws("-", F.get(cut, F.lit(0)), F.get(cut, F.lit(1))), F.concat(F.get(cut, F.lit(0)), F.lit("-")))).alias("prefix"))
+    # all beginnings of a name in the catalogue, of which those asked for stay; of each the first three
+    begins = F.transform(F.sequence(F.lit(1), F.length("voice")), lambda n: F.substr("voice", F.lit(1), n))
+    by_prefix = catalog.filter(F.length("voice") > 0).select("catalog_pos", "voice", F.explode(begins).alias("prefix"))
+    by_prefix = by_prefix.join(met.select("prefix").distinct(), "prefix", "left_semi")
     first = by_prefix.withColumn("n", F.row_number().over(W.partitionBy("prefix").orderBy("catalog_pos"))).filter("n <= 3")
     first = first.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("catalog_pos", "voice"))), lambda x: x["voice"]).alias("suggestions"))
     met = met.join(first, "prefix", "left")

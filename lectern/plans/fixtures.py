@@ -54,15 +54,6 @@ UNION ALL SELECT o_custkey, CAST(1 + o_orderkey % 1000000 AS INT), c_mktsegment,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
-#: Parts as chapters of books: ten parts a book, starting a few pages apart.
-CHAPTERS = """
-SELECT CAST(p_partkey % 50 AS BIGINT) AS book, CAST(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS INT) AS number,
-  p_name AS title, CAST(floor(1 + p_partkey / 10) AS INT) AS start_page, CAST(1 + p_size % 2 AS INT) AS level FROM part
-"""
-
-#: Line items as pages of those books.
-PAGES = "SELECT DISTINCT CAST(l_partkey % 50 AS BIGINT) AS book, CAST(1 + l_orderkey % 250 AS INT) AS page_no FROM lineitem"
-
 #: Vectors as short signals of ten samples a second.
 SIGNALS = "SELECT vec_id, 10 AS rate, embedding AS samples, label FROM embeddings"
 

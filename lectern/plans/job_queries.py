@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import signal as G, text as T, time as D
 from ..operators import enrich, jobs, joins, names
 from ..sources import files as S
-from .fixtures import ATTEMPTS, CHAPTERS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, SIGNALS, derived
+from .fixtures import ATTEMPTS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, SIGNALS, derived
 from .registry import query, table
 
 _PARSED = r"""(SELECT *, try_cast(string_split(type, '_')[2] AS INT) AS section, CASE WHEN type LIKE 'SECTION_%' THEN regexp_replace(type, '^SECTION_[0-9]+_', '') END AS action FROM {CHECKPOINTS})"""
@@ -139,11 +139,6 @@ def win_failure_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("skip", "skip_failed").unionByName(count("all", "all_or_nothing"))
 
 
-@query("SELECT book, number, start_page, coalesce(lead(start_page) OVER (PARTITION BY book ORDER BY number) - 1, 250)::INT AS end_page FROM {CHAPTERS}")
-def win_chapter_end_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.chapter_end_pages(derived(spark, sf_dir, CHAPTERS).withColumn("n_pages", F.lit(250))).select("book", "number", "start_page", "end_page")
-
-
 _TOC = "(SELECT p_partkey // 10 AS book, p_partkey % 10 + 1 AS number, p_partkey % 10 * 25 + 1 AS start_page FROM part)"
 _TOC_ENDS = f"(SELECT book, number, start_page, coalesce(lead(start_page) OVER (PARTITION BY book ORDER BY number) - 1, 250) AS end_page FROM {_TOC})"
 _LINE_PAGES = "(SELECT DISTINCT l_partkey // 10 AS book, (1 + l_orderkey % 250)::INT AS page_no FROM lineitem)"
@@ -159,6 +154,11 @@ def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pages, toc
 
 
+@query(f"SELECT book, number, start_page, end_page::INT AS end_page FROM {_TOC_ENDS}")
+def win_chapter_end_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.chapter_end_pages(_books(spark, sf_dir)[1]).select("book", "number", "start_page", "end_page")
+
+
 @query(f"SELECT DISTINCT p.book, p.page_no FROM {_LINE_PAGES} p JOIN {_TOC_ENDS} c ON p.book = c.book AND p.page_no BETWEEN c.start_page AND c.end_page WHERE c.number % 3 = 0")
 def join_pages_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, toc = _books(spark, sf_dir)
@@ -332,7 +332,7 @@ def map_generation_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOICES = "SELECT n_nationkey AS catalog_pos, CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'de' END || '-' || CASE WHEN n_nationkey % 4 < 2 THEN 'US' ELSE 'DE' END || '-' || n_name AS voice FROM nation"
-_REQUESTS = "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 'en' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'de' END || '-' || CASE WHEN c_nationkey % 4 < 2 THEN 'US' ELSE 'DE' END || '-' || n_name END AS voice, CASE WHEN c_custkey % 5 = 0 THEN 'en-US-' || n_name END AS fallback FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_REQUESTS = "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 'en' WHEN c_custkey % 7 = 1 THEN 'en-U' WHEN c_custkey % 7 = 2 THEN 'de-D-x' WHEN c_custkey % 7 = 3 THEN 'de-' WHEN c_custkey % 7 = 4 THEN 'xx-YY-z' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'de' END || '-' || CASE WHEN c_nationkey % 4 < 2 THEN 'US' ELSE 'DE' END || '-' || n_name END AS voice, CASE WHEN c_custkey % 5 = 0 THEN 'en-US-' || n_name END AS fallback FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
 @query(

@@ -19,7 +19,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            for name in ("NOISY", "PARAGRAPHS", "CHECKPOINTS", "ATTEMPTS", "ORDER_SECTIONS", "CONFIG", "CHAPTERS", "PAGES", "SIGNALS"):
+            for name in ("NOISY", "PARAGRAPHS", "CHECKPOINTS", "ATTEMPTS", "ORDER_SECTIONS", "CONFIG", "SIGNALS"):
                 sql_now = getattr(fixtures, name)
                 ORACLES[f.__name__] = ORACLES.get(f.__name__, sql).replace("{" + name + "}", f"({sql_now})")
         return f
