@@ -288,6 +288,48 @@ def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.filter(differs).select("section", "key", "value_a", "value_b", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
 
 
+def config_diffs(config: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows ``(job_a, job_b, section, key, value_a, value_b, in_a, in_b)``: on which settings the jobs of each
+    pair differ. Only jobs of a pair are resolved: the layers of others end at a semi-join. The settings of
+    both jobs of a pair meet in one aggregate by pair, section and key."""
+    sides = pairs.select("job_a", "job_b").distinct().select("job_a", "job_b", F.explode(F.array(F.struct(F.col("job_a").alias("job_id"), F.lit(True).alias("is_a")), F.struct(F.col("job_b").alias("job_id"), F.lit(False).alias("is_a")))).alias("s")).select("job_a", "job_b", "s.*")
+    resolved = resolve_layers(config.join(sides.select("job_id").distinct(), "job_id", "left_semi"))
+    is_a = F.col("is_a")
+    met = resolved.join(sides, "job_id").groupBy("job_a", "job_b", "section", "key").agg(
+        F.max(F.when(is_a, F.col("value"))).alias("value_a"), F.max(F.when(~is_a, F.col("value"))).alias("value_b"), F.bool_or(is_a).alias("in_a"), F.bool_or(~is_a).alias("in_b")
+    )
+    return met.filter(~F.col("value_a").eqNullSafe(F.col("value_b")) | ~F.col("in_a") | ~F.col("in_b"))
+
+
+def settings_digest(config: DataFrame) -> DataFrame:
+    """Rows ``(job_id, digest)``: equal digests for jobs with the same settings, whatever layers they came
+    from. Each setting's SHA-256 is cut in two halves that are added up, so order does not matter and
+    nothing is gathered."""
+    each = F.sha2(F.concat_ws("\x1f", "section", "key", F.when(F.col("value").isNull(), "0").otherwise(F.concat(F.lit("1"), "value"))), 256)
+    half = lambda at: F.sum(F.conv(F.substring(each, at, 15), 16, 10).cast("decimal(38,0)"))
+    sums = resolve_layers(config).groupBy("job_id").agg(half(1).alias("a"), half(16).alias("b"), F.count("*").alias("n"))
+    return sums.select("job_id", F.concat_ws("-", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
+
+
+def changed_jobs(config: DataFrame, jobs: DataFrame, project: str, long: int = LONG) -> DataFrame:
+    """Pairs ``(project, job_a, job_b)`` of jobs that follow one another in their project, by id, and whose
+    settings differ: digests tell, so settings are compared only for these (``config_diffs``). A job
+    without settings has none that are equal to another's."""
+    told = jobs.select(project, "job_id").join(settings_digest(config), "job_id", "left").withColumn("digest", F.coalesce("digest", F.lit("none")))
+
+    def tell(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.max_by(F.struct("job_id", "digest"), "job_id").alias("_end"))
+
+    def carry(ends: DataFrame, w: WindowSpec) -> DataFrame:
+        return ends.select(project, "_stretch", F.lag("_end").over(w).alias("_last"))
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumn("_before", F.coalesce(F.lag(F.struct("job_id", "digest")).over(w), F.col("_last")))
+
+    met = running(told, [project], ["job_id"], tell, carry, add, long)
+    return met.filter(F.col("_before.digest") != F.col("digest")).select(project, F.col("_before.job_id").alias("job_a"), F.col("job_id").alias("job_b"))
+
+
 def config_value(json: Column, path: str, required: bool = False) -> Column:
     """The value at a dotted path; null, or an error if it is required, where it is absent."""
     got = F.get_json_object(json, f"$.{path}")

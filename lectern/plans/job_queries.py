@@ -294,9 +294,19 @@ _LAYERS = "(SELECT job_id, section, key, arg_max_null(value, layer) AS value FRO
     FROM (SELECT * FROM {_LAYERS} WHERE job_id = (SELECT min(c_custkey) FROM customer)) a FULL JOIN (SELECT * FROM {_LAYERS} WHERE job_id = (SELECT max(c_custkey) FROM customer)) b ON a.section = b.section AND a.key = b.key
     WHERE a.value IS DISTINCT FROM b.value OR a.key IS NULL OR b.key IS NULL""")
 def cfg_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved, ids = jobs.resolve_layers(derived(spark, sf_dir, CONFIG)), table(spark, sf_dir, "customer")
-    side = lambda f: resolved.join(ids.agg(f("c_custkey").alias("job_id")), "job_id")
-    return jobs.config_diff(side(F.min), side(F.max))
+    ends = table(spark, sf_dir, "customer").agg(F.min("c_custkey").alias("job_a"), F.max("c_custkey").alias("job_b"))
+    return jobs.config_diffs(derived(spark, sf_dir, CONFIG), ends).drop("job_a", "job_b")
+
+
+@query(f"""WITH l AS {_LAYERS}, d AS (SELECT c_nationkey AS project, c_custkey AS job_id, string_agg(section || chr(31) || key || chr(31) || coalesce('1' || value, '0'), chr(30) ORDER BY section, key) AS settings FROM customer JOIN l ON job_id = c_custkey GROUP BY ALL),
+    p AS (SELECT project, lag(job_id) OVER w AS job_a, job_id AS job_b, settings <> lag(settings) OVER w AS differ FROM d WINDOW w AS (PARTITION BY project ORDER BY job_id)), c AS (SELECT * FROM p WHERE differ),
+    a AS (SELECT job_a, job_b, section, key, value FROM c JOIN l ON l.job_id = job_a), b AS (SELECT job_a, job_b, section, key, value FROM c JOIN l ON l.job_id = job_b)
+    SELECT coalesce(a.job_a, b.job_a) AS job_a, coalesce(a.job_b, b.job_b) AS job_b, coalesce(a.section, b.section) AS section, coalesce(a.key, b.key) AS key, a.value AS value_a, b.value AS value_b, a.key IS NOT NULL AS in_a, b.key IS NOT NULL AS in_b
+    FROM a FULL JOIN b ON a.job_a = b.job_a AND a.job_b = b.job_b AND a.section = b.section AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value OR a.key IS NULL OR b.key IS NULL""")
+def cfg_changed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has changed in the settings from each job of a nation to the next."""
+    config = derived(spark, sf_dir, CONFIG)
+    return jobs.config_diffs(config, jobs.changed_jobs(config, _jobs(spark, sf_dir), "project"))
 
 
 @query("SELECT coalesce(a.profile, b.profile) AS profile, coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NOT NULL THEN b.value ELSE a.value END AS value FROM (SELECT job_id AS profile, key, max(value) AS value FROM {CONFIG} WHERE layer = 0 GROUP BY ALL) a FULL JOIN (SELECT job_id AS profile, key, max(value) AS value FROM {CONFIG} WHERE layer > 0 GROUP BY ALL) b ON a.profile = b.profile AND a.key = b.key")

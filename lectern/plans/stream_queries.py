@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import chunkers as C, joins
-from ..sources import files as S
+from ..sources import files as S, log
 from ..sources.scratch import scratch_folder
 from ..streaming import live
 from .registry import query, table
@@ -20,13 +20,11 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream to its end; each batch of a complete result takes the place of the last."""
+    """Runs the stream to its end and reads what its batches left."""
     spark = df.sparkSession
     out, checkpoint = scratch_folder(spark, "stream"), scratch_folder(spark, "checkpoint")
-    write = "overwrite" if mode == "complete" else "append"
-    q = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(out)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    live.run_to_end(df, out, checkpoint, mode)
+    return live.read_batches(spark, out, df.schema, mode)
 
 
 _TYPE = "CASE event_type WHEN 'signup' THEN 'PIPELINE_START' WHEN 'view' THEN 'SECTION_' || CAST(1 + event_id % 8 AS VARCHAR(10)) || '_START' WHEN 'click' THEN 'SECTION_' || CAST(1 + event_id % 8 AS VARCHAR(10)) || '_TTS_COMPLETE' WHEN 'purchase' THEN 'SECTION_' || CAST(1 + event_id % 8 AS VARCHAR(10)) || '_COMPLETE' ELSE 'SECTION_' || CAST(1 + event_id % 8 AS VARCHAR(10)) || '_TTS_FAILED' END"
@@ -121,13 +119,14 @@ def snk_write_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS job_id, count(*) AS logged, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def snk_append_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checkpoints appended to a log in two goes, and the log read back."""
+    """Checkpoints appended to a log in three goes, compacted between them, and the log read back."""
     events = table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id AS ord", "CAST(ts AS STRING) AS timestamp", "event_type AS type", "event_type AS message")
     folder = scratch_folder(spark, "log")
-    for part in ("ord % 2 = 0", "ord % 2 = 1"):
-        S.append_checkpoints(events.filter(part), folder)
-    log = spark.read.schema("job_id bigint, ord bigint, timestamp string, type string, message string").json(folder)
-    return log.groupBy("job_id").agg(F.count("*").alias("logged"), F.countDistinct("type").alias("kinds"))
+    for k in range(3):
+        log.append_checkpoints(events.filter(f"ord % 3 = {k}"), folder)
+        if k < 2:
+            log.compact_checkpoints(spark, folder)
+    return log.read_checkpoints(spark, folder).groupBy("job_id").agg(F.count("*").alias("logged"), F.countDistinct("type").alias("kinds"))
 
 
 def _files(df: DataFrame, label: str) -> str:

@@ -169,11 +169,6 @@ def read_sections(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, file_name string, folder int").parquet(path).drop("folder")
 
 
-def append_checkpoints(df: DataFrame, path: str) -> None:
-    """Adds lines to a log that is never rewritten."""
-    df.select("job_id", "ord", "timestamp", "type", "message").write.mode("append").json(path)
-
-
 # ---- filters ------------------------------------------------------------------------------------
 
 

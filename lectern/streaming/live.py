@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import text as T
@@ -26,6 +27,26 @@ def resumable_pipeline(docs: DataFrame, sink: str, checkpoint: str, cut: Callabl
     return chunks.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
+def batch_writer(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: a batch is written under its number and takes the place of what an
+    earlier try of it wrote, so a batch that is run again after a failure stands once."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch_id={number}")
+
+
+def run_to_end(df: DataFrame, folder: str, checkpoint: str, mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Takes the stream in until nothing is left, batch by batch."""
+    out = df.writeStream.foreachBatch(write or batch_writer(folder)).outputMode(mode).option("checkpointLocation", checkpoint)
+    out.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_batches(spark: SparkSession, folder: str, schema: StructType, mode: str = "append") -> DataFrame:
+    """What the batches wrote; of a complete result the newest holds."""
+    rows = spark.read.schema(StructType([*schema, StructField("batch_id", LongType())])).parquet(folder)
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("batch_id").alias("batch_id")), "batch_id")
+    return rows.select(*schema.names)
+
+
 def live_section_state(events: DataFrame) -> DataFrame:
     """Current section and number of sections completed for each job, as checkpoints arrive (update
     mode). It takes maxima by ordinal, so late checkpoints change nothing but what they should."""
@@ -37,14 +58,57 @@ def live_section_state(events: DataFrame) -> DataFrame:
     )
 
 
+class _Sections(StatefulProcessor):
+    """Keeps of a job the section it is at, with the ordinal that told so, and the sections completed; all
+    of it goes when the job ends, or after a time without checkpoints."""
+
+    def __init__(self, end: str, idle_ms: int | None):
+        self.end, self.idle_ms = end, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "ord bigint, section int", ttlDurationMs=self.idle_ms)
+        self.done = handle.getMapState("done", "section int", "ord bigint", ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self.place.get() if self.place.exists() else None
+        ended = False
+        for batch in rows:
+            ended = ended or bool((batch["type"] == self.end).any())
+            known = batch[batch["section"].notna() & batch["action"].isin((*CURRENT_ACTIONS, "COMPLETE"))]
+            if len(known):
+                newest = known.loc[known["ord"].idxmax()]
+                if at is None or newest["ord"] >= at[0]:
+                    at = int(newest["ord"]), None if newest["action"] == "COMPLETE" else int(newest["section"])
+            for section, order in known[known["action"] == "COMPLETE"].groupby("section")["ord"].max().items():
+                self.done.updateValue((int(section),), (int(order),))
+        completed = sorted(k[0] for k in self.done.keys()) if self.done.exists() else []
+        if ended:
+            self.place.clear()
+            self.done.clear()
+        elif at is not None:
+            self.place.update(at)
+        yield pd.DataFrame({"job_id": [key[0]], "current": pd.array([at[1] if at else None], dtype="Int32"), "completed": [completed], "ended": [ended]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_sections(events: DataFrame, end: str = "PIPELINE_COMPLETE", idle_ms: int | None = None) -> DataFrame:
+    """As ``live_section_state``, a row for each job that a batch tells of (update mode), with ``ended``:
+    whether the checkpoint ``end`` has come. Then the job's state is dropped, as it is after ``idle_ms``
+    without a checkpoint if that is given; what comes later begins anew. Needs ``ROCKSDB``."""
+    rows = parsed(events).select("job_id", "ord", "type", "section", "action")
+    return rows.groupBy("job_id").transformWithStateInPandas(_Sections(end, idle_ms), outputStructType="job_id bigint, current int, completed array<int>, ended boolean", outputMode="Update", timeMode="ProcessingTime" if idle_ms else "None")
+
+
 class _LastSteps(StatefulProcessor):
-    """Keeps the newest step times of a job, by ordinal, in list state."""
+    """Keeps the newest step times of a job, by ordinal, in list state, until nothing remains."""
 
-    def __init__(self, kept: int = 3):
-        self.kept = kept
+    def __init__(self, kept: int = 3, idle_ms: int | None = None):
+        self.kept, self.idle_ms = kept, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getListState("steps", "ord bigint, seconds double")
+        self.steps = handle.getListState("steps", "ord bigint, seconds double", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         steps = [(int(o), float(s)) for o, s in self.steps.get()] if self.steps.exists() else []
@@ -55,40 +119,68 @@ class _LastSteps(StatefulProcessor):
             newest = batch.sort_values("ord").iloc[-1]
             if remaining is None or newest["ord"] >= remaining[0]:
                 remaining = newest["ord"], newest["remaining"]
-        self.steps.put(steps)
+        if remaining[1] > 0:
+            self.steps.put(steps)
+        else:
+            self.steps.clear()
         yield pd.DataFrame({"job_id": [key[0]], "ord": [steps[-1][0]], "eta_s": [sum(s for _, s in steps) / len(steps) * float(remaining[1])]})
 
     def close(self) -> None:
         pass
 
 
-def live_eta(steps: DataFrame) -> DataFrame:
+def live_eta(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Steps ``(job_id, ord, seconds, remaining)`` to the time left after each batch: the mean of the last
-    three steps for what remains. The session must use the RocksDB state store (``ROCKSDB``)."""
-    return steps.groupBy("job_id").transformWithStateInPandas(_LastSteps(), outputStructType="job_id bigint, ord bigint, eta_s double", outputMode="Update", timeMode="None")
-
-
-def dedup_checkpoints(events: DataFrame, delay: str = "10 seconds", start: str = "PIPELINE_START") -> DataFrame:
-    """Without the start events of a job whose start before, dropped or not, is at most ``delay`` older;
-    all others pass. The last start time of each job is kept in state, so the result is the same for
-    any number of batches in time order. A start that comes after a later one, or without a time, passes.
-    The starts of a job in one batch are sorted in memory."""
+    three steps for what remains. The state of a job is dropped when nothing remains, or after ``idle_ms``
+    without a step if that is given. The session must use the RocksDB state store (``ROCKSDB``)."""
+    return steps.groupBy("job_id").transformWithStateInPandas(_LastSteps(idle_ms=idle_ms), outputStructType="job_id bigint, ord bigint, eta_s double", outputMode="Update", timeMode="ProcessingTime" if idle_ms else "None")
+
+
+def dedup_checkpoints(events: DataFrame, delay: str = "10 seconds", start: str = "PIPELINE_START", lateness: str = "1 day") -> DataFrame:
+    """Without the start events of a job that come at most ``delay`` after another, dropped or not; all
+    other events pass, and so do starts without a time. The result is the same for any number of batches
+    in time order.
+
+    Time is cut into slots a little longer than the delay: of a job's starts in a slot only the first can
+    stay, and it does unless one of the slot before is near enough. So the key is job and slot, not the
+    job; each start also goes to the next slot, where only its time is kept; a task holds one row a key at
+    a time. A slot's state is dropped when the watermark, ``lateness`` behind the newest event, has passed
+    the slot after it; starts that come still later are dropped with it.
+    """
     within = int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1))
+    width = within + 1
+    events = events.withWatermark("ts", lateness)
     begins = F.coalesce((F.col("type") == start) & F.col("ts").isNotNull(), F.lit(False))
     columns = events.columns
 
-    def first_of_each(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["_at", "ord"], kind="stable")
-        last = state.get[0] if state.exists else None
-        gap = rows["_at"].diff()
-        if last is not None:
-            gap.iloc[0] = rows["_at"].iloc[0] - last
-            gap = gap.where(rows["_at"].shift() >= last, rows["_at"] - last)
-        state.update((max(int(rows["_at"].iloc[-1]), last if last is not None else -(2**63)),))
-        yield rows.loc[~gap.between(0, within).to_numpy(), columns]
+    def first_of_slot(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, before = state.get if state.exists else (None, None)
+        kept = None
+        for rows in batches:
+            told = rows.loc[rows["_told"], "_at"]
+            if len(told):
+                before = max(int(told.max()), before if before is not None else -(2**63))
+            own = rows[~rows["_told"]]
+            if len(own):
+                best = own.sort_values(["_at", "ord"], kind="stable").iloc[:1]
+                at = int(best["_at"].iloc[0])
+                if first is None or at < first:
+                    first, kept = at, best
+                elif kept is not None and at == first and best["ord"].iloc[0] < kept["ord"].iloc[0]:
+                    kept = best
+        state.update((first, before))
+        state.setTimeoutTimestamp(max((int(key[1]) + 2) * width // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if kept is not None and (before is None or first - before > within):
+            yield kept[columns]
 
     starts = events.filter(begins).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    kept = starts.groupBy("job_id").applyInPandasWithState(first_of_each, events.schema, "last bigint", "append", "NoTimeout")
+    slot = F.floor(F.col("_at") / width).cast("bigint")
+    both = F.explode(F.array(F.struct(slot.alias("_slot"), F.lit(False).alias("_told")), F.struct((slot + 1).alias("_slot"), F.lit(True).alias("_told"))))
+    dealt = starts.withColumn("_s", both).select(*columns, "_at", "_s._slot", "_s._told")
+    kept = dealt.groupBy("job_id", "_slot").applyInPandasWithState(first_of_slot, events.schema, "first bigint, before bigint", "append", "EventTimeTimeout")
     return events.filter(~begins).unionByName(kept)
 
 

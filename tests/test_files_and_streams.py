@@ -1,13 +1,15 @@
 """Files that the tests write, and streams that must equal their batch forms."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions import signal as G
 from lectern.operators import enrich, jobs, joins
-from lectern.sources import files as S
+from lectern.sources import files as S, log as logs
 from lectern.streaming import live
 
 
@@ -52,8 +54,8 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in S.read_sections(spark, str(tmp_path / "sections"), "doc_id int, section_no int, text string").orderBy("section_no").collect()] == [(1, 1, "a", "section_001.txt"), (1, 2, "b", "section_002.txt")]
     log = spark.createDataFrame([(1, 0, "t", "PIPELINE_START", "m")], "job_id int, ord int, timestamp string, type string, message string")
     for _ in range(2):
-        S.append_checkpoints(log, str(tmp_path / "log"))
-    assert spark.read.json(str(tmp_path / "log")).count() == 2
+        logs.append_checkpoints(log, str(tmp_path / "log"))
+    assert logs.read_checkpoints(spark, str(tmp_path / "log")).count() == 2
     parts = spark.createDataFrame([(1, 1, " "), (2, 1, "a")], "doc int, ord int, text string")
     assert [r.doc for r in S.rejected_documents(parts, "doc", "text").collect()] == [1]
 
@@ -206,3 +208,144 @@ def test_generation_and_rewind_edges(spark):
     assert {r.k: r.batch for r in jobs.compact_ranges(ranges, "k", "n").collect()} == {"a": "batch4", "b": "batch1-3_5-6"}
     with pytest.raises(Exception, match="missing configuration"):
         spark.range(1).select(jobs.config_value(F.lit('{"a": {}}'), "a.b", required=True)).collect()
+
+
+def test_a_log_of_a_thousand_files_is_read_as_few(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lines = lambda a, b: spark.range(a, b, 1, 1).selectExpr("id % 3 AS job_id", "id AS ord", "'t' AS timestamp", "'x' AS type", "CAST(id AS STRING) AS message")
+    lines(0, 1000).write.option("maxRecordsPerFile", 1).json(f"{path}/tail")
+    assert len(logs.read_checkpoints(spark, path).inputFiles()) == 1000
+    assert logs.compact_checkpoints(spark, path) == 1
+    logs.append_checkpoints(lines(1000, 1010), path)
+    read = logs.read_checkpoints(spark, path)
+    assert len(read.inputFiles()) <= 4 and sorted(r.ord for r in read.collect()) == list(range(1010))
+    assert logs.compact_checkpoints(spark, path, file_rows=600) == 2 and len(logs.read_checkpoints(spark, path).inputFiles()) <= 3
+    assert sorted(r.ord for r in logs.read_checkpoints(spark, path).collect()) == list(range(1010))
+    assert logs.read_checkpoints(spark, str(tmp_path / "none")).collect() == [] and logs.compact_checkpoints(spark, str(tmp_path / "none")) == 0
+
+
+@pytest.mark.parametrize("stage", ["before the list", "before deleting"])
+def test_a_compaction_cut_short_changes_nothing(spark, tmp_path, stage):
+    import shutil
+
+    path = tmp_path / "log"
+    for i in range(3):
+        logs.append_checkpoints(spark.createDataFrame([(1, i, "t", "x", "m")], logs.CHECKPOINTS), str(path))
+    shutil.copytree(path / "tail", tmp_path / "kept")
+    logs.compact_checkpoints(spark, str(path))
+    shutil.rmtree(path / "tail")
+    shutil.copytree(tmp_path / "kept", path / "tail")
+    if stage == "before the list":
+        shutil.rmtree(path / "listed-1")
+    logs.append_checkpoints(spark.createDataFrame([(1, 9, "t", "x", "m")], logs.CHECKPOINTS), str(path))
+    for _ in range(2):
+        assert sorted(r.ord for r in logs.read_checkpoints(spark, str(path)).collect()) == [0, 1, 2, 9]
+        logs.compact_checkpoints(spark, str(path))
+
+
+def test_a_batch_that_fails_after_its_write_stands_once(spark, tmp_path):
+    where, out, at = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10, 1, 1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(where)
+    write, failed = live.batch_writer(out), []
+
+    def once(batch, number):
+        write(batch, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the write")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        live.run_to_end(stream, out, at, write=once)
+    live.run_to_end(stream, out, at, write=once)
+    assert failed == [1] and sorted(r.id for r in live.read_batches(spark, out, stream.schema).collect()) == list(range(30))
+
+
+def test_ended_calls_are_not_made_again(spark, tmp_path):
+    """A task dies in the first run; the second calls for its chunks alone, and for failed ones if asked."""
+    log, seen, poison = str(tmp_path / "log"), tmp_path / "seen", tmp_path / "poison"
+    seen.mkdir()
+    poison.write_text("")
+
+    def make():
+        import os
+        import time
+        import uuid
+
+        def call(text):
+            if text == "c13" and poison.exists():
+                time.sleep(3)
+                os._exit(1)
+            (seen / f"{text}-{uuid.uuid4().hex}").write_text("")
+            return None if text == "c5" else float(len(text))
+
+        return call
+
+    df = spark.range(40).selectExpr("id", "concat('c', id) AS text", "id * 2 AS more")
+    with pytest.raises(Exception):
+        enrich.enrich_once(df, make, log, "id", chunks_per_task=4, retry_attempts=1).collect()
+    ended = {r.id for r in spark.read.option("recursiveFileLookup", "true").parquet(log).collect()}
+    poison.unlink()
+    got = enrich.enrich_once(df, make, log, "id", chunks_per_task=4, retry_attempts=1).collect()
+    made = lambda: Counter(p.name.partition("-")[0] for p in seen.iterdir())
+    assert len(got) == 40 and all(r.success == (r.id != 5) and r.more == 2 * r.id for r in got)
+    assert len(ended) >= 4 and all(made()[f"c{i}"] == 1 for i in ended) and set(made()) == {f"c{i}" for i in range(40)}
+    before = sum(made().values())
+    assert len(enrich.enrich_once(df, make, log, "id").collect()) == 40 and sum(made().values()) == before
+    again = enrich.enrich_once(df, make, log, "id", again=True, retry_attempts=1).filter("id = 5").first()
+    assert sum(made().values()) == before + 1 and (again.success, again.error) == (False, "no result")
+
+
+def test_calls_side_by_side(spark):
+    import threading
+
+    def make():
+        both = threading.Barrier(2, timeout=20)
+
+        def call(text):
+            both.wait()
+            return 1.0
+
+        return call
+
+    df = spark.range(4).selectExpr("id", "'x' AS text").coalesce(1)
+    assert [r.success for r in enrich.enrich_chunks(df, make, parallel=2).collect()] == [True] * 4
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_state_of_an_ended_job_is_gone(spark, tmp_path, batches):
+    pytest.importorskip("google.protobuf")
+    kinds = ["PIPELINE_START", "SECTION_1_START", "SECTION_1_COMPLETE", "SECTION_2_START", "SECTION_2_TTS_COMPLETE", "SECTION_2_COMPLETE", "SECTION_3_START", "PIPELINE_COMPLETE"]
+    made = spark.createDataFrame([(j, o, k) for j in (1, 2) for o, k in enumerate(kinds) if not (j == 2 and o == 7)], "job_id bigint, ord bigint, type string")
+    for i in range(batches):
+        made.filter(f"ord * {batches} div 8 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id bigint, ord bigint, type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, progress = str(tmp_path / "out"), []
+    q = live.live_sections(stream).writeStream.foreachBatch(live.batch_writer(out)).outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    progress = [p for p in q.recentProgress if p["stateOperators"]]
+    rows = live.read_batches(spark, out, StructType.fromDDL("job_id bigint, current int, completed array<int>, ended boolean, batch_id bigint")).orderBy("batch_id").collect()
+    last = {r.job_id: (r.current, r.completed, r.ended) for r in rows}
+    assert last == {1: (3, [1, 2], True), 2: (3, [1, 2], False)}
+    # of the second job its place and two sections; nothing of the first
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 3
+    steps = spark.createDataFrame([(1, 0, 2.0, 1), (1, 1, 4.0, 0), (2, 0, 2.0, 1)], "job_id bigint, ord bigint, seconds double, remaining bigint")
+    steps.coalesce(1).write.parquet(str(tmp_path / "steps"))
+    eta = live.live_eta(spark.readStream.schema(steps.schema).parquet(str(tmp_path / "steps")))
+    q2 = eta.writeStream.format("memory").queryName(f"ended_{batches}").outputMode("update").trigger(availableNow=True).start()
+    q2.awaitTermination(120)
+    assert {r.job_id: r.eta_s for r in spark.table(f"ended_{batches}").collect()} == {1: 0.0, 2: 2.0}
+
+
+def test_only_pairs_asked_for_are_resolved(spark):
+    rows = [(j, 0, "s", k, v) for j in range(6) for k, v in (("a", "1"), ("b", str(j // 2)), ("c", None))] + [(1, 1, "s", "a", "2"), (3, 1, "s", "d", None)]
+    config = spark.createDataFrame(rows, "job_id int, layer int, section string, key string, value string")
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5), (0, 5)], "job_a int, job_b int")
+    got = sorted((r.job_a, r.job_b, r.key, r.value_a, r.value_b, r.in_a, r.in_b) for r in jobs.config_diffs(config, pairs).collect())
+    assert got == [(0, 1, "a", "1", "2", True, True), (0, 5, "b", "0", "2", True, True), (2, 3, "d", None, None, False, True)]
+    project = spark.createDataFrame([(j, "p") for j in range(7)], "job_id int, p string")
+    for long in (1_000_000, 2):
+        assert sorted((r.job_a, r.job_b) for r in jobs.changed_jobs(config, project, "p", long=long).collect()) == [(0, 1), (1, 2), (2, 3), (3, 4), (5, 6)]
+    plan = jobs.config_diffs(config, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [job_id") < plan.index("LeftSemi")
