@@ -27,9 +27,10 @@ from .shared import one_thread, slices, stored
 
 #: Parts of a sequence above which a length is large, each with its number of groups, in the order in
 #: which they are tried.
-THRESHOLDS = ((1 / 3, 96), (1 / 6, 64), (1 / 10, 48))
-#: Parts of a solution that are carried out where small pieces are enough for the room beside it.
-PARTS = (1 / 2, 1 / 4, 1 / 8, 1 / 16)
+THRESHOLDS = ((1 / 3, 96), (1 / 3, 160), (1 / 6, 64), (1 / 10, 48))
+#: Parts of a solution that are carried out, in the order in which they are tried: all of it, or less where
+#: what its configurations lose by rounding costs sequences.
+PARTS = (1, 4 / 5, 3 / 5)
 #: Room, as a part of a sequence, that small pieces can be counted on to fill.
 USABLE = 5 / 32
 #: Pieces that a Python worker keeps.
@@ -285,10 +286,11 @@ def _carry_out(bins: _Bins, rest: dict[int, int], used: list[tuple[list[int], in
             bins.add(count, have)
 
 
-def _scheme(histogram: dict[int, int], capacity: int, large: float, groups: int, part: float) -> tuple[_Bins, bool]:
-    """The sequences of one threshold, and whether ``part`` had a say in them. Where configurations need more sequences than the tokens fill,
-    half of a solution is carried out, what is left is grouped anew, with finer groups as it is less,
-    and so on. Elsewhere ``part`` of one solution is carried out, which leaves best fit its choice."""
+def _scheme(histogram: dict[int, int], capacity: int, large: float, groups: int, part: float) -> tuple[_Bins, int, bool]:
+    """The sequences of one threshold, how many of them configurations set, and whether ``part`` had a say.
+    That part of each number of the solution, rounded down, is carried out. Where configurations need more
+    sequences than the tokens fill, it is half, and what is left is grouped anew, with finer groups as it is
+    less, and so on until nothing more is carried out. The small pieces, and large ones that are left, go by best fit into the rooms."""
     bins, rest = _Bins(capacity), dict(histogram)
     sequences = -(-sum(a * n for a, n in histogram.items() if a < capacity) // capacity)
     usable, short, last = int(USABLE * capacity), False, False
@@ -309,37 +311,43 @@ def _scheme(histogram: dict[int, int], capacity: int, large: float, groups: int,
         _carry_out(bins, stock, used, capacity, capacity + 1 if short else usable)
         rest |= stock
         last = not short or not used
+    planned = bins.count()
     for length in sorted(rest, reverse=True):
         bins.best_fit(length, rest[length])
-    return bins, not short
+    return bins, planned, not short
 
 
-def plan(histogram: dict[int, int], capacity: int, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> dict[str, np.ndarray]:
-    """Runs: pieces of ``length`` with ranks ``rank``..``rank+count-1`` go to sequences
-    ``sequence``..``sequence+count-1``, at ``offset`` in each.
+def chosen(histogram: dict[int, int], capacity: int, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> tuple[_Bins, int]:
+    """The sequences of the plan, and how many of them configurations set.
 
-    What is large is settled by trial: the thresholds in turn, until a plan needs no more sequences
-    than best fit would and at most a thousandth more than the tokens fill; else the plan of the fewest
-    sequences. The last threshold is one half, above which no configuration has two places, so a plan
-    never has more sequences than best fit.
+    What is large, and how much of a solution is carried out, is settled by trial, in the order of
+    ``thresholds`` and ``PARTS``: until a plan needs no more sequences than best fit alone would and at
+    most a thousandth more than the tokens fill; else the plan of the fewest sequences. Best fit alone is
+    the last of the plans, with one half as its threshold, above which no configuration has two places.
     """
-    histogram = {a: n for a, n in histogram.items() if n}
-    if histogram and (max(histogram) > capacity or min(histogram) < 1):
-        raise ValueError("a piece is longer than a sequence, or empty")
-    plain, _ = _scheme(histogram, capacity, 1 / 2, 1, 1)
+    plain, *_ = _scheme(histogram, capacity, 1 / 2, 1, 1)
     fills = -(-sum(a * n for a, n in histogram.items()) // capacity)
-    bins, fewest = plain, plain.count() + 1
+    enough = min(plain.count(), fills + fills // 1000)
+    best: tuple[_Bins, int] | None = None
     for large, groups in thresholds:
         for part in PARTS:
-            made, more = _scheme(histogram, capacity, large, groups, part)
-            if made.count() < fewest:
-                bins, fewest = made, made.count()
-            if not more or fewest <= min(plain.count(), fills + fills // 1000):
+            bins, planned, partly = _scheme(histogram, capacity, large, groups, part)
+            if best is None or bins.count() < best[0].count():
+                best = bins, planned
+            if best[0].count() <= enough:
+                return best
+            if not partly:
                 break
-        if fewest <= min(plain.count(), fills + fills // 1000):
-            break
-    if fewest > plain.count():
-        bins = plain
+    return best if best is not None and best[0].count() <= plain.count() else (plain, 0)
+
+
+def plan(histogram: dict[int, int], capacity: int, thresholds: tuple[tuple[float, int], ...] = THRESHOLDS) -> dict[str, np.ndarray]:
+    """Runs: pieces of ``length`` with ranks ``rank``..``rank+count-1`` go to sequences
+    ``sequence``..``sequence+count-1``, at ``offset`` in each. Never more sequences than best fit alone."""
+    histogram = {a: n for a, n in histogram.items() if n}
+    if histogram and (max(histogram) > capacity or min(histogram) < 1):
+        raise ValueError("a piece is longer than a sequence, or empty")
+    bins, _ = chosen(histogram, capacity, thresholds)
     runs, ranks, sequence = [], dict.fromkeys(histogram, 0), 0
     for room in bins.rooms:
         for count, held in bins.by_room[room]:

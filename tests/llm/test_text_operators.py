@@ -148,6 +148,19 @@ LENGTHS = {
 }
 
 
+@pytest.mark.parametrize(("lo", "hi", "share"), [(150, 520, 0.95), (200, 700, 0.95), (1, 1025, 0.3)])
+def test_configurations_set_a_share_of_the_sequences(lo, hi, share):
+    """How many of the sequences that hold several pieces come out of configurations, not of best fit: nearly
+    all where there are no small pieces, a third of those of lengths even on all sizes."""
+    values, counts = np.unique(np.random.default_rng(1).integers(lo, hi, 20_000), return_counts=True)
+    histogram = dict(zip(values.tolist(), counts.tolist()))
+    bins, planned = packing.chosen(histogram, 1024)
+    plain, *_ = packing._scheme(histogram, 1024, 1 / 2, 1, 1)
+    several = sum(n for classes in bins.by_room.values() for n, held in classes if len(held) > 1)
+    assert bins.count() <= plain.count() and planned >= share * several
+    assert lo == 1 or bins.count() < plain.count()
+
+
 @pytest.mark.parametrize("kind", LENGTHS)
 def test_plan_is_never_worse_than_best_fit(kind):
     values, counts = np.unique(LENGTHS[kind](np.random.default_rng(3)), return_counts=True)
