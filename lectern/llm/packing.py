@@ -27,7 +27,7 @@ from .shared import one_thread, slices, stored
 
 #: Parts of a sequence above which a length is large, each with its number of groups, in the order in
 #: which they are tried.
-THRESHOLDS = ((1 / 3, 96), (1 / 3, 160), (1 / 6, 64), (1 / 10, 48))
+THRESHOLDS = ((1 / 3, 96), (1 / 4, 80), (1 / 6, 64), (1 / 10, 48))
 #: Parts of a solution that are carried out, in the order in which they are tried: all of it, or less where
 #: what its configurations lose by rounding costs sequences.
 PARTS = (1, 4 / 5, 3 / 5)
