@@ -13,16 +13,16 @@ OUTCOME = "success boolean, attempts int, error string, payload double"
 
 
 def calls(
-    make: Callable[[], Callable[[str], float | None]], text: Column,
-    retry_attempts: int = 3, retry_delay: float = 0.0, accept: Callable[[str, float], bool] | None = None, parallel: int = 1,
+    make: Callable[[], Callable[..., float | None]], text: Column,
+    retry_attempts: int = 3, retry_delay: float = 0.0, accept: Callable[[str, float], bool] | None = None, parallel: int = 1, numbered: bool = False,
 ) -> Column:
     """The outcomes of a function on a text column, which alone goes to Python."""
 
-    def call(function: Callable[[str], float | None], value: str) -> tuple[bool, int, str | None, float | None]:
+    def call(function: Callable[..., float | None], value: str) -> tuple[bool, int, str | None, float | None]:
         error = None
         for attempt in range(1, retry_attempts + 1):
             try:
-                payload = function(value)
+                payload = function(value, attempt) if numbered else function(value)
                 if payload is not None and (accept is None or attempt == retry_attempts or accept(value, payload)):
                     return True, attempt, None, payload
                 error = "no result" if payload is None else "refused"
@@ -43,13 +43,15 @@ def calls(
     return outcomes.asNondeterministic()(text)
 
 
-def enrich_chunks(df: DataFrame, make: Callable[[], Callable[[str], float | None]], text: str = "text", **policy) -> DataFrame:
+def enrich_chunks(df: DataFrame, make: Callable[[], Callable[..., float | None]], text: str = "text", **policy) -> DataFrame:
     """``df`` with ``success``, ``attempts``, ``error`` and ``payload`` of a function that may fail.
 
     ``make`` is called once for each task and gives the function (a client is set up there, not for
     each chunk). An exception or None is a failure and tried again up to ``retry_attempts`` times, after
     ``retry_delay`` seconds; with ``accept`` a payload it refuses is tried again as well, but taken on the
     last attempt. So many calls of a task run at a time as ``parallel`` says; the function must bear that.
+    With ``numbered`` the function is given the number of the attempt too, from 1: it cannot tell that from
+    the texts, as equal texts that follow one another may be one object.
     Whether failures stop a job is for ``halt_at_first_failure`` to say.
     """
     return df.withColumn("_outcome", calls(make, F.col(text), **policy)).select(*df.columns, "_outcome.*")

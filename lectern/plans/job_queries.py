@@ -493,17 +493,10 @@ def udf_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     with none, so that the last is taken."""
 
     def make():
-        tries = {"text": None, "n": 0}
-
-        def call(text: str) -> float:
-            tries["n"] = tries["n"] + 1 if tries["text"] is text else 1
-            tries["text"] = text
-            return float(tries["n"])
-
-        return call
+        return lambda text, attempt: float(attempt)
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gated = enrich.enrich_chunks(docs, make, accept=lambda text, payload: len(text) % 2 == 0 and payload >= 2)
+    gated = enrich.enrich_chunks(docs, make, accept=lambda text, payload: len(text) % 2 == 0 and payload >= 2, numbered=True)
     return gated.select("doc_id", "payload", "success", "attempts")
 
 

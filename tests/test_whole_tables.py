@@ -59,3 +59,10 @@ def test_a_long_log_is_written_in_parts(spark, tmp_path):
     stream_queries._write_progress(events, str(tmp_path / "log"), ids=10)
     read = S.read_progress_logs(spark, str(tmp_path / "log"))
     assert read.count() == 50 and sorted(r["count"] for r in read.groupBy("path").count().collect()) == [5] * 10
+
+
+def test_equal_texts_in_a_row_are_tried_each_for_itself(spark, tmp_path):
+    texts = ["odd", "odd", "odd", "even", "even", "even", "even", None, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["udf_quality_gate"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.payload, r.success, r.attempts) for r in got] == [(n, True, n) for n in (3, 3, 3, 2, 2, 2, 2, 3, 3)]
