@@ -421,8 +421,10 @@ def flt_jobs_needing_preprocessing(spark: SparkSession, sf_dir: str) -> DataFram
 _ROUND = "list_transform({}, lambda x: round(x, 5) + 0)"
 
 
-def _rounded(c):
-    return F.transform(c, lambda x: F.round(x, 5) + 0)
+def _rounded(c, places: int = 5):
+    """Rounded as the SQL does it: scaled, rounded to an integer, scaled back. Spark's own ``round`` looks at
+    the decimal digits, so it parts from that next to halves."""
+    return F.transform(c, lambda x: F.round(x * 10.0**places) / 10.0**places + 0)
 
 
 @query("SELECT vec_id, max(abs(x)) AS peak, avg(abs(x)) AS energy, len(any_value(samples)) / 10.0::DOUBLE AS seconds FROM (SELECT vec_id, samples, unnest(samples)::DOUBLE AS x FROM {SIGNALS}) GROUP BY vec_id")
@@ -468,7 +470,7 @@ def aud_trim_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id, list(round(v, 4) + 0 ORDER BY i) AS slow FROM (SELECT vec_id, i, samples[lo + 1]::DOUBLE * (1 - (place - lo)) + samples[least(lo + 1, 63) + 1]::DOUBLE * (place - lo) AS v FROM
   (SELECT *, floor(place)::INT AS lo FROM (SELECT vec_id, samples, i, greatest((i + 0.5) * 64 / 80.0 - 0.5, 0) AS place FROM {SIGNALS}, (SELECT unnest(range(0, 80)) AS i)))) GROUP BY vec_id""")
 def aud_resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, SIGNALS).select("vec_id", F.transform(G.resample_linear(F.col("samples"), 0.8), lambda x: F.round(x, 4) + 0).alias("slow"))
+    return derived(spark, sf_dir, SIGNALS).select("vec_id", _rounded(G.resample_linear(F.col("samples"), 0.8), 4).alias("slow"))
 
 
 @query("""SELECT label, vec_id, (sum(len(samples) + 3) OVER w - (len(samples) + 3))::BIGINT AS "offset", list_concat(list_transform(samples, lambda q: q::DOUBLE), CASE WHEN lead(vec_id) OVER w IS NULL THEN [] ELSE [0.0, 0.0, 0.0]::DOUBLE[] END) AS samples

@@ -57,3 +57,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_halves_are_rounded_as_in_sql(spark, duck, tmp_path):
+    near = [(0.16221004724502563, 0.34483814239501953), (-0.04994594678282738, 0.32629817724227905), (0.030139649286866188, 0.31815841794013977), (0.011179300025105476, 0.3062821924686432)]
+    made = [(i, [float(x), top, *[0.0] * 62], 0) for i, (x, top) in enumerate(near)]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.normal for r in QUERIES["aud_normalize_quantize"](spark, str(tmp_path)).collect()}
+    here = ORACLES["aud_normalize_quantize"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[0]: r[1] for r in duck.execute(f"SELECT vec_id, normal FROM ({here})").fetchall()}
+    assert got == want and [want[i][0] for i in range(4)] == [0.44688, -0.14541, 0.09, 0.03467]
