@@ -276,8 +276,12 @@ def top_by_group(df: DataFrame, by: str, order: list[Column], n: int) -> DataFra
 
 
 def resolve_layers(config: DataFrame) -> DataFrame:
-    """The value of the highest layer for each job, section and key; a null counts as a value."""
-    return config.groupBy("job_id", "section", "key").agg(F.max_by("value", "layer").alias("value"))
+    """The value of the highest layer for each job, section and key; a null counts as a value. Of rows of
+    one layer that of the least ``place`` holds, if there is such a column, else the greatest value, so that
+    each run gives the same."""
+    tie = -F.col("place") if "place" in config.columns else F.col("value")
+    order = F.when(F.col("layer").isNotNull(), F.struct(F.col("layer"), tie.alias("tie")))
+    return config.groupBy("job_id", "section", "key").agg(F.max_by("value", order).alias("value"))
 
 
 def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -54,6 +54,14 @@ UNION ALL SELECT o_custkey, CAST(1 + o_orderkey % 1000000 AS INT), c_mktsegment,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
+#: The same with ``place``, an order's key: equal layers of a job are resolved by it, where SQL leaves them open.
+PLACED_CONFIG = """
+SELECT c_custkey AS job_id, 0 AS layer, c_mktsegment AS section, 'balance' AS key, CAST(CAST(floor(c_acctbal) AS INT) AS VARCHAR(20)) AS value, CAST(0 AS BIGINT) AS place FROM customer
+UNION ALL SELECT c_custkey, 0, c_mktsegment, 'nation', CAST(c_nationkey AS VARCHAR(20)), 0 FROM customer
+UNION ALL SELECT o_custkey, CAST(1 + o_orderkey % 1000000 AS INT), c_mktsegment, CASE WHEN o_orderkey % 3 = 0 THEN 'balance' ELSE 'priority' END,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
 #: Vectors as short signals of ten samples a second.
 SIGNALS = "SELECT vec_id, 10 AS rate, embedding AS samples, label FROM embeddings"
 

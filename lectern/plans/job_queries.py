@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import signal as G, text as T, time as D
 from ..operators import enrich, jobs, joins, names
 from ..sources import files as S
-from .fixtures import ATTEMPTS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, SIGNALS, derived
+from .fixtures import ATTEMPTS, CHECKPOINTS, CONFIG, ORDER_SECTIONS, PLACED_CONFIG, SIGNALS, derived
 from .registry import query, table
 
 _PARSED = r"""(SELECT *, try_cast(string_split(type, '_')[2] AS INT) AS section, CASE WHEN type LIKE 'SECTION_%' THEN regexp_replace(type, '^SECTION_[0-9]+_', '') END AS action FROM {CHECKPOINTS})"""
@@ -284,7 +284,7 @@ def join_missing_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT job_id, section, key, arg_max_null(value, layer) AS value FROM {CONFIG} GROUP BY job_id, section, key")
 def cfg_resolve_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.resolve_layers(derived(spark, sf_dir, CONFIG))
+    return jobs.resolve_layers(derived(spark, sf_dir, PLACED_CONFIG))
 
 
 _LAYERS = "(SELECT job_id, section, key, arg_max_null(value, layer) AS value FROM {CONFIG} GROUP BY job_id, section, key)"
@@ -295,7 +295,7 @@ _LAYERS = "(SELECT job_id, section, key, arg_max_null(value, layer) AS value FRO
     WHERE a.value IS DISTINCT FROM b.value OR a.key IS NULL OR b.key IS NULL""")
 def cfg_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "customer").agg(F.min("c_custkey").alias("job_a"), F.max("c_custkey").alias("job_b"))
-    return jobs.config_diffs(derived(spark, sf_dir, CONFIG), ends).drop("job_a", "job_b")
+    return jobs.config_diffs(derived(spark, sf_dir, PLACED_CONFIG), ends).drop("job_a", "job_b")
 
 
 @query(f"""WITH l AS {_LAYERS}, d AS (SELECT c_nationkey AS project, c_custkey AS job_id, string_agg(section || chr(31) || key || chr(31) || coalesce('1' || value, '0'), chr(30) ORDER BY section, key) AS settings FROM customer JOIN l ON job_id = c_custkey GROUP BY ALL),
@@ -305,7 +305,7 @@ def cfg_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM a FULL JOIN b ON a.job_a = b.job_a AND a.job_b = b.job_b AND a.section = b.section AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value OR a.key IS NULL OR b.key IS NULL""")
 def cfg_changed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What has changed in the settings from each job of a nation to the next."""
-    config = derived(spark, sf_dir, CONFIG)
+    config = derived(spark, sf_dir, PLACED_CONFIG)
     return jobs.config_diffs(config, jobs.changed_jobs(config, _jobs(spark, sf_dir), "project"))
 
 

@@ -67,3 +67,20 @@ def test_halves_are_rounded_as_in_sql(spark, duck, tmp_path):
     here = ORACLES["aud_normalize_quantize"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = {r[0]: r[1] for r in duck.execute(f"SELECT vec_id, normal FROM ({here})").fetchall()}
     assert got == want and [want[i][0] for i in range(4)] == [0.44688, -0.14541, 0.09, 0.03467]
+
+
+@pytest.mark.parametrize("name", ["cfg_resolve_layers", "cfg_config_diff", "cfg_changed_settings"])
+def test_of_equal_layers_the_first_order_holds(spark, tmp_path, name):
+    customers = [(i, 1, "MACHINERY", 1.0) for i in range(40)]
+    orders = [(1 + 3 * i + k * 1_000_000, i, f"{'acb'[(i + k) % 3]}-{k}", "O") for k in (0, 1, 3) for i in range(40)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    made = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderstatus string")
+    made.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
