@@ -136,51 +136,68 @@ def live_eta(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return steps.groupBy("job_id").transformWithStateInPandas(_LastSteps(idle_ms=idle_ms), outputStructType="job_id bigint, ord bigint, eta_s double", outputMode="Update", timeMode="ProcessingTime" if idle_ms else "None")
 
 
-def dedup_checkpoints(events: DataFrame, delay: str = "10 seconds", start: str = "PIPELINE_START", lateness: str = "1 day") -> DataFrame:
+def dedup_checkpoints(events: DataFrame, delay: str = "10 seconds", start: str = "PIPELINE_START", lateness: str = "1 day", block: str = "1 day", buckets: int = 256) -> DataFrame:
     """Without the start events of a job that come at most ``delay`` after another, dropped or not; all
     other events pass, and so do starts without a time. The result is the same for any number of batches
     in time order.
 
     Time is cut into slots a little longer than the delay: of a job's starts in a slot only the first can
-    stay, and it does unless one of the slot before is near enough. So the key is job and slot, not the
-    job; each start also goes to the next slot, where only its time is kept; a task holds one row a key at
-    a time. A slot's state is dropped when the watermark, ``lateness`` behind the newest event, has passed
-    the slot after it; starts that come still later are dropped with it.
+    stay, and it does unless one of the slot before is near enough. A key is a ``block`` of slots and one of
+    so many ``buckets`` of jobs, so the number of keys, each of which has its price in Python, grows with
+    time and not with jobs. Of a job and slot a key keeps the first and last time, whatever the number of
+    starts; the starts of a block's last slot go to the next block too, where only their time is kept. A
+    block's state is dropped when the watermark, ``lateness`` behind the newest event, has passed it and a
+    slot; starts that come still later are dropped with it.
     """
     within = int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1))
     width = within + 1
+    per_block = max(1, int(pd.Timedelta(block) / pd.Timedelta(microseconds=1)) // width)
     events = events.withWatermark("ts", lateness)
     begins = F.coalesce((F.col("type") == start) & F.col("ts").isNotNull(), F.lit(False))
     columns = events.columns
 
-    def first_of_slot(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def first_of_slots(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first, before = state.get if state.exists else (None, None)
-        kept = None
+        bucket, number = key
+        seen = {(job, slot): (first, last) for job, slot, first, last in zip(*state.get)} if state.exists else {}
+        kept, found = {}, []
         for rows in batches:
-            told = rows.loc[rows["_told"], "_at"]
-            if len(told):
-                before = max(int(told.max()), before if before is not None else -(2**63))
-            own = rows[~rows["_told"]]
-            if len(own):
-                best = own.sort_values(["_at", "ord"], kind="stable").iloc[:1]
-                at = int(best["_at"].iloc[0])
-                if first is None or at < first:
-                    first, kept = at, best
-                elif kept is not None and at == first and best["ord"].iloc[0] < kept["ord"].iloc[0]:
-                    kept = best
-        state.update((first, before))
-        state.setTimeoutTimestamp(max((int(key[1]) + 2) * width // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if kept is not None and (before is None or first - before > within):
-            yield kept[columns]
-
-    starts = events.filter(begins).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    slot = F.floor(F.col("_at") / width).cast("bigint")
-    both = F.explode(F.array(F.struct(slot.alias("_slot"), F.lit(False).alias("_told")), F.struct((slot + 1).alias("_slot"), F.lit(True).alias("_told"))))
-    dealt = starts.withColumn("_s", both).select(*columns, "_at", "_s._slot", "_s._told")
-    kept = dealt.groupBy("job_id", "_slot").applyInPandasWithState(first_of_slot, events.schema, "first bigint, before bigint", "append", "EventTimeTimeout")
+            rows = rows.sort_values(["_at", "ord"], kind="stable")
+            jobs = rows["job_id"].tolist() if bucket >= 0 else [None] * len(rows)
+            better = {}
+            for place, (job, slot, at, order) in enumerate(zip(jobs, rows["_slot"].tolist(), rows["_at"].tolist(), rows["ord"].tolist())):
+                first, last = seen.get((job, slot), (None, at))
+                if slot // per_block == number:
+                    if first is None or at < first or (at == first and (job, slot) in kept and order < kept[job, slot][0]):
+                        kept[job, slot] = order, len(found), place
+                        better[job, slot] = place
+                        first = at
+                seen[job, slot] = first, max(last, at)
+            if better:
+                for i, (which, place) in enumerate(better.items()):
+                    kept[which] = kept[which][0], len(found), i
+                found.append(rows.iloc[list(better.values())][columns])
+        state.update(tuple(map(list, zip(*((job, slot, first, last) for (job, slot), (first, last) in seen.items())))))
+        state.setTimeoutTimestamp(max(((int(number) + 1) * per_block + 1) * width // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        stay = [[] for _ in found]
+        for (job, slot), (_, n, place) in kept.items():
+            before = seen.get((job, slot - 1))
+            if before is None or seen[job, slot][0] - before[1] > within:
+                stay[n].append(place)
+        for rows, places in zip(found, stay):
+            if places:
+                yield rows.iloc[places]
+
+    slot, told = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / width).cast("bigint"), F.col("_slot")
+    number = F.floor(told / per_block).cast("bigint")
+    both = F.when(F.pmod(told, F.lit(per_block)) == per_block - 1, F.array(number, number + 1)).otherwise(F.array(number))
+    bucket = F.when(F.col("job_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("job_id"), F.lit(buckets)))
+    starts = events.filter(begins).select(*columns, F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), slot.alias("_slot"))
+    dealt = starts.withColumn("_bucket", bucket.cast("int")).withColumn("_block", F.explode(both))
+    job = events.schema["job_id"].dataType.simpleString()
+    kept = dealt.groupBy("_bucket", "_block").applyInPandasWithState(first_of_slots, events.schema, f"jobs array<{job}>, slots array<bigint>, firsts array<bigint>, lasts array<bigint>", "append", "EventTimeTimeout")
     return events.filter(~begins).unionByName(kept)
 
 

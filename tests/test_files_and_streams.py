@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -349,3 +350,25 @@ def test_only_pairs_asked_for_are_resolved(spark):
         assert sorted((r.job_a, r.job_b) for r in jobs.changed_jobs(config, project, "p", long=long).collect()) == [(0, 1), (1, 2), (2, 3), (3, 4), (5, 6)]
     plan = jobs.config_diffs(config, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [job_id") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("block", ["1 second", "1 minute", "1 day"])
+def test_keys_of_starts_grow_with_time_and_not_with_jobs(spark, tmp_path, block):
+    drawn = np.random.default_rng(7)
+    at = np.sort(drawn.integers(0, 400_000_000, 3000)) + 1_700_000_000_000_000
+    rows = [(int(j) if j < 900 else None, i, int(t)) for i, (j, t) in enumerate(zip(drawn.integers(0, 901, 3000) // drawn.integers(1, 90, 3000), at))]
+    made = spark.createDataFrame(rows, "job_id bigint, ord bigint, at bigint").selectExpr("job_id", "ord", "timestamp_micros(at) AS ts", "'PIPELINE_START' AS type", "'m' AS message")
+    for i in range(2):
+        made.filter(f"ord div 1500 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    name = f"starts_by_{block.split()[1]}"
+    q = live.dedup_checkpoints(stream, block=block, buckets=8).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last, want = {}, set()
+    for job, order, t in rows:
+        if job not in last or t - last[job] > 10_000_000:
+            want.add((job, order))
+        last[job] = t
+    assert {(r.job_id, r.ord) for r in spark.table(name).collect()} == want and len(want) < 2900
+    if block == "1 day":
+        assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 18
