@@ -124,11 +124,14 @@ def rejected_documents(parts: DataFrame, doc: str, text: str) -> DataFrame:
     return parts.groupBy(doc).agg(F.coalesce(F.bool_or(T.strip_edges(F.col(text)) != ""), F.lit(False)).alias("any")).filter("not any").select(doc)
 
 
-def read_progress_logs(spark: SparkSession, glob: str) -> DataFrame:
+def read_progress_logs(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
     """Rows ``(path, ord, timestamp, type, message)`` of the checkpoints of progress files; a file that
-    is not readable as JSON gives none."""
-    logs = spark.read.schema(PROGRESS).json(glob, multiLine=True, mode="PERMISSIVE").select(F.col("_metadata.file_path").alias("path"), "checkpoints")
-    return logs.select("path", F.posexplode("checkpoints").alias("ord", "c")).select("path", "ord", "c.*")
+    is not readable as JSON gives none. With ``lines`` a file has a progress record on each line, and rows
+    have its ``project`` after ``path``: a store of many jobs then has few files to list and open."""
+    logs = spark.read.schema(PROGRESS).json(glob, multiLine=not lines, mode="PERMISSIVE")
+    named = ["path", "project"] if lines else ["path"]
+    told = logs.select(F.col("_metadata.file_path").alias("path"), "project", F.posexplode("checkpoints").alias("ord", "c"))
+    return told.select(*named, "ord", "c.*")
 
 
 def read_progress(spark: SparkSession, glob: str) -> DataFrame:
@@ -143,9 +146,10 @@ def scan_assets(spark: SparkSession, folder: str, suffixes: Sequence[str] = AUDI
     return named.filter(F.col("ext").isin(*suffixes)).withColumn("mb", F.col("length") / (1024 * 1024)).orderBy(F.lower("name"))
 
 
-def read_config_snapshots(spark: SparkSession, glob: str) -> DataFrame:
-    """Rows ``(path, section, key, value)``; a value that is null stays a row. Invalid JSON is an error."""
-    raw = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "map<string,map<string,string>>", {"mode": "FAILFAST"}).alias("m"))
+def read_config_snapshots(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """Rows ``(path, section, key, value)``; a value that is null stays a row. Invalid JSON is an error. A
+    file is a snapshot, or with ``lines`` each of its lines is one."""
+    raw = spark.read.text(glob, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "map<string,map<string,string>>", {"mode": "FAILFAST"}).alias("m"))
     return raw.select("path", F.explode("m").alias("section", "keys")).select("path", "section", F.explode("keys").alias("key", "value"))
 
 

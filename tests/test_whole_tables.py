@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from lectern.plans import QUERIES, stream_queries
 from lectern.sources import files as S
@@ -66,3 +67,20 @@ def test_equal_texts_in_a_row_are_tried_each_for_itself(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["udf_quality_gate"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r.payload, r.success, r.attempts) for r in got] == [(n, True, n) for n in (3, 3, 3, 2, 2, 2, 2, 3, 3)]
+
+
+@pytest.mark.parametrize("name", ["src_config_snapshots", "src_progress_logs"])
+def test_records_of_many_jobs_share_a_file(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(stream_queries, "scratch_folder", lambda spark, label: str(tmp_path / label))
+    jobs = QUERIES[name](spark, SF).select("job_id").distinct().count()
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert jobs >= 15 and 1 <= len(files) <= 4
+
+
+def test_lines_are_records(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"project": "a", "checkpoints": [{"type": "x"}, {"type": "y"}]}\nnot json\n{"project": "b", "checkpoints": [{"type": "z"}]}\n')
+    rows = S.read_progress_logs(spark, str(tmp_path / "p.json"), lines=True).collect()
+    assert sorted((r.project, r.ord, r.type) for r in rows) == [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")]
+    (tmp_path / "c.txt").write_text('{"s": {"k": "v", "n": null}}\n{"t": {"k": "w"}}\n')
+    rows = S.read_config_snapshots(spark, str(tmp_path / "c.txt"), lines=True).collect()
+    assert {(r.section, r.key, r.value) for r in rows} == {("s", "k", "v"), ("s", "n", None), ("t", "k", "w")}
