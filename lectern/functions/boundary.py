@@ -40,11 +40,11 @@ def _ends(word: Column, endings: tuple[str, ...]) -> Column:
 
 
 def _tail(w: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit(""))), r"[.,!?\";:]+\z", "")
+    return F.rtrim(F.lower(F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit(""))), F.lit('.,!?";:'))
 
 
 def _head(w: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.try_element_at(w, F.lit(1)), F.lit(""))), r"\A\"+", "")
+    return F.ltrim(F.lower(F.coalesce(F.try_element_at(w, F.lit(1)), F.lit(""))), F.lit('"'))
 
 
 def last_word(text: Column) -> Column:
@@ -108,7 +108,7 @@ def _points(said: Column, length: Column, a: Column, b: Column) -> Column:
         return (
             points(F.endswith(said, F.lit(".")), 2.0)
             + points(F.endswith(said, F.lit('"')), 1.5)
-            + points(said.rlike(r"[!?]\z"), 1.0)
+            + points(F.endswith(said, F.lit("!")) | F.endswith(said, F.lit("?")), 1.0)
             + points(x["last"].isin(*ARTICLES), -3.0)
             + points(x["last"].isin(*SHORT_PREPOSITIONS), -2.0)
             + points(x["first"].isin(*SHORT_CONJUNCTIONS), -1.5)
@@ -144,9 +144,9 @@ def best_split(current: Column, following: Column, max_chars: int) -> Column:
 
 def gap_after(current: Column, following: Column, sentence: float = 0.4, dramatic: float = 0.55, paragraph: float = 0.55, short: float = 0.3) -> Column:
     """Seconds of silence after a chunk, by its own end and the chunk that follows."""
-    said, tail = strip_edges(current), F.lower(F.regexp_extract(strip_edges(current), r"(?s)(.{0,20})\z", 1))
+    said, tail = strip_edges(current), F.lower(F.right(strip_edges(current), F.lit(20)))
     dialogue = F.endswith(said, F.lit('"')) | F.startswith(said, F.lit('"')) | tail.contains("said") | tail.contains("replied")
     opens = F.coalesce(strip_edges(following).rlike(r"\A[\"\p{Lu}]"), F.lit(False))
     shift = F.endswith(said, F.lit(".")) & opens & _any(F.substring(F.lower(following), 1, 50), TIME_SHIFTS)
-    drama = said.contains("--") | said.rlike(r"(?:\.\.\.|[!?])\z")
+    drama = said.contains("--") | F.endswith(said, F.lit("...")) | F.endswith(said, F.lit("!")) | F.endswith(said, F.lit("?"))
     return F.when(dialogue, short).when(shift, paragraph).when(drama, dramatic).when(F.endswith(said, F.lit(".")), sentence).otherwise(short)

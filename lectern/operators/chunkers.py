@@ -161,6 +161,14 @@ def exploded(df: DataFrame, parts: Column, number: str, text: str = "text") -> D
     return df.select(*kept, F.posexplode(parts).alias("_at", text)).select(*kept, (F.col("_at") + 1).alias(number), text)
 
 
+def exploded_pairs(df: DataFrame, parts: Column, number: str, text: str = "text", following: str = "following") -> DataFrame:
+    """A row for each part but the last, numbered from 1, with the part that follows: both are in the
+    document's array, so nothing is shuffled or sorted to bring them together."""
+    kept = [c for c in df.columns if c != text]
+    pairs = T.let(parts, lambda p: F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(p, i + 1).alias("b"))))
+    return df.select(*kept, F.posexplode(pairs).alias("_at", "_pair")).select(*kept, (F.col("_at") + 1).alias(number), F.col("_pair.a").alias(text), F.col("_pair.b").alias(following))
+
+
 def split_sections(df: DataFrame, text: str = "text", target_minutes: float = 30) -> DataFrame:
     return exploded(df, section_array(F.col(text), target_minutes), "section_no", text)
 

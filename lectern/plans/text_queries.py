@@ -457,11 +457,8 @@ _ENDS = "('" + "|".join(B.ADJECTIVE_ENDINGS) + "')"
         WHEN contains(a, '--') OR a LIKE '%...' OR a LIKE '%!' OR a LIKE '%?' THEN 0.55 WHEN a LIKE '%.' THEN 0.4 ELSE 0.3 END)::DOUBLE AS gap_s FROM w"""
 )
 def scr_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     parts = C._stripped(T.split_sentences(F.col("text")))
-    s = C.exploded(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), parts, "sentence_no")
-    p = s.withColumn("b", F.lead("text").over(W.partitionBy("doc_id").orderBy("sentence_no"))).filter("b is not null")
+    p = C.exploded_pairs(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), parts, "sentence_no", following="b")
     a, b = F.col("text"), F.col("b")
     return p.select("doc_id", "sentence_no", B.split_score(a, b).alias("score"), B.is_safe_merge(a, b).alias("merge_ok"), B.gap_after(a, b).alias("gap_s"))
 
@@ -472,10 +469,8 @@ def scr_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scr_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a chunk may end between sentences, and the best cut within."""
-    from pyspark.sql import Window as W
-
-    s = C.exploded(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), C._stripped(T.split_dialogue_sentences(F.col("text"))), "sentence_no")
-    p = s.withColumn("b", F.lead("text").over(W.partitionBy("doc_id").orderBy("sentence_no"))).filter("b is not null")
+    parts = C._stripped(T.split_dialogue_sentences(F.col("text")))
+    p = C.exploded_pairs(S.spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), parts, "sentence_no", following="b")
     return p.select("doc_id", "sentence_no", B.is_safe_break(F.col("text"), F.col("b")).alias("break_ok"), B.best_split(F.col("text"), F.col("b"), 60).alias("best_words"))
 
 

@@ -84,3 +84,19 @@ def test_of_equal_layers_the_first_order_holds(spark, tmp_path, name):
     columns = [c[0] for c in want.description]
     got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["scr_boundaries", "scr_breaks"])
+def test_sentences_meet_without_a_window(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_pairs_of_parts(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import chunkers as C
+
+    df = spark.createDataFrame([(1, "a b c"), (2, "a"), (3, None), (4, "d e")], "id int, text string")
+    got = C.exploded_pairs(df, F.split("text", " "), "n", following="b").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a", "b"), (1, 2, "b", "c"), (4, 1, "d", "e")]
