@@ -15,7 +15,8 @@ WS = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 UNEVEN = f"(?:{WS.replace(' ', '', 1)}{WS}*| {WS}+)"
 #: The same as signs, and what of them is neither a space nor a newline.
 WS_SIGNS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-RARE_WS = WS.replace("\\t-\\r", "\\t\\x0b-\\r").replace(" ", "", 1)
+#: A class of many ranges is slow, so signs of the first are left by a look at that alone.
+RARE_WS = r"(?![ -~\n])(?![\u00a1-\u167f])" + WS.replace("\\t-\\r", "\\t\\x0b-\\r").replace(" ", "", 1)
 WORDS_PER_MINUTE = 150
 
 # Abbreviations and their readings.
@@ -51,6 +52,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def replaced(text: Column, sign: str, other: str) -> Column:
+    """A plain sign by another, where a search, which is cheaper, finds it."""
+    return let(text, lambda t: F.when(t.contains(sign), F.replace(t, F.lit(sign), F.lit(other))).otherwise(t))
+
+
 def quoted(word: str) -> str:
     """A word as a Java pattern that matches it alone."""
     return "".join(c if c.isalnum() or c in " '" else "\\" + c for c in word)
@@ -81,23 +87,33 @@ def independent(pairs: Sequence[tuple[str, str]]) -> bool:
     return whole and apart and not any(_met_within(u, reading) for i, (_, reading) in enumerate(folded) for u, _ in folded[i + 1 :])
 
 
-def any_of(pairs: Sequence[tuple[str, str]]) -> str:
-    """A pattern of all words, whole and without regard to case, tried only before a sign with which one
-    can begin: a letter in either case, or one that only folds to it."""
-    first = {word[0].lower() for word, _ in pairs}
+def beginning(words: Sequence[str]) -> str:
+    """A look at the next sign, whether one of the words can begin with it: a letter in either case, or one
+    that only folds to it."""
+    first = {word[0].lower() for word in words}
     signs = [chr(c) for c in range(0x3000) if chr(c).lower() in first or chr(c).upper().lower() in first or chr(c).lower()[:1] in first]
-    return rf"(?=[{''.join(signs)}])(?iU)\b(?:{'|'.join(quoted(word) for word, _ in pairs)})\b"
+    return f"(?=[{''.join(map(quoted, signs))}])"
+
+
+def any_of(pairs: Sequence[tuple[str, str]]) -> str:
+    """A pattern of all words, whole and without regard to case, tried only where one can begin."""
+    return rf"{beginning([word for word, _ in pairs])}(?iU)\b(?:{'|'.join(quoted(word) for word, _ in pairs)})\b"
 
 
 def mentions(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Whether any of the words may be there: a plain search, which spares most texts a pass for each."""
+    """Whether any of the words may be there: a plain search, which spares most texts a pass for each.
+    Words that all end in a period are looked for at periods."""
+    if all(word[-1] == "." for word, _ in pairs):
+        return text.rlike(rf"\.(?<=(?iU)(?:{'|'.join(quoted(word) for word, _ in pairs)}))")
     return let(folded_word(text), lambda folded: reduce(or_, [folded.contains(word.lower()) for word, _ in pairs]))
 
 
 def folded_word(word: Column) -> Column:
     """Words of ASCII letters in small ones, whatever letters a pattern without regard to case takes for
     them: the two odd i, the long s and the sign for kelvin."""
-    return F.lower(F.translate(word, "\u0130\u0131\u017f\u212a", "iisk"))
+    for sign, letter in zip("\u0130\u0131\u017f\u212a", "iisk"):
+        word = replaced(word, sign, letter)
+    return F.lower(word)
 
 
 def _readings(pairs: Sequence[tuple[str, str]]) -> Column:
@@ -116,7 +132,7 @@ def fold_words(text: Column, pairs: Sequence[tuple[str, str]], strict: bool = Tr
 
     def in_turn(t: Column) -> Column:
         for word, reading in pairs:
-            t = F.regexp_replace(t, rf"(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
+            t = F.regexp_replace(t, rf"{beginning([word])}(?iU)\b{quoted(word)}{end}", reading.replace("$", r"\$"))
         return t
 
     def at_once(t: Column) -> Column:
@@ -136,22 +152,37 @@ def strip_edges(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_SIGNS))
 
 
-def spaces_for_ws(text: Column) -> Column:
-    """A space for each sign of white space; rare ones are looked for before they are replaced."""
-    return let(F.replace(text, F.lit("\n"), F.lit(" ")), lambda t: F.when(t.rlike(RARE_WS), F.regexp_replace(t, WS, " ")).otherwise(t))
+def has_rare_ws(text: Column) -> Column:
+    """Whether there is white space other than spaces and newlines."""
+    return text.rlike(RARE_WS)
+
+
+def spaces_for_ws(text: Column, rare: Column | None = None) -> Column:
+    """A space for each sign of white space; rare ones are looked for before they are replaced, unless
+    ``rare`` tells whether a text can have them."""
+    return let(replaced(text, "\n", " "), lambda t: F.when(has_rare_ws(t) if rare is None else rare, F.regexp_replace(t, WS, " ")).otherwise(t))
+
+
+def _replace_by_ws(text: Column, pattern: Callable[[str], str], to: str) -> Column:
+    """Replaces a pattern that names white space: in texts without rare one it is but spaces and newlines,
+    which a small class finds in a tenth of the time."""
+    return let(text, lambda t: F.when(has_rare_ws(t), F.regexp_replace(t, pattern(WS), to)).otherwise(F.regexp_replace(t, pattern(r"[ \n]"), to)))
 
 
 def strip_bracket_refs(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{WS}*\[(?U)\d+\]", "")
+    return let(text, lambda t: F.when(t.rlike(r"\[(?U)\d+\]"), _replace_by_ws(t, lambda ws: rf"{ws}*\[(?U)\d+\]", "")).otherwise(t))
 
 
 def strip_paren_numbers(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{WS}*\((?U)\d+\)", "")
+    return let(text, lambda t: F.when(t.rlike(r"\((?U)\d+\)"), _replace_by_ws(t, lambda ws: rf"{ws}*\((?U)\d+\)", "")).otherwise(t))
 
 
 def strip_inline_numbers(text: Column) -> Column:
-    """Numbers of up to three digits between a letter, comma or period and a space, comma or period."""
-    return F.regexp_replace(text, rf"(?<=[a-zA-Z,.]){WS}*(?U)\d{{1,3}}(?=(?:{WS}|[,.]))", "")
+    """Numbers of up to three digits between a letter, comma or period and a space, comma or period; texts
+    without a digit before one of these are left."""
+    found = lambda t: t.rlike(rf"(?U)\d(?=[,.]|{WS})")
+    strip = lambda t: _replace_by_ws(t, lambda ws: rf"(?U)(?={ws}|\d)(?<=[a-zA-Z,.]){ws}*\d{{1,3}}(?=[,.]|{ws})", "")
+    return let(text, lambda t: F.when(found(t), strip(t)).otherwise(t))
 
 
 def strip_note_lines(text: Column) -> Column:
@@ -160,11 +191,11 @@ def strip_note_lines(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, UNEVEN, " "))
+    return F.trim(collapse_runs(text))
 
 
 def tighten_punct(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS}+([,.!?;:])", "$1")
+    return _replace_by_ws(text, lambda ws: f"{ws}+([,.!?;:])", "$1")
 
 
 def sentence_space(text: Column) -> Column:
@@ -173,7 +204,7 @@ def sentence_space(text: Column) -> Column:
 
 def normalize_dashes(text: Column) -> Column:
     for dash in ("—", "–", " - "):
-        text = F.replace(text, F.lit(dash), F.lit(" -- "))
+        text = replaced(text, dash, " -- ")
     return text
 
 
@@ -195,16 +226,13 @@ def universal_clean(text: Column, strict: bool = True) -> Column:
     def numbers(t: Column) -> Column:
         return strip_note_lines(strip_inline_numbers(t))
 
-    def single_spaces(t: Column) -> Column:
-        return let(F.replace(t, F.lit("\n"), F.lit(" ")), lambda t: F.trim(F.when(t.contains("  ") | t.rlike(RARE_WS), F.regexp_replace(t, UNEVEN, " ")).otherwise(t)))
-
     steps = (
         where(lambda t: t.contains("["), strip_bracket_refs),
         where(lambda t: t.contains("("), strip_paren_numbers),
         where(lambda t: t.rlike(r"(?U)\d"), numbers),
-        single_spaces,
-        where(lambda t: reduce(or_, [t.contains(f" {sign}") for sign in ",.!?;:"]), lambda t: F.regexp_replace(t, " ([,.!?;:])", "$1")),
-        where(lambda t: t.rlike("[.!?][A-Z]"), lambda t: F.regexp_replace(t, "(?<=[.!?])(?=[A-Z])", " ")),
+        collapse_ws,
+        where(lambda t: t.rlike(" [,.!?;:]"), lambda t: F.regexp_replace(t, " ([,.!?;:])", "$1")),
+        where(lambda t: t.rlike("[.!?][A-Z]"), lambda t: F.regexp_replace(t, "([.!?])(?=[A-Z])", "$1 ")),
         normalize_dashes,
     )
     for step in steps:
@@ -213,7 +241,8 @@ def universal_clean(text: Column, strict: bool = True) -> Column:
 
 
 def collapse_runs(text: Column) -> Column:
-    return F.regexp_replace(text, UNEVEN, " ")
+    """White space as single spaces. A pattern is needed only where some is left once newlines are spaces."""
+    return let(replaced(text, "\n", " "), lambda t: F.when(has_rare_ws(t), F.regexp_replace(t, UNEVEN, " ")).when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
 def apply_dictionary(text: Column, pairs: Sequence[tuple[str, str]] = PRONUNCIATION) -> Column:
@@ -251,14 +280,24 @@ def spell_symbols(text: Column) -> Column:
     return text
 
 
+#: A digit that is a word; the boundary before it is looked at once it is met.
+LONE_DIGIT = r"(?U)[0-9](?<=\b[0-9])\b"
+
+
+def spell_digits(text: Column) -> Column:
+    """Words for digits that stand alone. None of them changes what stands beside another, so all are found
+    at once: the text is parted at them."""
+    said = F.transform(F.regexp_extract_all(text, F.lit(LONE_DIGIT), F.lit(0)), lambda d: F.get(F.array(*map(F.lit, DIGIT_WORDS)), d.cast("int")))
+    return F.array_join(F.zip_with(F.split(text, LONE_DIGIT, -1), said, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def normalize_for_speech(text: Column, enabled: bool = True, abbreviations: bool = True, digits: bool = False) -> Column:
     if not enabled:
         return text
     if abbreviations:
         text = fold_words(text, SPEECH_ABBREVIATIONS)
     if digits:
-        for i, word in enumerate(DIGIT_WORDS):
-            text = F.regexp_replace(text, rf"(?U)\b{i}\b", word)
+        text = let(text, lambda t: F.when(t.rlike(LONE_DIGIT), spell_digits(t)).otherwise(t))
     return strip_edges(collapse_runs(text))
 
 
@@ -269,8 +308,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaces_for_ws(text), " "), "")
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
+def word_count(text: Column, rare: Column | None = None) -> Column:
+    """Words are counted by the single spaces between them; ``rare`` as for ``spaces_for_ws``."""
+    single = let(spaces_for_ws(text, rare), lambda t: F.trim(F.when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t)))
+    return let(single, lambda t: F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
 
 
 def est_minutes(text: Column, words_per_minute: int = WORDS_PER_MINUTE) -> Column:

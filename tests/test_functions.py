@@ -263,3 +263,39 @@ def test_all_words_at_once_equal_words_in_turn(spark, name):
         want.append(F.sum(F.regexp_count(step, F.lit(rf"(?iU)\b{T.quoted(word)}\b"))))
         step = F.regexp_replace(step, rf"(?iU)\b{T.quoted(word)}\b", reading)
     assert counts == dict(zip([w for w, _ in pairs], df.agg(*want).first()))
+
+
+ODD_TEXTS = [
+    "", " ", "\n", "a", " a  b\tc d ", "x y", "a\x1cb", "é à ü", "One. Two!  Three?\nFour. ", ". a", "a. ", "see 12, then 3. And 45 .", "a 7,b", "é 5 ç 6.7 8", "0́ 1 2a _3 4", "٣ 7 9",
+    "Dr. Who, DR. no; dr.x e.g.y E.G. ı.e. vſ. İ.e.", "Prof. Inc. Ltd. corp.", "ref [1] [٣]  (2) [3]", "a  , b \n. c ! d ;", "— – - x - y", "Page 3\n12\nab\n Page\x013 of\nabc  d\n٣٤٥\n a\x01b \np. 9\nP. 12\npaged\n\n  \nlast\x02",
+]
+
+
+def test_quick_steps_equal_the_patterns_alone(spark):
+    """Steps that look first, or have a smaller pattern for plain texts, give what one pattern a step gives."""
+    t, ws = F.col("t"), T.WS
+    in_turn = t
+    for i, word in enumerate(T.DIGIT_WORDS):
+        in_turn = F.regexp_replace(in_turn, rf"(?U)\b{i}\b", word)
+    speech, loose = t, t
+    for word, reading in T.SPEECH_ABBREVIATIONS:
+        speech = F.regexp_replace(speech, rf"(?iU)\b{T.quoted(word)}\b", reading)
+    for word, reading in T.ABBREVIATIONS:
+        loose = F.regexp_replace(loose, rf"(?iU)\b{T.quoted(word)}(?!\w)", reading)
+    uneven = f"(?:{ws.replace(' ', '', 1)}{ws}*| {ws}+)"
+    pairs = {
+        "digits": (F.when(t.rlike(T.LONE_DIGIT), T.spell_digits(t)).otherwise(t), in_turn),
+        "speech": (T.fold_words(t, T.SPEECH_ABBREVIATIONS), speech),
+        "loose": (T.expand_abbreviations(t, strict=False), loose),
+        "brackets": (T.strip_bracket_refs(t), F.regexp_replace(t, rf"{ws}*\[(?U)\d+\]", "")),
+        "parens": (T.strip_paren_numbers(t), F.regexp_replace(t, rf"{ws}*\((?U)\d+\)", "")),
+        "inline": (T.strip_inline_numbers(t), F.regexp_replace(t, rf"(?<=[a-zA-Z,.]){ws}*(?U)\d{{1,3}}(?=(?:{ws}|[,.]))", "")),
+        "runs": (T.collapse_runs(t), F.regexp_replace(t, uneven, " ")),
+        "tight": (T.tighten_punct(t), F.regexp_replace(t, f"{ws}+([,.!?;:])", "$1")),
+        "dashes": (T.normalize_dashes(t), F.replace(F.replace(F.replace(t, F.lit("—"), F.lit(" -- ")), F.lit("–"), F.lit(" -- ")), F.lit(" - "), F.lit(" -- "))),
+        "count": (T.word_count(t).cast("string"), F.size(F.array_remove(F.split(F.regexp_replace(t, ws, " "), " "), "")).cast("string")),
+    }
+    made = spark.createDataFrame([(x,) for x in ODD_TEXTS], "t string")
+    for name, (quick, plain) in pairs.items():
+        for row in made.select("t", quick.alias("a"), plain.alias("b")).collect():
+            assert row.a == row.b, (name, row)
