@@ -203,8 +203,16 @@ def page_artifact_filter(df: DataFrame, text: str = "text", mode: str = "page")
     clean = lambda t: T.strip_edges(F.regexp_replace(T.collapse_ws(t), control, ""))
     if mode == "page":
         return df.withColumn(text, clean(F.col(text))).filter(keep(F.col(text)))
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), clean), keep)
-    return df.withColumn(text, F.array_join(lines, " ")).filter(F.col(text) != "")
+    # all lines at once: signs made even within lines, lines without text worth keeping emptied, breaks made spaces
+    artifact = r"(?<![^\n]) *(?:[^\n]{0,2}|(?U)\d+(?-U)|(?i:page|p\.) *[0-9][^\n]*) *(?![^\n])"
+    within = T.WS.replace("\\t-\\r", "\\t\\x0b-\\r")
+    even = lambda t: F.when(T.has_rare_ws(t), F.regexp_replace(t, f"{within}+", " ")).when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t)
+    plain = lambda t: F.when(t.rlike(control), F.regexp_replace(t, control, "")).otherwise(t)
+    kept = T.let(T.let(F.col(text), even), plain)
+    kept = F.btrim(F.regexp_replace(F.regexp_replace(kept, artifact, ""), r" *\n[ \n]*", " "))
+    # a row is made of the text, so that a filter on it is no second copy of the work
+    made = F.explode(F.filter(F.array(kept), lambda t: t != ""))
+    return df.select(*[made.alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 def select_ordinals(df: DataFrame, requests: DataFrame, doc: str, ordinal: str, strict: bool = False) -> DataFrame:

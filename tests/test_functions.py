@@ -299,3 +299,15 @@ def test_quick_steps_equal_the_patterns_alone(spark):
     for name, (quick, plain) in pairs.items():
         for row in made.select("t", quick.alias("a"), plain.alias("b")).collect():
             assert row.a == row.b, (name, row)
+
+
+def test_artifact_lines_equal_each_line_alone(spark):
+    from lectern.sources import files as S
+
+    made = spark.createDataFrame([(x,) for x in [*ODD_TEXTS, None]], "t string")
+    control = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+    clean = lambda s: T.strip_edges(F.regexp_replace(F.trim(F.regexp_replace(s, T.UNEVEN, " ")), control, ""))
+    keep = lambda s: (F.length(s) >= 3) & ~s.rlike(r"(?U)\A\d+\z") & ~s.rlike(rf"(?i)\A(?:page|p\.){T.WS}*\d+")
+    want = made.select(F.array_join(F.filter(F.transform(F.split("t", "\n"), clean), keep), " ").alias("t")).filter("t <> ''")
+    got = S.page_artifact_filter(made, "t", mode="line")
+    assert sorted(r.t for r in got.collect()) == sorted(r.t for r in want.collect())
