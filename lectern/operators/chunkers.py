@@ -70,8 +70,17 @@ def _stripped(parts: Column) -> Column:
     return F.filter(F.transform(parts, T.strip_edges), lambda s: s != "")
 
 
-def _by_words(parts: Column, glue: str, limit: Column) -> Column:
-    units = F.transform(_stripped(parts), lambda s: _unit(s, glue, T.word_count(s)))
+def _stripped_sentences(parts: Column) -> Column:
+    """The same for what ``split_sentences`` gives: only the first can begin, only the last end in white space."""
+    def ends(p: Column) -> Column:
+        return F.transform(p, lambda s, i: F.when((i == 0) | (i == F.size(p) - 1), T.strip_edges(s)).otherwise(s))
+
+    return F.filter(T.let(parts, ends), lambda s: s != "")
+
+
+def _by_words(parts: Column, glue: str, limit: Column, rare: Column) -> Column:
+    """``rare``: whether the text that the parts, stripped, are of has rare white space."""
+    units = F.transform(parts, lambda s: _unit(s, glue, T.word_count(s, rare)))
     return _fold(units, lambda state, unit: (state["size"] == 0) | (state["size"] + unit["size"] <= limit))
 
 
@@ -80,12 +89,14 @@ def sections_by_paragraph(text: Column, target: Column, n: Column) -> Column:
     paragraphs and at least four fifths of the wanted sections."""
     none = F.array().cast("array<string>")
     enough = lambda packed: F.when(F.size(packed) >= n * 0.8, packed).otherwise(none)
-    return T.let(T.split_paragraphs(text), lambda parts: F.when(F.size(parts) >= 2, T.let(_by_words(parts, "\n\n", target * 1.3), enough)).otherwise(none))
+    some = lambda parts: T.let(T.has_rare_ws(text), lambda rare: T.let(_by_words(_stripped(parts), "\n\n", target * 1.3, rare), enough))
+    return T.let(T.split_paragraphs(text), lambda parts: F.when(F.size(parts) >= 2, some(parts)).otherwise(none))
 
 
 def sections_by_sentence(text: Column, target: Column, n: Column) -> Column:
     """Sentences packed up to 1.2 times the target; none if there are fewer sentences than sections."""
-    return T.let(T.split_sentences(text), lambda parts: F.when(F.size(parts) >= n, _by_words(parts, " ", target * 1.2)).otherwise(F.array().cast("array<string>")))
+    some = lambda parts: T.let(T.has_rare_ws(text), lambda rare: _by_words(_stripped_sentences(parts), " ", target * 1.2, rare))
+    return T.let(T.split_sentences(text), lambda parts: F.when(F.size(parts) >= n, some(parts)).otherwise(F.array().cast("array<string>")))
 
 
 def sections_by_words(text: Column, target: Column) -> Column:
@@ -123,10 +134,10 @@ def chunk_sentences_array(text: Column, max_chars: int = 150) -> Column:
     line = rf"(?s)[^ ](?:.{{0,{max_chars - 2}}}[^ ])?(?= |\z)|[^ ]+" if max_chars > 1 else "[^ ]+"
 
     def units(s: Column) -> Column:
-        lines = F.regexp_extract_all(F.array_join(T.words(s), " "), F.lit(line), F.lit(0))
+        lines = F.regexp_extract_all(T.collapse_ws(s), F.lit(line), F.lit(0))
         return F.when(F.length(s) > max_chars, F.transform(lines, lambda w, i: _unit(w, " ", F.length(w), i == 0))).otherwise(F.array(_unit(s, " ", F.length(s))))
 
-    flat = F.flatten(F.transform(_stripped(T.split_sentences(text)), units))
+    flat = F.flatten(F.transform(_stripped_sentences(T.split_sentences(text)), units))
     return _fold(flat, lambda state, unit: F.length(state["now"]) + 1 + unit["size"] <= max_chars)
 
 

@@ -20,11 +20,17 @@ PROGRESS = (
 )
 
 
+#: Rows that a task on texts should have at most, on average.
+TASK_ROWS = 10_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals an input of fewer files than cores over all of them: work on texts is heavy by the row, while
-    a reader gives a small file to one task. Tables of many files stay where they are, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Deals an input of fewer files than cores, or of large files, in tasks of a bounded number of rows:
+    work on texts is heavy by the row, while a reader gives a file, or a large stretch of one, to one task. Rows
+    are counted from the files' footers. Tables of many small files stay where they are, unshuffled."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(max(cores, tasks)) if files < max(cores, tasks) else df
 
 
 def suffix(path: Column) -> Column:
