@@ -66,8 +66,9 @@ def is_noun_like(word: Column) -> Column:
     return capital | _ends(clean, NOUN_ENDINGS) | ((F.length(clean) >= 4) & ~clean.rlike(r"(?:ly|ing|ed)\z"))
 
 
-def is_safe_break(current: Column, following: Column) -> Column:
-    """Whether a chunk may end here: eight rules, the first that applies decides."""
+def is_safe_break(current: Column, following: Column, even: bool = False) -> Column:
+    """Whether a chunk may end here: eight rules, the first that applies decides. Of ``even`` texts, whose white
+    space is single spaces within, only the words next to the break are cut out."""
     starts, ends = sorted({c.split()[0] for c in COMPOUNDS}), sorted({c.split()[-1] for c in COMPOUNDS})
 
     def rules(x: Column) -> Column:
@@ -90,14 +91,21 @@ def is_safe_break(current: Column, following: Column) -> Column:
         two = F.lower(F.array_join(F.slice(a, F.greatest(F.size(a) - 1, F.lit(1)), F.lit(2)), " "))
         return let(F.struct(_tail(a).alias("last"), _head(b).alias("first"), F.size(a).alias("before"), F.size(b).alias("after"), two.alias("two"), w["said"].alias("said")), rules)
 
+    if even:
+        last = F.rtrim(F.lower(F.substring_index(current, " ", -1)), F.lit('.,!?";:'))
+        first = F.ltrim(F.lower(F.substring_index(following, " ", 1)), F.lit('"'))
+        before = F.when(current == "", 0).when(current.contains(" "), 2).otherwise(1)
+        two = F.lower(F.substring_index(current, " ", -2))
+        return let(F.struct(last.alias("last"), first.alias("first"), before.alias("before"), F.when(following == "", 0).otherwise(1).alias("after"), two.alias("two"), current.alias("said")), rules)
     return let(F.struct(words(current).alias("a"), words(following).alias("b"), strip_edges(current).alias("said")), seen)
 
 
-def is_safe_merge(a: Column, b: Column) -> Column:
+def is_safe_merge(a: Column, b: Column, even: bool = False) -> Column:
     """Whether two chunks may become one: across a change between speech and telling, not between two
     speeches, and not before a change of topic."""
-    left, right = F.endswith(strip_edges(a), F.lit('"')), F.startswith(strip_edges(b), F.lit('"'))
-    return F.when(left != right, True).when(left & right, False).otherwise(~_any(F.substring(F.lower(strip_edges(b)), 1, 50), TOPIC_SHIFTS))
+    a, b = (a, b) if even else (strip_edges(a), strip_edges(b))
+    left, right = F.endswith(a, F.lit('"')), F.startswith(b, F.lit('"'))
+    return F.when(left != right, True).when(left & right, False).otherwise(~let(F.substring(F.lower(b), 1, 50), lambda start: _any(start, TOPIC_SHIFTS)))
 
 
 def _points(said: Column, length: Column, a: Column, b: Column) -> Column:
@@ -123,7 +131,7 @@ def split_score(a: Column, b: Column) -> Column:
     return let(F.struct(strip_edges(a).alias("said"), F.length(a).alias("n"), words(a).alias("a"), words(b).alias("b")), lambda x: _points(x["said"], x["n"], x["a"], x["b"]))
 
 
-def best_split(current: Column, following: Column, max_chars: int) -> Column:
+def best_split(current: Column, following: Column, max_chars: int, even: bool = False) -> Column:
     """Number of words of the first part at the best cut among the rightmost places, the rightmost of
     equals; null if none scores above -1."""
 
@@ -139,7 +147,7 @@ def best_split(current: Column, following: Column, max_chars: int) -> Column:
 
         return let(F.array_max(F.transform(places, scored)), lambda top: F.when(top["score"] > -1, top["at"]))
 
-    return let(words(current), among)
+    return let(words(current, even), among)
 
 
 def gap_after(current: Column, following: Column, sentence: float = 0.4, dramatic: float = 0.55, paragraph: float = 0.55, short: float = 0.3) -> Column:

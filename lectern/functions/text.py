@@ -304,8 +304,9 @@ def normalize_for_speech(text: Column, enabled: bool = True, abbreviations: bool
 # ---- words, sentences, paragraphs -----------------------------------------------------------------
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(spaces_for_ws(text), " "), "")
+def words(text: Column, even: bool = False) -> Column:
+    """``even`` texts are known to have no white space but single spaces within."""
+    return F.array_remove(F.split(text, " "), "") if even else F.array_remove(F.split(spaces_for_ws(text), " "), "")
 
 
 def word_count(text: Column, rare: Column | None = None) -> Column:
@@ -323,8 +324,11 @@ def split_sentences(text: Column) -> Column:
     return F.split(text, rf"(?<=[.!?]){WS}+")
 
 
-def split_dialogue_sentences(text: Column) -> Column:
-    """As above, but only where a capital or a quotation follows, and after quoted sentences."""
+def split_dialogue_sentences(text: Column, even: bool = False) -> Column:
+    """As above, but only where a capital or a quotation follows, and after quoted sentences. In an ``even``
+    text, whose white space is single spaces, what stands around is looked at only at spaces."""
+    if even:
+        return F.split(text, r" (?:(?<=[.!?] )(?=[A-Z\"])|(?<=\.\" )(?=[A-Z])|(?<=\" )(?=[A-Z][a-z])|(?<=[!?]\" ))")
     cuts = (rf"(?<=[.!?]){WS}+(?=[A-Z\"])", rf"(?<=\.\"){WS}+(?=[A-Z])", rf"(?<=\"){WS}+(?=[A-Z][a-z])", rf"(?<=!\"){WS}+", rf"(?<=\?\"){WS}+")
     return F.split(text, "|".join(cuts))
 

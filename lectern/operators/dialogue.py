@@ -5,6 +5,9 @@ the place: whether the words around it may be parted (``boundary.is_safe_break``
 would better be cut (``boundary.best_split``), and how full it is. Each answer is a pair: what is
 finished, and what goes on growing; the first answer that applies holds. Chunks that are too long all the
 same are cut at signs, else between words, and short ones join a neighbour afterwards.
+
+White space is made single spaces once, for a whole text. All steps rely on it: sentences and chunks have
+none at their ends and no two spaces within.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from .chunkers import in_blocks
 
 # Where an oversized chunk may be cut, best first.
 CUTS = (
-    rf"[,;]{T.WS}+",
-    rf"{T.WS}+(?:and|but|or|however|meanwhile|then|while|when|as|because){T.WS}+",
-    rf"{T.WS}+(?:after|before|during|since|until|while){T.WS}+",
-    rf"{T.WS}+--{T.WS}+",
-    rf"{T.WS}+\({T.WS}*",
+    r"[,;] ",
+    r" (?:and|but|or|however|meanwhile|then|while|when|as|because) ",
+    r" (?:after|before|during|since|until|while) ",
+    r" -- ",
+    r" \( ?",
 )
 #: Chunks under so many characters look for a neighbour: the one after, or for the last the one before.
 SHORT, SHORT_LAST = 40, 25
@@ -39,8 +42,8 @@ def _beside(a: Column, b: Column) -> Column:
 
 
 def lines(parts: Column, limit: int) -> Column:
-    """Parts, stripped and not empty, laid into lines of up to ``limit``; a longer part is a line."""
-    clean = F.filter(F.transform(parts, T.strip_edges), lambda p: p != "")
+    """Parts, without spaces around and not empty, laid into lines of up to ``limit``; a longer part is a line."""
+    clean = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
     def lay(done: Column, part: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -56,7 +59,7 @@ def cut_down(chunk: Column, limit: int) -> Column:
     parts = F.when(F.lit(False), _none())
     for cut in CUTS:
         parts = parts.when(chunk.rlike(cut), F.split(chunk, cut))
-    laid = T.let(lines(parts.otherwise(T.words(chunk)), limit), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(""))))
+    laid = T.let(lines(parts.otherwise(T.words(chunk, even=True)), limit), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(""))))
     return F.when(F.length(chunk) <= limit, F.array(chunk)).otherwise(laid)
 
 
@@ -69,13 +72,13 @@ def parted(now: Column, sentence: Column, limit: int) -> Column:
     here = _pair(F.array(now), sentence)
 
     def inner(at: Column) -> Column:
-        w = T.words(now)
+        w = T.words(now, even=True)
         first, rest = F.slice(w, F.lit(1), at), F.slice(w, at + 1, F.size(w))
         return _pair(F.array(F.array_join(first, " ")), _beside(F.array_join(rest, " "), sentence))
 
-    found = T.let(B.best_split(now, sentence, limit), lambda at: F.when(at.isNotNull(), inner(at)))
+    found = T.let(B.best_split(now, sentence, limit, even=True), lambda at: F.when(at.isNotNull(), inner(at)))
     enough = F.when(F.length(now) > limit * FULL, here).otherwise(_pair(_none(), _beside(now, sentence)))
-    return F.when(now == "", _pair(_none(), sentence)).when(B.is_safe_break(now, sentence), here).otherwise(F.coalesce(found, enough))
+    return F.when(now == "", _pair(_none(), sentence)).when(B.is_safe_break(now, sentence, even=True), here).otherwise(F.coalesce(found, enough))
 
 
 def grown(sentences: Column, limit: int) -> Column:
@@ -103,7 +106,7 @@ def merged(chunks: Column, limit: int) -> Column:
         return F.concat(state["done"], F.filter(F.array(state["last"]), lambda x: x.isNotNull()))
 
     def joins(a: Column, b: Column) -> Column:
-        return F.coalesce((F.length(a) + 1 + F.length(b) <= limit) & B.is_safe_merge(a, b), F.lit(False))
+        return F.when(F.length(a) + 1 + F.length(b) <= limit, B.is_safe_merge(a, b, even=True)).otherwise(False)
 
     def step(state: Column, chunk: Column) -> Column:
         alone = lambda s: F.when(F.length(chunk) < SHORT, state_of(s["done"], s["last"], chunk)).otherwise(state_of(one_more(s), chunk, nothing))
@@ -119,6 +122,9 @@ def merged(chunks: Column, limit: int) -> Column:
 
 
 def dialogue_array(text: Column, limit: int = 249) -> Column:
-    sentences = F.filter(F.transform(T.split_dialogue_sentences(F.regexp_replace(T.strip_edges(text), f"{T.WS}+", " ")), T.strip_edges), lambda s: s != "")
-    clean = F.filter(F.transform(T.let(grown(sentences, limit), lambda chunks: merged(chunks, limit)), T.strip_edges), lambda c: c != "")
-    return F.flatten(F.transform(clean, lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(lines(T.words(c), limit))))
+    def of(even: Column) -> Column:
+        sentences = F.filter(T.split_dialogue_sentences(even, even=True), lambda s: s != "")
+        clean = F.filter(T.let(grown(sentences, limit), lambda chunks: merged(chunks, limit)), lambda c: c != "")
+        return F.flatten(F.transform(clean, lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(lines(T.words(c, even=True), limit))))
+
+    return T.let(T.collapse_ws(T.strip_edges(text)), of)
