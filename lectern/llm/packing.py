@@ -34,7 +34,7 @@ PARTS = (1, 4 / 5, 3 / 5)
 #: Room, as a part of a sequence, that small pieces can be counted on to fill.
 USABLE = 5 / 32
 #: Pieces that a Python worker keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 SIGNS = ",.;:!?"
 #: Bytes of text that are held as Python strings at a time.
 SLICE_BYTES = 2 << 20
@@ -68,9 +68,9 @@ class _Counter:
         """New pieces are encoded end to end, which cuts them where the text would, and their ids told
         apart by the bytes they stand for."""
         for lo in range(0, len(new), 2000):
-            part = [spelled(p) for p in new[lo : lo + 2000]]
+            part = [p if p[0].isspace() else " " + p for p in new[lo : lo + 2000]]  # ``spelled``, for pieces that are not blank
             raw = self._encode(["".join(part)])[0]
-            ends = np.cumsum(np.fromiter((len(s.encode("utf-8", "surrogatepass")) for s in part), "i8", len(part)))
+            ends = np.cumsum(np.fromiter((len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass")) for s in part), "i8", len(part)))
             at = np.searchsorted(np.cumsum(self.bytes[np.frombuffer(raw, "<u4")]), ends, side="right")
             bounds = [0, *(4 * at).tolist()]
             self.plain.update((p, raw[a:b]) for p, a, b in zip(new[lo : lo + 2000], bounds, bounds[1:]))
@@ -79,7 +79,12 @@ class _Counter:
         cut = [pieces(t) if self.cut and not any(a in t for a in self.added) else None for t in texts]
         plain = self.plain
         if len(plain) > self.entries:
-            plain = self.plain = {p: plain[p] for ps in cut for p in ps or () if p in plain}
+            # what is met now stays, and the shorter half: short pieces come again, most long ones do not
+            lengths = np.fromiter(map(len, plain), "i8", len(plain))
+            longest = int(np.sort(lengths)[self.entries // 2])
+            kept = {p: raw for p, raw in plain.items() if len(p) < longest}
+            kept.update((p, plain[p]) for ps in cut for p in ps or () if p in plain)
+            plain = self.plain = kept
         fresh: set[str] = set()
         for ps in cut:
             fresh.update(filterfalse(plain.__contains__, ps or ()))
@@ -92,7 +97,7 @@ class _Counter:
         self._learn(list({p[:-1] for p in signed if p[:-1] not in plain}.union(fresh.difference(signed))))
         plain.update((p, plain[p[:-1]] + self.sign[p[-1]]) for p in signed)
         rest = iter(self._encode([t for t, ps in zip(texts, cut) if ps is None]))
-        return [next(rest) if ps is None else b"".join([plain[p] for p in ps])[4:] for ps in cut]
+        return [next(rest) if ps is None else b"".join(map(plain.__getitem__, ps))[4:] for ps in cut]
 
 
 _counters: dict[tuple, _Counter] = {}

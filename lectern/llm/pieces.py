@@ -7,12 +7,22 @@ from itertools import product
 
 #: White space but space and newline; the separators 1C to 1F, which not every engine takes for any.
 _OTHER = r"\t\r\x0b\x0c\x85\xa0  -     　"
-_UNSURE = re.compile(r"[\x1c-\x1f]")
 _ANY_OTHER = re.compile(f"[{_OTHER}]")
 #: Stretches of white space that are not cut before each character: those with other white space, of
 #: three characters or more, or of two at the end.
 _LONG = re.compile(rf"[ \n]*[{_OTHER}][ \n{_OTHER}]*|[ \n]{{3,}}|[ \n]{{2}}\Z")
-_THREES = tuple(map("".join, product(" \n", repeat=3)))
+_TWOS, _THREES = (tuple(map("".join, product(" \n", repeat=n))) for n in (2, 3))
+#: Plain searches for single signs are many times as fast as a pattern.
+_UNSURE_SIGNS, _OTHER_ASCII = "\x1c\x1d\x1e\x1f", "\t\r\x0b\x0c"
+
+
+def _even(text: str) -> bool:
+    """Whether all white space are spaces and newlines in stretches of one or two, and one at the end."""
+    if any(s in text for s in _OTHER_ASCII) or not text.isascii() and _ANY_OTHER.search(text):
+        return False
+    if "  " not in text and ("\n" not in text or not any(t in text for t in _TWOS)):
+        return True
+    return not any(t in text for t in _THREES) and (text[-1] not in " \n" or text[-2:-1] not in (" ", "\n"))
 
 
 def pieces(text: str) -> list[str] | None:
@@ -24,11 +34,13 @@ def pieces(text: str) -> list[str] | None:
     stands for itself, any other for a space and itself; the first piece gets a newline that is not in
     the text, whose id the caller drops.
     """
-    if not text or _UNSURE.search(text):
+    if not text or any(s in text for s in _UNSURE_SIGNS):
         return None
-    if not any(t in text for t in _THREES) and not _ANY_OTHER.search(text) and (text[-1] not in " \n" or text[-2:-1] not in (" ", "\n")):
-        return f"\n{text}".replace("\n", " \n").split(" ")[1:]
-    out: list[str] = []
+    if _even(text):
+        out = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+        out[0] = "\n" + out[0]
+        return out
+    out = []
     lead, at = "\n", 0
     for m in _LONG.finditer(text):
         if m.end() == len(text):

@@ -537,3 +537,17 @@ def test_both_labels_are_learned(spark):
     got = toxicity.classify(docs, labels.filter("doc_id % 4 <> 0")).filter(F.col("doc_id").isin(*held_out)).collect()
     assert sum((r.p_quality > 0.5) == (told[r.doc_id][0] == 1) for r in got) >= 0.95 * len(got)
     assert sum(r.toxic == (told[r.doc_id][1] == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_short_pieces_outlive_a_full_cache():
+    """op4: when the cache is full, the shorter half stays with what is met, and ids are those of an empty cache."""
+    import public_tokenizers
+
+    from lectern.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, text = packing._Counter(path, 100), " ".join(f"long{i:09d}é" for i in range(150))
+    counter.encode([f"a bc {text}"])
+    got = counter.encode(["other words\n\nhere  too\t, é."])
+    assert " bc".strip() in counter.plain and len(counter.plain) < 100
+    assert got == packing._Counter(path, 100).encode(["other words\n\nhere  too\t, é."])
