@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import html.entities
+import os
+import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
+from .scratch import local_folder
 
 SOURCE_SUFFIXES = (".txt", ".epub", ".pdf")
 AUDIO_SUFFIXES = (".wav", ".mp3", ".flac", ".m4a", ".ogg")
@@ -50,9 +54,9 @@ def decode_text(content: Column) -> Column:
     return T.strip_edges(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1")))
 
 
-def read_text_corpus(spark: SparkSession, glob: str) -> DataFrame:
-    """Rows ``(path, text)``, one for each file."""
-    return spark.read.format("binaryFile").load(glob).select("path", decode_text(F.col("content")).alias("text"))
+def read_text_corpus(spark: SparkSession, glob: str, recursive: bool = False) -> DataFrame:
+    """Rows ``(path, text)``, one for each file; with ``recursive`` those in folders below as well."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(glob).select("path", decode_text(F.col("content")).alias("text"))
 
 
 # All names of HTML5 with their signs, the old ones among them that need no semicolon, and
@@ -167,6 +171,43 @@ def section_name(n: Column) -> Column:
     return F.format_string("section_%03d.txt", n)
 
 
+#: Files that a folder of ``write_texts`` has below it, on average, and folders that it has at least: Spark lists
+#: more than 32 folders in tasks, one a folder, and fewer in the driver.
+FOLDER_FILES, LEAST_FOLDERS = 1000, 64
+
+
+def write_texts(df: DataFrame, folder: str) -> None:
+    """Each row of ``text`` as a file of its own, ended by a line feed, in a folder ``dir=`` by its ``dir``, a
+    whole number. Those lie in folders ``bucket=`` by a hash of it, each from one task, so that they are
+    committed and listed by the thousand.
+
+    For each file, Hadoop's local file system starts a process three times to set its mode, which takes some
+    15 ms; there the tasks write the files themselves, each under another name first. A file's name follows
+    from its row, so a task that is run again writes the same files. Other stores get them by Spark's writer."""
+    spark, rows = df.sparkSession, df.count()
+    buckets = max(LEAST_FOLDERS, -(-rows // FOLDER_FILES))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    dealt = df.select(F.pmod(F.xxhash64("dir"), F.lit(buckets)).cast("int").alias("bucket"), "dir", "text").repartition(tasks, "bucket")
+    local = local_folder(spark, folder)
+    if local is None:
+        dealt.write.mode("append").option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("bucket", "dir").text(folder)
+        return
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, number, nth, text in zip(*(c.to_pylist() for c in batch.columns)):
+                place = f"{local}/bucket={bucket}/dir={'__HIVE_DEFAULT_PARTITION__' if number is None else number}"
+                os.makedirs(place, exist_ok=True)
+                other = f"{place}/.{uuid.uuid4().hex}"
+                with open(other, "wb") as file:
+                    file.write((text or b"") + b"\n")
+                os.replace(other, f"{place}/part-{nth:05d}.txt")
+            yield pa.record_batch({"files": [batch.num_rows]})
+
+    nth = F.row_number().over(W.partitionBy("bucket", "dir").orderBy("text"))
+    dealt.select("bucket", "dir", nth.alias("nth"), F.col("text").cast("binary")).mapInArrow(written, "files bigint").agg(F.sum("files")).collect()
+
+
 def write_sections(df: DataFrame, path: str, doc: str = "doc_id", number: str = "section_no", folders: int = 256) -> None:
     """Sections with their document and name, in folders by a hash of the document, so that a document
     is found in one of them and their number does not grow with the documents."""

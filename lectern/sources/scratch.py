@@ -40,6 +40,15 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
+def local_folder(spark: SparkSession, folder: str) -> str | None:
+    """Makes the folder; its path where it lies in Hadoop's local file system, so that Python in any task can
+    open what is below it, and None for any other store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    return path.toUri().getPath() if files.getScheme() == "file" else None
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: it cuts the lineage, and a
     lost executor costs a reread instead of the work above it."""

@@ -372,3 +372,39 @@ def test_keys_of_starts_grow_with_time_and_not_with_jobs(spark, tmp_path, block)
     assert {(r.job_id, r.ord) for r in spark.table(name).collect()} == want and len(want) < 2900
     if block == "1 day":
         assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 18
+
+
+def row_files(folder):
+    return sorted((p.parent.parent.name, p.parent.name, p.read_bytes()) for p in folder.rglob("*.txt"))
+
+
+def test_row_files_lie_in_few_folders_without_checksums(spark):
+    from pathlib import Path
+
+    from lectern.plans import stream_queries
+
+    rows = [(i % 290, "né" * (i % 5) if i % 7 else None) for i in range(300)]
+    folder = Path(stream_queries._files(spark.createDataFrame(rows, "dir long, text string").repartition(8), "row-files").removeprefix("file://"))
+    assert Counter((d, t) for _, d, t in row_files(folder)) == Counter((f"dir={d}", f"{t or ''}\n".encode()) for d, t in rows)
+    assert not list(folder.rglob("*.crc"))  # Hadoop's local writer leaves them, and starts three processes for each file
+    assert len([p for p in folder.iterdir() if p.is_dir()]) <= S.LEAST_FOLDERS < 290
+    found = S.scan_assets(spark, f"file://{folder}", (".txt",))
+    assert sorted(r.length for r in found.collect()) == sorted(len(t) for *_, t in row_files(folder))
+
+
+def test_row_files_are_the_same_by_spark_and_in_a_second_run(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(5, "a"), (5, "a"), (5, "b"), (-6, None), (None, "c")], "dir long, text string")
+    df = df.unionAll(spark.createDataFrame([(7, bytearray(b"\xe9"))], "dir long, text binary").selectExpr("dir", "CAST(text AS STRING) AS text"))
+    for _ in range(2):
+        S.write_texts(df, f"file://{tmp_path}/python")
+    S.write_texts(df.filter("false"), f"file://{tmp_path}/none")
+    monkeypatch.setattr(S, "local_folder", lambda *_: None)
+    S.write_texts(df, f"file://{tmp_path}/spark")
+    assert row_files(tmp_path / "python") == row_files(tmp_path / "spark") and len(row_files(tmp_path / "python")) == 6
+    assert S.scan_assets(spark, f"file://{tmp_path}/none", (".txt",)).count() == 0
+
+
+def test_texts_in_folders_below(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "c.txt").write_bytes(b" x ")
+    assert [r.text for r in S.read_text_corpus(spark, str(tmp_path), recursive=True).collect()] == ["x"]
