@@ -148,10 +148,17 @@ def read_progress(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(PROGRESS).json(glob, multiLine=True, mode="PERMISSIVE")
 
 
+#: Parts of a list of files that a task of ``scan_assets`` has at most.
+LISTED_PARTS = 64
+
+
 def scan_assets(spark: SparkSession, folder: str, suffixes: Sequence[str] = AUDIO_SUFFIXES) -> DataFrame:
     """Rows ``(path, name, stem, ext, mtime, length, mb)`` of files with one of the suffixes in either
-    case, by lower-case name; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("mtime"), "length").dropDuplicates(["path"])
+    case, by lower-case name; contents are not read. Spark deals files to tasks as if each had 4 MB to open, 32 a
+    task; as none is opened here, 64 such parts are a task, which has few shuffle files to write."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("mtime"), "length")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-listed.rdd.getNumPartitions() // LISTED_PARTS))
+    found = listed.coalesce(tasks).dropDuplicates(["path"])
     named = found.withColumn("name", base_name(F.col("path"))).withColumn("stem", stem(F.col("path"))).withColumn("ext", suffix(F.col("path")))
     return named.filter(F.col("ext").isin(*suffixes)).withColumn("mb", F.col("length") / (1024 * 1024)).orderBy(F.lower("name"))
 

@@ -408,3 +408,18 @@ def test_texts_in_folders_below(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "c.txt").write_bytes(b" x ")
     assert [r.text for r in S.read_text_corpus(spark, str(tmp_path), recursive=True).collect()] == ["x"]
+
+
+def test_a_listed_file_is_no_task(spark, tmp_path, monkeypatch):
+    for i in range(80):
+        (tmp_path / f"{i}.wav").write_bytes(b"1" * (i + 1))
+    monkeypatch.setattr(S, "LISTED_PARTS", 2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a part
+    try:
+        found = S.scan_assets(spark, str(tmp_path))
+        assert sorted(r.length for r in found.collect()) == list(range(1, 81))
+        told = found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "Coalesce 40" in told
