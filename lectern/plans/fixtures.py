@@ -66,12 +66,12 @@ UNION ALL SELECT o_custkey, CAST(1 + o_orderkey % 1000000 AS INT), c_mktsegment,
 SIGNALS = "SELECT vec_id, 10 AS rate, embedding AS samples, label FROM embeddings"
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of one of the statements above, over the tables of ``sf_dir``."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, bounded: bool = True) -> DataFrame:
+    """The rows of one of the statements above, over the tables of ``sf_dir``; ``bounded`` as in ``spread``."""
     tables = [t for t in ("documents", "events", "orders", "customer", "part", "lineitem", "embeddings", "conversations", "pages", "labels", "supplier", "nation", "benchmark") if f" {t}" in sql]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     if sql in (NOISY, PARAGRAPHS):
-        frames["documents"] = spread(frames["documents"])
+        frames["documents"] = spread(frames["documents"], bounded)
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames)

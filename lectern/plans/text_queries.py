@@ -61,8 +61,9 @@ def str_universal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     {_STEPS['dashes'].format('text')} AS dashes, {_fold_sql('text', T.ABBREVIATIONS)} AS written_out FROM {{NOISY}}"""
 )
 def str_cleaning_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine texts are written for each, so that the texts are not shuffled as well where files are enough."""
     t = F.col("text")
-    return derived(spark, sf_dir, NOISY).select(
+    return derived(spark, sf_dir, NOISY, bounded=False).select(
         "doc_id", T.strip_bracket_refs(t).alias("no_refs"), T.strip_paren_numbers(t).alias("no_numbers"), T.strip_inline_numbers(t).alias("no_inline"),
         T.strip_note_lines(t).alias("no_notes"), T.collapse_ws(t).alias("even"), T.tighten_punct(t).alias("tight"), T.sentence_space(t).alias("spaced"),
         T.normalize_dashes(t).alias("dashes"), T.expand_abbreviations(t).alias("written_out"),

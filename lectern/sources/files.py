@@ -28,13 +28,14 @@ PROGRESS = (
 TASK_ROWS = 10_000
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, bounded: bool = True) -> DataFrame:
     """Deals an input of fewer files than cores, or of large files, in tasks of a bounded number of rows:
     work on texts is heavy by the row, while a reader gives a file, or a large stretch of one, to one task. Rows
-    are counted from the files' footers. Tables of many small files stay where they are, unshuffled."""
+    are counted from the files' footers. Tables of many small files stay where they are, unshuffled, and unless
+    ``bounded`` all that have a file for each core: large tasks may be better than a shuffle of all texts."""
     cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
-    tasks = -(-df.count() // TASK_ROWS)
-    return df.repartition(max(cores, tasks)) if files < max(cores, tasks) else df
+    tasks = max(cores, -(-df.count() // TASK_ROWS)) if bounded else cores
+    return df.repartition(tasks) if files < tasks else df
 
 
 def suffix(path: Column) -> Column:

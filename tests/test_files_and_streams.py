@@ -423,3 +423,14 @@ def test_a_listed_file_is_no_task(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert "Coalesce 40" in told
+
+
+@pytest.mark.parametrize("files, shuffles", [(8, 0), (1, 1)])
+def test_steps_are_not_shuffled_where_files_are_enough(spark, tmp_path, monkeypatch, files, shuffles):
+    from lectern.plans import QUERIES
+
+    monkeypatch.setattr(S, "TASK_ROWS", 10)
+    spark.range(200).selectExpr("id AS doc_id", "'en' AS lang", "'web' AS source", "'Dr. A [3] of b, c' AS text").repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    steps = QUERIES["str_cleaning_steps"](spark, str(tmp_path))
+    assert steps._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == shuffles
+    assert steps.select("doc_id").distinct().count() == 200
